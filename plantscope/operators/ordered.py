@@ -18,6 +18,7 @@ A table below ``rows_per_bucket`` rows has no splitters, and the plan is the pla
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -316,3 +317,52 @@ def islands(scan: OrderedScan, condition: Column, prefix: str = "run") -> Ordere
         }
     )
     return done._derive(done.df.drop("_hit", "_was", "_start", "_rn", "_run", "_at"))
+
+
+def decayed_sum(scan: OrderedScan, name: str, term: Column, decay: float) -> OrderedScan:
+    """``name``_i = term_i + decay * ``name``_{i-1}, for 0 <= decay < 1, without recursion.
+
+    Rows of a piece are cut into blocks short enough that decay**-length stays below 1e6; inside
+    a block the recurrence is a scaled prefix sum, and a few earlier block ends carry the rest.
+    """
+    if not 0 <= decay < 1:
+        raise ValueError("decay must lie in [0, 1)")
+    if decay == 0:
+        return scan.with_columns({name: term})
+    digits = -math.log10(decay)
+    length = max(1, int(6 / digits))
+    n_blocks = max(1, math.ceil(18 / (digits * length)))
+    reach = max(1, math.ceil(18 / digits))
+    keys = scan._piece_keys() or ["_all"]
+    df = scan.df if scan._piece_keys() else scan.df.withColumn("_all", F.lit(0))
+    d = F.lit(float(decay))
+    df = df.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(*scan.order)) - 1)
+    df = df.withColumns({"_blk": F.floor(F.col("_i") / length), "_p": F.col("_i") % length})
+    in_block = Window.partitionBy(*keys, "_blk").orderBy(*scan.order).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("_own", F.pow(d, F.col("_p")) * F.sum(term * F.pow(d, -F.col("_p"))).over(in_block))
+    end = F.when(F.col("_p") == length - 1, F.col("_own"))
+    by_block = Window.partitionBy(*keys).orderBy("_blk")
+    incoming = F.lit(0.0)
+    for k in range(1, n_blocks + 1):
+        earlier = F.sum(end).over(by_block.rangeBetween(-k, -k))
+        incoming = incoming + F.coalesce(earlier, F.lit(0.0)) * F.lit(float(decay ** (length * (k - 1))))
+    df = df.withColumn("_in", incoming)
+    df = df.withColumn(name, F.col("_own") + F.pow(d, F.col("_p") + 1) * F.col("_in"))
+    if scan.is_split:
+        pieces = (
+            df.where(F.col(EDGE) != 0)
+            .groupBy(*keys)
+            .agg(F.max_by(name, scan._order_key()).alias("_e"), F.count(F.lit(1)).alias("_k"))
+        )
+        w = Window.partitionBy(*(scan.series or [F.lit(0)])).orderBy(BUCKET).rowsBetween(-reach, -1)
+        carry = pieces.select(
+            *keys,
+            F.aggregate(
+                F.collect_list(F.struct("_k", "_e")).over(w),
+                F.lit(0.0),
+                lambda acc, p: acc * F.pow(d, p["_k"]) + p["_e"],
+            ).alias("_e0"),
+        )
+        df = join_on(df, F.broadcast(carry), keys, "left")
+        df = df.withColumn(name, F.col(name) + F.pow(d, F.col("_i") + 1) * F.coalesce("_e0", F.lit(0.0))).drop("_e0")
+    return scan._derive(df.drop("_i", "_blk", "_p", "_own", "_in", "_all"))
