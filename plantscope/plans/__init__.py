@@ -7,7 +7,10 @@ from functools import cache
 
 from plantscope.plans.registry import Query
 
-SECTIONS: tuple[str, ...] = ("control_charts",)
+SECTIONS: tuple[str, ...] = (
+    "control_charts",
+    "anomalies",
+)
 
 
 @cache
