@@ -10,6 +10,8 @@ from plantscope.plans.registry import Query
 SECTIONS: tuple[str, ...] = (
     "control_charts",
     "anomalies",
+    "tables",
+    "frames",
 )
 
 
