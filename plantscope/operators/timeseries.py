@@ -396,7 +396,7 @@ def sequence_windows(
     position = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: i * (2.0 / span) - 1.0)
     return rows.select(
         *dict.fromkeys([*by, time, *tiebreak]), "rn",
-        *[F.transform("_seq", lambda s, c=c: s[c]).alias(f"{c}_sequence") for c in columns],
+        *[F.col(f"_seq.{c}").alias(f"{c}_sequence") for c in columns],
         position.alias("position"),
     )
 

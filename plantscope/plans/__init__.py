@@ -12,6 +12,8 @@ SECTIONS: tuple[str, ...] = (
     "anomalies",
     "tables",
     "frames",
+    "timeseries",
+    "distributions",
 )
 
 

@@ -96,21 +96,21 @@ TREAT_SQL = f"WITH {FACTORIAL_SQL} SELECT priority, status, quarter, " + ", ".jo
 
 def unseen(spark, d):
     p = read(spark, d, "part")
-    return fr.unseen_levels(p, p.where(F.col("p_size") < 3), "p_brand")
+    return fr.unseen_levels(p, p.where((F.col("p_size") < 5) & (F.col("p_type") == "SMALL")), "p_brand")
 
 
 def forecast_rows(spark, d):
     o = read(spark, d, "orders")
-    return o.groupBy(F.col("o_orderdate").alias("ts")).agg((F.avg("o_totalprice") / 1000).alias("forecast"))
+    return o.groupBy(F.col("o_orderdate").alias("ts")).agg((F.avg("o_totalprice") / 997).alias("forecast"))
 
 
 def observed_rows(spark, d):
     li = read(spark, d, "lineitem")
-    return li.groupBy(F.col("l_shipdate").alias("ts")).agg((F.avg("l_extendedprice") / 1000).alias("observed"))
+    return li.groupBy(F.col("l_shipdate").alias("ts")).agg((F.avg("l_extendedprice") / 997).alias("observed"))
 
 
-OBS_SQL = """f AS (SELECT o_orderdate AS ts, avg(o_totalprice)/1000 AS forecast FROM orders GROUP BY 1),
-o AS (SELECT l_shipdate AS ts, avg(l_extendedprice)/1000 AS observed FROM lineitem GROUP BY 1)"""
+OBS_SQL = """f AS (SELECT o_orderdate AS ts, avg(o_totalprice)/997 AS forecast FROM orders GROUP BY 1),
+o AS (SELECT l_shipdate AS ts, avg(l_extendedprice)/997 AS observed FROM lineitem GROUP BY 1)"""
 
 
 def lookup(spark, d):
@@ -131,7 +131,7 @@ def semi(spark, d):
 
 
 def anti(spark, d):
-    c, o = read(spark, d, "customer"), read(spark, d, "orders")
+    c, o = read(spark, d, "customer"), read(spark, d, "orders").where(F.col("o_totalprice") > 450_000)
     return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
 
 
@@ -230,11 +230,11 @@ QUERIES = [
     Query("filter_finite_cases", finite, "SELECT event_id, value, user_id::DOUBLE AS u FROM events WHERE event_id % 11 <> 0 AND event_id % 13 <> 0 AND event_id % 17 <> 0"),
     Query("design_polynomial_columns", design, DESIGN_SQL),
     Query("design_treatment_columns", treatment, TREAT_SQL),
-    Query("design_unseen_levels", unseen, "SELECT DISTINCT p_brand FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size < 3)"),
+    Query("design_unseen_levels", unseen, "SELECT DISTINCT p_brand FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size < 5 AND p_type = 'SMALL')"),
     Query("join_observed_lookup", lookup, f"WITH {OBS_SQL} SELECT ts, round(forecast,6)+0.0 AS forecast, round(observed,6)+0.0 AS observed FROM f JOIN o USING (ts)"),
     Query("join_key_zip", zipped, "SELECT count(*) AS n, round(avg(abs(o_totalprice/1000 - o_custkey/10)),6)+0.0 AS mae FROM orders"),
     Query("join_semi", semi, "SELECT n_name FROM nation WHERE n_regionkey < 3"),
-    Query("join_anti", anti, "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
+    Query("join_anti", anti, "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)"),
     Query("join_association_keys", association, """SELECT o_orderstatus AS status, l_linestatus AS status_right, count(*) AS n, round(sum(l_quantity),6)+0.0 AS qty, round(avg(o_totalprice)/1000,6)+0.0 AS price_k
  FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1,2"""),
     Query("join_duplicate_keys", dup_keys, "SELECT count(*) AS n_keys, count(*) FILTER (k>1) AS n_duplicate_keys, coalesce(sum(k) FILTER (k>1),0)::BIGINT AS n_duplicate_rows FROM (SELECT count(*) AS k FROM lineitem GROUP BY l_orderkey, l_linenumber)"),
