@@ -28,6 +28,13 @@ def finite(col: Column) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), c)
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson correlation; null where a side is constant (the built-in raises under ANSI mode)."""
+    a, b = a.cast("double"), b.cast("double")
+    both = a.isNotNull() & b.isNotNull()
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b)))
+
+
 def long_form(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """(keep…, column, value): all numeric columns in one pass; one job serves every column."""
     casted = df.select(*keep, *[finite(F.col(c)).alias(c) for c in columns])

@@ -14,6 +14,7 @@ SECTIONS: tuple[str, ...] = (
     "frames",
     "timeseries",
     "distributions",
+    "models",
 )
 
 
