@@ -92,21 +92,29 @@ class LinearModel:
 
 
 def _model_frame(df: DataFrame, target: str, terms: dict[str, Column], keep: Sequence[str] = ()) -> DataFrame:
-    cols = [e.cast("double").alias(f"_t{i}") for i, e in enumerate(terms.values())]
-    out = df.select(*keep, finite(F.col(target)).alias("_y"), *cols)
-    return out.na.drop(subset=["_y", *[f"_t{i}" for i in range(len(terms))]])
+    """Complete rows as (keep…, _y, _x) with all terms in one array.
+
+    One array column, not a column per term: the optimizer's constraint inference grows
+    exponentially with the number of derived columns over few inputs.
+    """
+    out = df.select(*keep, finite(F.col(target)).alias("_y"), F.array(*[e.cast("double") for e in terms.values()]).alias("_x"))
+    return out.where(F.col("_y").isNotNull() & (F.size(F.array_compact("_x")) == len(terms)))
+
+
+def _term(i: int) -> Column:
+    return F.get("_x", F.lit(i))
 
 
 def _centred_sums(rows: DataFrame, p: int, by: Sequence[str] = ()) -> tuple[np.ndarray, float, list]:
     """Global means, then per group: n, sums and cross-products of the centred columns."""
-    first = rows.agg(F.count(F.lit(1)), F.avg("_y"), *[F.avg(f"_t{i}") for i in range(p)]).first()
+    first = rows.agg(F.count(F.lit(1)), F.avg("_y"), *[F.avg(_term(i)) for i in range(p)]).first()
     if not first[0]:
         raise ValueError("no complete rows to fit on")
     means = np.array([float(v) for v in first[2:]])
     y_mean = float(first[1])
     if p > MAX_SUM_TERMS:
         return means, y_mean, _batched_products(rows, p, np.append(means, y_mean), by)
-    t = [F.col(f"_t{i}") - float(m) for i, m in enumerate(means)]
+    t = [_term(i) - float(m) for i, m in enumerate(means)]
     y = F.col("_y") - y_mean
     cols = [*t, y]
     aggs = [F.count(F.lit(1)).alias("n")]
@@ -118,14 +126,13 @@ def _centred_sums(rows: DataFrame, p: int, by: Sequence[str] = ()) -> tuple[np.n
 def _batched_products(rows: DataFrame, p: int, centre: np.ndarray, by: Sequence[str]) -> list[dict]:
     """Cross-products for wide models: each task sums a (p + 1) square matrix over its Arrow
     batches, and the entries are then summed by position. What is collected is one matrix per group."""
-    names = [f"_t{i}" for i in range(p)] + ["_y"]
     group = by[0] if by else None
-    slim = rows.select((F.col(group) if group else F.lit(0)).cast("long").alias("g"), *names)
+    slim = rows.select((F.col(group) if group else F.lit(0)).cast("long").alias("g"), "_x", "_y")
 
     def partial(batches):
         totals: dict[int, np.ndarray] = {}
         for pdf in batches:
-            x = pdf[names].to_numpy(float) - centre
+            x = np.column_stack([np.vstack(pdf["_x"].to_numpy()), pdf["_y"].to_numpy(float)]) - centre
             keys = pdf["g"].to_numpy()
             for k in np.unique(keys):
                 part = np.column_stack([np.ones((keys == k).sum()), x[keys == k]])
@@ -220,7 +227,7 @@ def cross_validated(df: DataFrame, target: str, terms: dict[str, Column], keys:
         intercept = y_mean + shift[-1] - float(b @ (means + shift[:-1]))
         expr = F.lit(float(intercept))
         for i, v in enumerate(b):
-            expr = expr + F.lit(float(v)) * F.col(f"_t{i}")
+            expr = expr + F.lit(float(v)) * _term(i)
         pred = F.when(F.col("_fold") == fold, expr) if pred is None else pred.when(F.col("_fold") == fold, expr)
     scored = rows.select((F.col("_fold") + 1).alias("fold"), F.col("_y").alias("actual"), pred.alias("predicted"))
     return regression_metrics(scored, "actual", "predicted", ["fold"], p).select("fold", "n", "r2", "rmse")
