@@ -401,5 +401,3 @@ def scaled_effects(model: LinearModel, df: DataFrame, inputs: Sequence[str]) ->
     t = input_ranges(df, inputs).join(F.broadcast(coefs), F.col("column") == F.col("term")).drop("term")
     effect = F.col("coefficient") * F.col("std")
     return t.select("column", "coefficient", "std", effect.alias("effect"), F.when(effect < 0, "negative").otherwise("positive").alias("sign"))
-
-

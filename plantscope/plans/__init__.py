@@ -15,6 +15,7 @@ SECTIONS: tuple[str, ...] = (
     "timeseries",
     "distributions",
     "models",
+    "forecast",
 )
 
 
