@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plantscope.functions import constants as K
@@ -263,45 +263,54 @@ def capability(scan: OrderedScan, spec: DataFrame, subgroup_size: int = 1) -> Da
 
 # -- run rules ----------------------------------------------------------------
 
-RULE_LOOKBACK = 16
+RULE_LOOKBACK = 20
 
 
 def _rule_flags(d: DataFrame, w) -> DataFrame:
-    """All seven rules as fixed look-back windows over the standardised value ``_z`` and ``x``."""
+    """All seven rules over the standardised value ``_z`` and ``x``, each with a bounded look-back.
 
-    def last(n: int):
-        return w.rowsBetween(-(n - 1), 0)
-
-    def hits(flag: str, n: int) -> Column:
-        return F.sum(F.col(flag).cast("int")).over(last(n))
+    A run length is the distance to the last row without the flag: one running maximum per flag,
+    where a sliding sum would touch every row of its frame again. Runs longer than the look-back
+    only show as too long, which no rule asks about.
+    """
+    z = F.col("_z")
+    d = d.withColumns({"_d": F.col(X) - F.lag(X).over(w), "_at": F.row_number().over(w)})
+    flags = {
+        "_pos": z > 0,
+        "_neg": z < 0,
+        "_in1": (z > -1) & (z < 1),
+        "_rise": F.coalesce(F.col("_d") > 0, F.lit(False)),
+        "_fall": F.coalesce(F.col("_d") < 0, F.lit(False)),
+        "_zig": F.coalesce(F.signum("_d") * F.signum(F.lag("_d").over(w)) < 0, F.lit(False)),
+    }
+    d = d.withColumns(flags)
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last_miss = {f"{f}_miss": F.max(F.when(~F.col(f), F.col("_at"))).over(so_far) for f in flags}
+    level = F.when(F.abs(z) > 2, 2).when(F.abs(z) > 1, 1).otherwise(0) * F.signum(z)
+
+    def beyond(n: int, sigma: int, side: int) -> Column:
+        frame = w.rowsBetween(-(n - 1), 0)
+        return F.count_if(level >= sigma if side > 0 else level <= -sigma).over(frame)
+
+    counts = {
+        "_hi2": beyond(3, 2, 1), "_lo2": beyond(3, 2, -1), "_hi1": beyond(5, 1, 1), "_lo1": beyond(5, 1, -1),
+        "_full3": F.lag(X, 2).over(w).isNotNull(), "_full5": F.lag(X, 4).over(w).isNotNull(),
+    }
+    d = d.withColumns(last_miss | counts)
 
     def run_reaches(flag: str, n: int) -> Column:
-        """The run of ``flag`` ending here is exactly ``n`` rows long."""
-        return (hits(flag, n) == n) & ~F.coalesce(F.lag(flag, n).over(w), F.lit(False))
-
-    z = F.col("_z")
-    d = d.withColumn("_d", F.col(X) - F.lag(X).over(w))
-    d = d.withColumns(
-        {
-            "_hi2": z > 2, "_lo2": z < -2, "_hi1": z > 1, "_lo1": z < -1,
-            "_pos": z > 0, "_neg": z < 0, "_in1": (z > -1) & (z < 1),
-            "_rise": F.coalesce(F.col("_d") > 0, F.lit(False)),
-            "_fall": F.coalesce(F.col("_d") < 0, F.lit(False)),
-            "_zig": F.coalesce(F.signum("_d") * F.signum(F.lag("_d").over(w)) < 0, F.lit(False)),
-        }
-    )
-    full3, full5 = F.lag(X, 2).over(w).isNotNull(), F.lag(X, 4).over(w).isNotNull()
-    return d.withColumns(
-        {
-            "_r1": F.abs(z) > 3,
-            "_r2": full3 & ((hits("_hi2", 3) >= 2) | (hits("_lo2", 3) >= 2)),
-            "_r3": full5 & ((hits("_hi1", 5) >= 4) | (hits("_lo1", 5) >= 4)),
-            "_r4": run_reaches("_pos", 8) | run_reaches("_neg", 8),
-            "_r5": run_reaches("_rise", 5) | run_reaches("_fall", 5),
-            "_r6": run_reaches("_in1", 15),
-            "_r7": run_reaches("_zig", 12),
-        }
-    ).drop("_d", "_hi2", "_lo2", "_hi1", "_lo1", "_pos", "_neg", "_in1", "_rise", "_fall", "_zig")
+        return F.col(flag) & (F.col("_at") - F.coalesce(F.col(f"{flag}_miss"), F.lit(0)) == n)
+
+    rules = {
+        "_r1": F.abs(z) > 3,
+        "_r2": F.col("_full3") & ((F.col("_hi2") >= 2) | (F.col("_lo2") >= 2)),
+        "_r3": F.col("_full5") & ((F.col("_hi1") >= 4) | (F.col("_lo1") >= 4)),
+        "_r4": run_reaches("_pos", 8) | run_reaches("_neg", 8),
+        "_r5": run_reaches("_rise", 5) | run_reaches("_fall", 5),
+        "_r6": run_reaches("_in1", 15),
+        "_r7": run_reaches("_zig", 12),
+    }
+    return d.withColumns(rules).drop("_d", "_at", *flags, *last_miss, *counts)
 
 
 def run_rule_hits(

@@ -25,7 +25,7 @@ from plantscope.operators.frames import design_coverage, design_terms, factor_le
 from plantscope.operators.stats import finite, long_form
 
 FEATURES = "_features"
-MAX_SUM_TERMS = 8
+MAX_SUM_TERMS = 12
 
 
 # -- splits --------------------------------------------------------------------------------

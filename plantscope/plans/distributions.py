@@ -99,7 +99,7 @@ def ks(fams, column="value", table=events, keys=KEYS):
     return run
 
 
-_P = " + ".join(f"({2 if j % 2 else -2})*exp(-2.0*{j}*{j}*n*d*d)" for j in range(1, 101))
+_P = " + ".join(f"({2 if j % 2 else -2})*exp(-2.0*{j}*{j}*n*d*d)" for j in range(1, 21))
 KS_SQL = f"""WITH t AS ({EV}), r AS (SELECT event_type, value AS x, cume_dist() OVER w AS hi_c, (rank() OVER w - 1)/n AS lo_c, n, m, s, lm, ls, lo, hi
  FROM events JOIN t USING (event_type) WINDOW w AS (PARTITION BY event_type ORDER BY value)),
 z AS (SELECT *, (x-m)/s AS zn, (ln(x)-lm)/ls AS zl FROM r),
