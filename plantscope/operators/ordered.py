@@ -45,12 +45,12 @@ def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Null-safe join on ``keys`` that keeps one copy of them."""
     renamed = right.select(
-        *[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys]
+        *[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in right.columns if c not in keys]
     )
     cond = F.lit(True)
     for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-    return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+    return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
 def _quoted(value: str | None, sql_type: str) -> str:
@@ -94,8 +94,8 @@ class OrderedScan:
         rate = max(1, self.n_rows // (buckets * SAMPLES_PER_SPLITTER))
         sample = df.select(*keys).where(F.pmod(F.xxhash64(*keys), F.lit(rate)) == 0)
         # the sample holds about buckets * SAMPLES_PER_SPLITTER rows, however large the table
-        ranked = sample.withColumn("_i", F.row_number().over(Window.orderBy(*keys)))
-        chosen = ranked.where(F.col("_i") % SAMPLES_PER_SPLITTER == 0).orderBy("_i")
+        ranked = sample.withColumn("__i", F.row_number().over(Window.orderBy(*keys)))
+        chosen = ranked.where(F.col("__i") % SAMPLES_PER_SPLITTER == 0).orderBy("__i")
         rows = chosen.select(*[F.col(k).cast("string").alias(k) for k in keys]).collect()
         return list(dict.fromkeys(tuple(r) for r in rows))
 
@@ -178,7 +178,7 @@ class OrderedScan:
         neither side puts a long series into one task."""
         if not self.series:
             return self._derive(
-                self.df.withColumn("_one", F.lit(1)).join(F.broadcast(stats.withColumn("_one", F.lit(1))), "_one").drop("_one")
+                self.df.withColumn("__one", F.lit(1)).join(F.broadcast(stats.withColumn("__one", F.lit(1))), "__one").drop("__one")
             )
         if self.n_series <= BROADCAST_SERIES:
             return self._derive(join_on(self.df, F.broadcast(stats), self.series))
@@ -227,7 +227,7 @@ class OrderedScan:
         }
         carry = pieces.select(
             *self._piece_keys(),
-            *[over_pieces[kind](F.col(name)).over(before).alias(f"_c_{name}") for name, (kind, _) in specs.items()],
+            *[over_pieces[kind](F.col(name)).over(before).alias(f"__c_{name}") for name, (kind, _) in specs.items()],
         )
         joined = join_on(out, F.broadcast(carry), self._piece_keys(), "left")
         merge = {
@@ -238,8 +238,8 @@ class OrderedScan:
             "last": F.coalesce,
         }
         for name, (kind, _) in specs.items():
-            joined = joined.withColumn(name, merge[kind](F.col(name), F.col(f"_c_{name}")))
-        return self._derive(joined.drop(*[f"_c_{name}" for name in specs]))
+            joined = joined.withColumn(name, merge[kind](F.col(name), F.col(f"__c_{name}")))
+        return self._derive(joined.drop(*[f"__c_{name}" for name in specs]))
 
     def row_number(self, name: str = "rn") -> "OrderedScan":
         return self.running({name: ("count", F.lit(1))})
@@ -254,44 +254,44 @@ class OrderedScan:
         last = (
             self.df.where(self._flag(_GOES_ON))
             .groupBy(*self._piece_keys())
-            .agg(F.max_by(F.struct(*sources), self._order_key()).alias("_last"))
+            .agg(F.max_by(F.struct(*sources), self._order_key()).alias("__last"))
         )
         # pieces of one series lie in consecutive occupied buckets; join each to the one before
         heads = self.df.where(self._flag(_CONTINUES)).groupBy(*self._piece_keys()).agg(
-            F.min(self._order_key()).alias("_first_key")
+            F.min(self._order_key()).alias("__first_key")
         )
-        pieces = last.select(*self._piece_keys(), "_last", F.lit(None).cast("boolean").alias("_head")).unionByName(
-            heads.select(*self._piece_keys(), F.lit(True).alias("_head")), allowMissingColumns=True
+        pieces = last.select(*self._piece_keys(), "__last", F.lit(None).cast("boolean").alias("__head")).unionByName(
+            heads.select(*self._piece_keys(), F.lit(True).alias("__head")), allowMissingColumns=True
         )
         merged = pieces.groupBy(*self._piece_keys()).agg(
-            F.max_by("_last", F.col("_last").isNotNull()).alias("_last"), F.max("_head").alias("_head")
+            F.max_by("__last", F.col("__last").isNotNull()).alias("__last"), F.max("__head").alias("__head")
         )
         wp = Window.partitionBy(*(self.series or [F.lit(0)])).orderBy(BUCKET)
         carry = (
-            merged.withColumn("_prev", F.lag("_last").over(wp))
-            .where(F.col("_head") & F.col("_prev").isNotNull())
-            .select(*self._piece_keys(), "_prev")
+            merged.withColumn("__prev", F.lag("__last").over(wp))
+            .where(F.col("__head") & F.col("__prev").isNotNull())
+            .select(*self._piece_keys(), "__prev")
         )
-        joined = join_on(out.withColumn("_i", F.row_number().over(w)), F.broadcast(carry), self._piece_keys(), "left")
-        first = (F.col("_i") == 1) & F.col("_prev").isNotNull()
+        joined = join_on(out.withColumn("__i", F.row_number().over(w)), F.broadcast(carry), self._piece_keys(), "left")
+        first = (F.col("__i") == 1) & F.col("__prev").isNotNull()
         for new, c in cols.items():
-            joined = joined.withColumn(new, F.when(first, F.col("_prev")[c]).otherwise(F.col(new)))
-        return self._derive(joined.drop("_i", "_prev"))
+            joined = joined.withColumn(new, F.when(first, F.col("__prev")[c]).otherwise(F.col(new)))
+        return self._derive(joined.drop("__i", "__prev"))
 
     def bounded(self, build: Callable[[DataFrame, WindowSpec], DataFrame], lookback: int) -> "OrderedScan":
         """Add columns by ``build(df, window)`` whose windows reach back at most ``lookback`` rows."""
         if not self.is_split:
             return self._derive(build(self.df, self._window()))
         w = self._window()
-        base = self.df.withColumn("_i", F.row_number().over(w)).withColumn(
-            "_n", F.count(F.lit(1)).over(Window.partitionBy(*self._piece_keys()))
+        base = self.df.withColumn("__i", F.row_number().over(w)).withColumn(
+            "__n", F.count(F.lit(1)).over(Window.partitionBy(*self._piece_keys()))
         )
-        head = self._flag(_CONTINUES) & (F.col("_i") <= lookback)
-        tail = self._flag(_GOES_ON) & (F.col("_i") > F.col("_n") - lookback)
+        head = self._flag(_CONTINUES) & (F.col("__i") <= lookback)
+        tail = self._flag(_GOES_ON) & (F.col("__i") > F.col("__n") - lookback)
         main = build(base, w).where(~head)
         # at most 2 * lookback rows per splitter, so one window per series is small here
         around = build(base.where(head | tail), Window.partitionBy(*(self.series or [F.lit(0)])).orderBy(*self.order))
-        return self._derive(main.unionByName(around.where(head)).drop("_i", "_n"))
+        return self._derive(main.unionByName(around.where(head)).drop("__i", "__n"))
 
 
 def islands(scan: OrderedScan, condition: Column, prefix: str = "run") -> OrderedScan:
@@ -300,23 +300,23 @@ def islands(scan: OrderedScan, condition: Column, prefix: str = "run") -> Ordere
     Adds ``{prefix}_id`` (null outside runs) and ``{prefix}_pos`` (1-based). A run may be any
     length: ids come from a running count of run starts, never from a window over the run.
     """
-    flagged = scan.with_columns({"_hit": F.coalesce(condition, F.lit(False))}).previous({"_was": "_hit"})
-    start = F.col("_hit") & ~F.coalesce(F.col("_was"), F.lit(False))
-    counted = flagged.with_columns({"_start": start}).row_number("_rn")
+    flagged = scan.with_columns({"__hit": F.coalesce(condition, F.lit(False))}).previous({"__was": "__hit"})
+    start = F.col("__hit") & ~F.coalesce(F.col("__was"), F.lit(False))
+    counted = flagged.with_columns({"__start": start}).row_number("__rn")
     ids = counted.running(
         {
-            "_run": ("sum", F.col("_start").cast("long")),
-            "_at": ("max", F.when(F.col("_start"), F.col("_rn"))),
+            "__run": ("sum", F.col("__start").cast("long")),
+            "__at": ("max", F.when(F.col("__start"), F.col("__rn"))),
         }
     )
-    hit = F.col("_hit")
+    hit = F.col("__hit")
     done = ids.with_columns(
         {
-            f"{prefix}_id": F.when(hit, F.col("_run")),
-            f"{prefix}_pos": F.when(hit, F.col("_rn") - F.col("_at") + 1),
+            f"{prefix}_id": F.when(hit, F.col("__run")),
+            f"{prefix}_pos": F.when(hit, F.col("__rn") - F.col("__at") + 1),
         }
     )
-    return done._derive(done.df.drop("_hit", "_was", "_start", "_rn", "_run", "_at"))
+    return done._derive(done.df.drop("__hit", "__was", "__start", "__rn", "__run", "__at"))
 
 
 def decayed_sum(scan: OrderedScan, name: str, term: Column, decay: float) -> OrderedScan:
@@ -333,36 +333,36 @@ def decayed_sum(scan: OrderedScan, name: str, term: Column, decay: float) -> Ord
     length = max(1, int(6 / digits))
     n_blocks = max(1, math.ceil(18 / (digits * length)))
     reach = max(1, math.ceil(18 / digits))
-    keys = scan._piece_keys() or ["_all"]
-    df = scan.df if scan._piece_keys() else scan.df.withColumn("_all", F.lit(0))
+    keys = scan._piece_keys() or ["__all"]
+    df = scan.df if scan._piece_keys() else scan.df.withColumn("__all", F.lit(0))
     d = F.lit(float(decay))
-    df = df.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(*scan.order)) - 1)
-    df = df.withColumns({"_blk": F.floor(F.col("_i") / length), "_p": F.col("_i") % length})
-    in_block = Window.partitionBy(*keys, "_blk").orderBy(*scan.order).rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_own", F.pow(d, F.col("_p")) * F.sum(term * F.pow(d, -F.col("_p"))).over(in_block))
-    end = F.when(F.col("_p") == length - 1, F.col("_own"))
-    by_block = Window.partitionBy(*keys).orderBy("_blk")
+    df = df.withColumn("__i", F.row_number().over(Window.partitionBy(*keys).orderBy(*scan.order)) - 1)
+    df = df.withColumns({"__blk": F.floor(F.col("__i") / length), "__p": F.col("__i") % length})
+    in_block = Window.partitionBy(*keys, "__blk").orderBy(*scan.order).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("__own", F.pow(d, F.col("__p")) * F.sum(term * F.pow(d, -F.col("__p"))).over(in_block))
+    end = F.when(F.col("__p") == length - 1, F.col("__own"))
+    by_block = Window.partitionBy(*keys).orderBy("__blk")
     incoming = F.lit(0.0)
     for k in range(1, n_blocks + 1):
         earlier = F.sum(end).over(by_block.rangeBetween(-k, -k))
         incoming = incoming + F.coalesce(earlier, F.lit(0.0)) * F.lit(float(decay ** (length * (k - 1))))
-    df = df.withColumn("_in", incoming)
-    df = df.withColumn(name, F.col("_own") + F.pow(d, F.col("_p") + 1) * F.col("_in"))
+    df = df.withColumn("__in", incoming)
+    df = df.withColumn(name, F.col("__own") + F.pow(d, F.col("__p") + 1) * F.col("__in"))
     if scan.is_split:
         pieces = (
             df.where(F.col(EDGE) != 0)
             .groupBy(*keys)
-            .agg(F.max_by(name, scan._order_key()).alias("_e"), F.count(F.lit(1)).alias("_k"))
+            .agg(F.max_by(name, scan._order_key()).alias("__e"), F.count(F.lit(1)).alias("__k"))
         )
         w = Window.partitionBy(*(scan.series or [F.lit(0)])).orderBy(BUCKET).rowsBetween(-reach, -1)
         carry = pieces.select(
             *keys,
             F.aggregate(
-                F.collect_list(F.struct("_k", "_e")).over(w),
+                F.collect_list(F.struct("__k", "__e")).over(w),
                 F.lit(0.0),
-                lambda acc, p: acc * F.pow(d, p["_k"]) + p["_e"],
-            ).alias("_e0"),
+                lambda acc, p: acc * F.pow(d, p["__k"]) + p["__e"],
+            ).alias("__e0"),
         )
         df = join_on(df, F.broadcast(carry), keys, "left")
-        df = df.withColumn(name, F.col(name) + F.pow(d, F.col("_i") + 1) * F.coalesce("_e0", F.lit(0.0))).drop("_e0")
-    return scan._derive(df.drop("_i", "_blk", "_p", "_own", "_in", "_all"))
+        df = df.withColumn(name, F.col(name) + F.pow(d, F.col("__i") + 1) * F.coalesce("__e0", F.lit(0.0))).drop("__e0")
+    return scan._derive(df.drop("__i", "__blk", "__p", "__own", "__in", "__all"))
