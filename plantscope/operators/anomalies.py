@@ -111,7 +111,7 @@ def longest_rise(scan: OrderedScan, value: str = "x", min_points: int = 5) -> Da
     """Longest strictly rising run per series (first one on ties), if it has enough points."""
     keys = scan.series
     stepped = scan.row_number("rn").previous({"_prev": value})
-    marked = islands(stepped, F.col(value) > F.col("_prev"), "_run")
+    marked = islands(stepped, F.col(value) > F.col("_prev"), "_run", position=False)
     runs = marked.df.where(F.col("_run_id").isNotNull()).groupBy(*keys, "_run_id").agg(
         F.count(F.lit(1)).alias("_steps"),
         F.min_by("_prev", "rn").alias("start_value"),
@@ -143,7 +143,7 @@ def exceedance_runs(scan: OrderedScan, threshold: float, direction: str = "above
     if direction not in ("above", "below"):
         raise ValueError("direction must be above or below")
     over = F.col(value) > threshold if direction == "above" else F.col(value) < threshold
-    marked = islands(scan, over)
+    marked = islands(scan, over, position=False)
     runs = marked.df.where(F.col("run_id").isNotNull()).groupBy(*scan.series, "run_id").agg(F.count(F.lit(1)).alias("len"))
     first = F.when(F.col("run_id") <= 20, F.struct("run_id", "len"))
     agg = runs.groupBy(*scan.series).agg(

@@ -147,18 +147,23 @@ def subgroup_points(groups: DataFrame, limits: DataFrame, series_keys: Sequence[
 
 
 def _centred(scan: OrderedScan) -> OrderedScan:
+    """Mean and sample sigma of the series, and whether the row is the first one."""
     stats = scan.df.groupBy(*scan.series).agg(
-        F.count(X).alias("n"), F.avg(X).alias("center"), F.coalesce(F.stddev_samp(X), F.lit(0.0)).alias("sd")
+        F.count(X).alias("n"),
+        F.avg(X).alias("center"),
+        F.coalesce(F.stddev_samp(X), F.lit(0.0)).alias("sd"),
+        F.min(F.struct(*scan.order)).alias("_first"),
     )
-    return scan.attach(stats).row_number("rn")
+    marked = scan.attach(stats).with_columns({"_is_first": F.struct(*scan.order) == F.col("_first")})
+    return marked._derive(marked.df.drop("_first"))
 
 
 def ewma_points(scan: OrderedScan, weight: float = 0.2, width: float = 3.0, clamp_lower: bool = False) -> DataFrame:
     """EWMA started at the mean, updated from the second point, constant limits."""
     if not 0 < weight <= 1:
         raise ValueError("weight must lie in (0, 1]")
-    ready = _centred(scan)
-    term = F.when(F.col("rn") == 1, F.lit(0.0)).otherwise(weight * (F.col(X) - F.col("center")))
+    ready = _centred(scan).row_number("rn")
+    term = F.when(F.col("_is_first"), F.lit(0.0)).otherwise(weight * (F.col(X) - F.col("center")))
     out = decayed_sum(ready, "_dev", term, 1.0 - weight).rows()
     half = width * F.col("sd") * math.sqrt(weight / (2 - weight))
     lower = F.col("center") - half
@@ -179,10 +184,10 @@ def cusum_points(scan: OrderedScan, slack: float = 0.5, decision: float = 5.0) -
     """Two-sided CUSUM as prefix sum minus its running minimum; the first point counts as zero."""
     ready = _centred(scan)
     z = F.when(F.col("sd") > 0, (F.col(X) - F.col("center")) / F.col("sd"))
-    first = F.col("rn") == 1
+    first = F.col("_is_first")
     up = F.when(first | z.isNull(), F.lit(0.0)).otherwise(z - slack)
     down = F.when(first | z.isNull(), F.lit(0.0)).otherwise(-z - slack)
-    sums = ready.running({"_up": ("sum", up), "_down": ("sum", down)})
+    sums = ready.running({"rn": ("count", F.lit(1)), "_up": ("sum", up), "_down": ("sum", down)})
     lows = sums.running({"_up0": ("min", F.col("_up")), "_down0": ("min", F.col("_down"))})
     return (
         lows.rows()
@@ -428,9 +433,9 @@ def trend_insight(scan: OrderedScan, limits: DataFrame) -> DataFrame:
     step = scan.previous({"_prev": X}).with_columns({"_step": F.signum(F.col(X) - F.col("_prev"))})
     longest = None
     for sign, name in ((1, "longest_rise"), (-1, "longest_fall")):
-        runs = islands(step, F.col("_step") == sign).df.groupBy(*keys).agg(
-            F.coalesce(F.max("run_pos"), F.lit(0)).alias(name)
-        )
+        marked = islands(step, F.col("_step") == sign, position=False).df
+        lengths = marked.groupBy(*keys, "run_id").agg(F.count("run_id").alias("_len"))
+        runs = lengths.groupBy(*keys).agg(F.max("_len").alias(name))
         longest = runs if longest is None else (join_on(longest, runs, keys) if keys else attach_stats(longest, runs, keys))
     out = join_on(base, longest, keys) if keys else attach_stats(base, longest, keys)
     delta = F.col("last_value") - F.col("first_value")

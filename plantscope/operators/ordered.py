@@ -294,29 +294,26 @@ class OrderedScan:
         return self._derive(main.unionByName(around.where(head)).drop("__i", "__n"))
 
 
-def islands(scan: OrderedScan, condition: Column, prefix: str = "run") -> OrderedScan:
+def islands(scan: OrderedScan, condition: Column, prefix: str = "run", position: bool = True) -> OrderedScan:
     """Mark runs of consecutive rows where ``condition`` holds.
 
-    Adds ``{prefix}_id`` (null outside runs) and ``{prefix}_pos`` (1-based). A run may be any
-    length: ids come from a running count of run starts, never from a window over the run.
+    Adds ``{prefix}_id`` (null outside runs) and, unless switched off, ``{prefix}_pos`` (1-based). A
+    run may be any length: ids are a running count of run starts, never a window over the run.
     """
     flagged = scan.with_columns({"__hit": F.coalesce(condition, F.lit(False))}).previous({"__was": "__hit"})
     start = F.col("__hit") & ~F.coalesce(F.col("__was"), F.lit(False))
-    counted = flagged.with_columns({"__start": start}).row_number("__rn")
-    ids = counted.running(
-        {
-            "__run": ("sum", F.col("__start").cast("long")),
-            "__at": ("max", F.when(F.col("__start"), F.col("__rn"))),
-        }
-    )
+    out = flagged.with_columns({"__start": start})
     hit = F.col("__hit")
-    done = ids.with_columns(
-        {
-            f"{prefix}_id": F.when(hit, F.col("__run")),
-            f"{prefix}_pos": F.when(hit, F.col("__rn") - F.col("__at") + 1),
-        }
+    if not position:
+        out = out.running({"__run": ("sum", F.col("__start").cast("long"))})
+        out = out.with_columns({f"{prefix}_id": F.when(hit, F.col("__run"))})
+        return out._derive(out.df.drop("__hit", "__was", "__start", "__run"))
+    out = out.running({"__rn": ("count", F.lit(1)), "__run": ("sum", F.col("__start").cast("long"))})
+    out = out.running({"__at": ("max", F.when(F.col("__start"), F.col("__rn")))})
+    out = out.with_columns(
+        {f"{prefix}_id": F.when(hit, F.col("__run")), f"{prefix}_pos": F.when(hit, F.col("__rn") - F.col("__at") + 1)}
     )
-    return done._derive(done.df.drop("__hit", "__was", "__start", "__rn", "__run", "__at"))
+    return out._derive(out.df.drop("__hit", "__was", "__start", "__rn", "__run", "__at"))
 
 
 def decayed_sum(scan: OrderedScan, name: str, term: Column, decay: float) -> OrderedScan:

@@ -56,15 +56,15 @@ def attach_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], bounded:
     """
     if not keys:
         one = F.lit(1)
-        return df.withColumn("_one", one).join(F.broadcast(stats.withColumn("_one", one)), "_one").drop("_one")
+        return df.withColumn("__one", one).join(F.broadcast(stats.withColumn("__one", one)), "__one").drop("__one")
     if bounded:
         return join_on(df, F.broadcast(stats), keys)
     n_keys = df.agg(F.approx_count_distinct(F.xxhash64(*keys))).first()[0]
     if n_keys <= BROADCAST_SERIES:
         return join_on(df, F.broadcast(stats), keys)
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"))
-    copies = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return join_on(salted, copies, [*keys, "_salt"]).drop("_salt")
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"))
+    copies = stats.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return join_on(salted, copies, [*keys, "__salt"]).drop("__salt")
 
 
 def quantiles(
