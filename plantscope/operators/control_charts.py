@@ -337,6 +337,7 @@ def run_rule_hits(
         hits.where(F.col("rule") == second)
         .groupBy(*scan.series)
         .agg(F.min(F.struct(*[c for c in keep if c not in scan.series], X)).alias("_f"))
+        .where(F.col("_f").isNotNull())
         .select(*scan.series, "_f.*", F.lit(second).alias("rule"))
     )
     return hits.where(F.col("rule") != second).unionByName(first)

@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(8, "tests", "4g")
+    session = local_session(4, "tests", "4g")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
