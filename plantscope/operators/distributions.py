@@ -30,6 +30,7 @@ N_PARAMS = {
     "poisson": 1, "negative_binomial": 2,
 }
 TRIANGLE_GRID = 20
+FIT_COLUMNS = ("family", "n", "k", "x_min", "x_max", "mean", "sd", "skewness", "kurtosis", "loglik", "params", "aic", "bic")
 
 
 def value_rows(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
@@ -199,6 +200,8 @@ def _discrete_sums(rows: DataFrame, stats: DataFrame, by: Sequence[str]) -> Data
 def fit_table(df: DataFrame, column: str, by: Sequence[str] = (), families: Sequence[str] | None = None) -> DataFrame:
     """Every family's parameters, log-likelihood, AIC and BIC per key (non-finite fits left out)."""
     by = list(by)
+    if clash := set(by) & set(FIT_COLUMNS):
+        raise ValueError(f"key column(s) {', '.join(sorted(clash))} clash with the result's columns")
     wanted = set(families or [*N_PARAMS, "empirical"])
     rows = value_rows(df, column, by)
     stats = base_stats(rows, by)
