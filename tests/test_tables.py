@@ -248,3 +248,16 @@ def test_plan_rules(spark):
         de.make_plan(df, overrides={"operator": "shuffle"})
     with pytest.raises(ValueError):
         de.standardized(F.col("speed"), 0.0, 1.0)
+
+
+def test_row_operators_take_a_stream(spark, events):
+    from plantscope.operators import anomalies as an
+
+    limits = spark.createDataFrame([("value", 120.0, None)], "column string, usl double, lsl double")
+    path = src.scratch_path(spark, "stream-in")
+    events.select("event_id", "value").write.parquet(path)
+    stream = spark.readStream.schema("event_id long, value double").parquet(path)
+    query = an.event_points(stream, ["event_id"], limits).writeStream.format("memory").queryName("points").start()
+    query.processAllAvailable()
+    query.stop()
+    assert spark.table("points").count() == events.where("value > 120").count() > 0
