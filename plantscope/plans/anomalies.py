@@ -12,7 +12,7 @@ KEYS = ["event_type"]
 ORDER = ["ts", "event_id"]
 
 SPEC = [("value", 120.0, 2.0), ("user_id", 140.0, None)]
-SPEC_SQL = "(VALUES ('value',120.0,2.0),('user_id',140.0,NULL)) t(\"column\",usl,lsl)"
+SPEC_SQL = "(VALUES ('value',120.0::DOUBLE,2.0::DOUBLE),('user_id',140.0,NULL)) t(\"column\",usl,lsl)"
 LONG_SQL = """l AS (SELECT 'value' AS "column", value AS v FROM events UNION ALL SELECT 'user_id', user_id::DOUBLE FROM events)"""
 SIDES_SQL = f"""s AS (SELECT "column", 'above' AS side, usl AS threshold FROM {SPEC_SQL} WHERE usl IS NOT NULL
  UNION ALL SELECT "column", 'below', lsl FROM {SPEC_SQL} WHERE lsl IS NOT NULL)"""
@@ -64,7 +64,7 @@ def deviations(spark, d):
 
 
 DEV_SQL = f"""WITH {LONG_SQL}, h AS (SELECT *, v - target AS dev, abs(v - target) > tolerance AS hit FROM l
- JOIN (VALUES ('value drift','value',50.0,80.0),('user drift','user_id',75.0,70.0)) t(name,"column",target,tolerance) USING ("column"))
+ JOIN (VALUES ('value drift','value',50.0::DOUBLE,80.0::DOUBLE),('user drift','user_id',75.0,70.0)) t(name,"column",target,tolerance) USING ("column"))
 SELECT name, "column", target, tolerance, {EVENT_COLS}, 0.85::DOUBLE AS confidence FROM h GROUP BY ALL"""
 
 

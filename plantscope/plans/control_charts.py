@@ -12,7 +12,7 @@ from plantscope.plans.registry import Query, read, tidy
 KEYS = ["event_type"]
 ORDER = ["ts", "event_id"]
 SPEC = [("click", -30.0, 150.0), ("view", -25.0, 140.0), ("signup", -40.0, 190.0), ("error", 0.0, None), ("purchase", -200.0, 300.0)]
-SPEC_SQL = "(VALUES ('click',-30.0,150.0),('view',-25.0,140.0),('signup',-40.0,190.0),('error',0.0,NULL),('purchase',-200.0,300.0)) spec(event_type,lsl,usl)"
+SPEC_SQL = "(VALUES ('click',-30.0::DOUBLE,150.0::DOUBLE),('view',-25.0,140.0),('signup',-40.0,190.0),('error',0.0,NULL),('purchase',-200.0,300.0)) spec(event_type,lsl,usl)"
 
 
 def scan(spark, d):

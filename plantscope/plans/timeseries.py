@@ -207,7 +207,7 @@ def provenance(spark, d):
 
 
 PROV_SQL = f"""WITH {FULL_CTE} SELECT feature, kind, source, lag, "window", availability, n_known FROM (VALUES
- ('value_lag_1','lag','value',1,NULL,'past_only',(SELECT count(value_lag_1) FROM f)), ('value_lag_7','lag','value',7,NULL,'past_only',(SELECT count(value_lag_7) FROM f)),
+ ('value_lag_1','lag','value',1::BIGINT,NULL::BIGINT,'past_only',(SELECT count(value_lag_1) FROM f)), ('value_lag_7','lag','value',7,NULL,'past_only',(SELECT count(value_lag_7) FROM f)),
  ('value_rolling_mean_5','rolling_mean','value',NULL,5,'past_only',(SELECT count(value_rolling_mean_5) FROM f)), ('value_rolling_std_5','rolling_std','value',NULL,5,'past_only',(SELECT count(value_rolling_std_5) FROM f)),
  ('value_first_difference','first_difference','value',1,NULL,'past_only',(SELECT count(value_first_difference) FROM f)), ('value_rate_of_change','rate_of_change','value',1,NULL,'past_only',(SELECT count(value_rate_of_change) FROM f)),
  ('hour','calendar',NULL,NULL,NULL,'known_in_advance',(SELECT count(hour) FROM f)), ('weekday','calendar',NULL,NULL,NULL,'known_in_advance',(SELECT count(weekday) FROM f)))
