@@ -33,6 +33,7 @@ BUCKET = "_bucket"
 EDGE = "_edge"
 _CONTINUES = 1  # the series started in an earlier bucket
 _GOES_ON = 2  # the series goes on in a later bucket
+_SEPARATOR = "\u0001"
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -53,13 +54,6 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def _quoted(value: str | None, sql_type: str) -> str:
-    if value is None:
-        return f"CAST(NULL AS {sql_type})"
-    text = value.replace("\\", "\\\\").replace("'", "\\'")
-    return f"CAST('{text}' AS {sql_type})"
-
-
 class OrderedScan:
     """Rows of ``df`` seen as ordered series; operations return a new scan."""
 
@@ -97,34 +91,56 @@ class OrderedScan:
         ranked = sample.withColumn("__i", F.row_number().over(Window.orderBy(*keys)))
         chosen = ranked.where(F.col("__i") % SAMPLES_PER_SPLITTER == 0).orderBy("__i")
         rows = chosen.select(*[F.col(k).cast("string").alias(k) for k in keys]).collect()
-        return list(dict.fromkeys(tuple(r) for r in rows))
+        # a splitter that holds the separator is left out: it would only have evened out the sizes
+        clean = [tuple(r) for r in rows if not any(_SEPARATOR in v for v in r if v)]
+        return list(dict.fromkeys(clean))
 
     def _assign(self, df: DataFrame, splitters: list[tuple[str | None, ...]]) -> DataFrame:
+        # one array literal per key column, made from one text each: the optimizer folds it to a
+        # single node, where an array of thousands of struct constructors would slow planning down
         keys = self.series + self.order
-        types = [df.schema[k].dataType.simpleString() for k in keys]
-        names = [f"k{i}" for i in range(len(keys))]
-        rows = [
-            "named_struct(" + ", ".join(f"'{n}', {_quoted(v, t)}" for n, v, t in zip(names, s, types)) + ")"
-            for s in splitters
-        ]
-        bounds = F.expr(f"array({', '.join(rows)})")
-        key = F.struct(*[F.col(k).alias(n) for k, n in zip(keys, names)])
+        bounds, parts = [], []
+        for i, k in enumerate(keys):
+            kind = df.schema[k].dataType.simpleString()
+            text = [s[i] for s in splitters]
+            if kind == "string":
+                if None in text:  # a null key sorts first and must differ from the empty text
+                    flags = _SEPARATOR.join("false" if t is None else "true" for t in text)
+                    bounds.append(F.split(F.lit(flags), _SEPARATOR).cast("array<boolean>"))
+                    parts.append(F.col(k).isNotNull())
+                    bounds.append(F.split(F.lit(_SEPARATOR.join(t or "" for t in text)), _SEPARATOR))
+                    parts.append(F.coalesce(F.col(k), F.lit("")))
+                else:
+                    bounds.append(F.split(F.lit(_SEPARATOR.join(text)), _SEPARATOR))
+                    parts.append(F.col(k))
+            else:
+                joined = _SEPARATOR.join("" if t is None else t for t in text)
+                bounds.append(F.split(F.lit(joined), _SEPARATOR).try_cast(f"array<{kind}>"))
+                parts.append(F.col(k))
+            if k in self.series:
+                n_series_parts = len(parts)
+        names = [f"k{j}" for j in range(len(parts))]
+        key = F.struct(*[p.alias(n) for p, n in zip(parts, names)])
+
+        def bound(index: Column) -> Column:
+            return F.struct(*[F.get(b, index).alias(n) for b, n in zip(bounds, names)])
+
         step, steps = 1, []
         while step <= len(splitters):
             steps.append(step)
             step *= 2
+        count = len(splitters)
         bucket = F.aggregate(
             F.array(*[F.lit(s) for s in reversed(steps)]),
             F.lit(0),
-            lambda low, s: F.when(F.get(bounds, low + s - 1) <= key, low + s).otherwise(low),
+            lambda low, s: F.when((low + s <= count) & (bound(low + s - 1) <= key), low + s).otherwise(low),
         )
         assigned = df.withColumn(BUCKET, bucket)
 
         def same_series(index: Column) -> Column:
-            bound = F.get(bounds, index)
-            cond = bound.isNotNull()
-            for name, k in zip(names, self.series):
-                cond = cond & bound[name].eqNullSafe(F.col(k))
+            cond = (index >= 0) & (index < count)
+            for b, p in zip(bounds[: n_series_parts if self.series else 0], parts):
+                cond = cond & F.get(b, index).eqNullSafe(p)
             return cond
 
         return assigned.withColumn(

@@ -128,3 +128,16 @@ def test_order_is_required(events):
         OrderedScan(events, [], [])
     with pytest.raises(ValueError):
         OrderedScan(events, ["nope"], ["ts"])
+
+
+def test_awkward_text_keys(spark):
+    names = ["", None, "a'b", "a\\b", "ü", " ", "x\u0001y"]
+    df = spark.range(700).select(
+        F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("id") % 7 + 1).cast("int")).alias("k"), (F.col("id") * 37 % 700).alias("i"), F.col("id").cast("double").alias("v")
+    )
+    scan = OrderedScan(df, ["k"], ["i"], rows_per_bucket=20)
+    assert scan.is_split
+    got = scan.running({"s": ("sum", F.col("v"))}).previous({"p": "v"}).rows()
+    w = Window.partitionBy("k").orderBy("i")
+    want = df.select("*", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"), F.lag("v").over(w).alias("p"))
+    pd.testing.assert_frame_equal(frame(got, "v"), frame(want, "v"))
