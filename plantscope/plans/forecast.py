@@ -156,7 +156,7 @@ PATHS = "ps AS (SELECT event_type, day(ts) AS day, count(*) AS n, avg(value) AS
 
 
 def calibration(spark, d):
-    obs = read(spark, d, "events").where(F.col("event_id") % 2 == 0).select("event_type", F.dayofmonth("ts").alias("day"), "value")
+    obs = read(spark, d, "events").select("event_type", F.dayofmonth("ts").alias("day"), "value")
     return tidy(fc.path_coverage(paths(spark, d).drop("n"), obs, ["event_type", "day"], "value"))
 
 
@@ -311,7 +311,7 @@ QUERIES = [
 SELECT count(*) AS n, round(avg(abs(x-b)),6)+0.0 AS mae_before, round(avg(abs(x-a)),6)+0.0 AS mae_after, round(sqrt(avg((x-b)**2)),6)+0.0 AS rmse_before, round(sqrt(avg((x-a)**2)),6)+0.0 AS rmse_after,
  round(avg(abs(x-b))-avg(abs(x-a)),6)+0.0 AS mae_improvement, avg(abs(x-a)) < avg(abs(x-b)) AS improved FROM h"""),
     Query("forecast_path_summary", lambda s, d: tidy(paths(s, d)), f"WITH {PATHS} SELECT event_type, day, n, round(mean,6)+0.0 AS mean, round(p05,6)+0.0 AS p05, round(p50,6)+0.0 AS p50, round(p95,6)+0.0 AS p95 FROM ps"),
-    Query("forecast_path_coverage", calibration, f"WITH {PATHS} SELECT count(*) AS n, round(avg((value >= p05 AND value <= p95)::INT),6)+0.0 AS coverage FROM events e JOIN ps ON e.event_type = ps.event_type AND day(e.ts) = ps.day WHERE event_id % 2 = 0"),
+    Query("forecast_path_coverage", calibration, f"WITH {PATHS} SELECT count(*) AS n, round(avg((value >= p05 AND value <= p95)::INT),6)+0.0 AS coverage FROM events e JOIN ps ON e.event_type = ps.event_type AND day(e.ts) = ps.day"),
     Query("forecast_appended_halves", appended, f"WITH {N} SELECT event_type, CASE WHEN rn <= floor(n/2) THEN 'adapt' ELSE 'holdout' END AS half, count(*) AS n, round(avg(x),6)+0.0 AS mean FROM n GROUP BY 1,2"),
     Query("risk_bootstrap_rows", bootstrap),
     Query("risk_spec", lambda s, d: tidy(rk.spec_risk(ev(s, d), "value", 0.5, 150.0, KEYS)), f"SELECT event_type, n, round(m,6)+0.0 AS mean, round(s,6)+0.0 AS std, ng AS ng_count, round(ng/n,6)+0.0 AS ng_probability, round(ng/n*1e6,6)+0.0 AS dpmo, round((m-0.5)/s,6)+0.0 AS z_lsl, round((150-m)/s,6)+0.0 AS z_usl FROM ({RISK})"),

@@ -222,8 +222,7 @@ rd AS (SELECT *, CASE WHEN n = 0 OR (n_rows-n)/n_rows > 0.5 THEN 'critical' WHEN
 
 
 def disorder(spark, d):
-    df = read(spark, d, "orders").where(F.col("o_orderkey") % 7 != 0)
-    return quality.time_disorder(df, "o_orderdate", ["o_orderkey"])
+    return quality.time_disorder(read(spark, d, "orders"), "o_orderdate", ["o_orderkey"])
 
 
 QUERIES = [
@@ -247,7 +246,7 @@ QUERIES = [
     Query("quality_duplicate_rows", on_planted(lambda s, p: quality.duplicate_rows(p)), f"WITH {PLANTED_SQL} SELECT sum(k-1)::BIGINT AS n FROM (SELECT count(*) AS k FROM p GROUP BY event_id, ts, event_type, value, reading, tool, result, batch, sparse)"),
     Query("quality_constant_columns", on_planted(lambda s, p: quality.constant_columns(p)), f"WITH {PLANTED_SQL} SELECT 'tool' AS \"column\", count(tool) AS n FROM p HAVING count(DISTINCT tool) <= 1"),
     Query("quality_outliers", on_planted(lambda s, p: quality.outlier_columns(p, NUM)), OUTLIER_SQL),
-    Query("quality_time_disorder", disorder, """SELECT 'o_orderdate' AS "column", count(*) AS n FROM (SELECT o_orderdate < lag(o_orderdate) OVER (ORDER BY o_orderkey) AS b FROM orders WHERE o_orderkey % 7 <> 0) WHERE b"""),
+    Query("quality_time_disorder", disorder, """SELECT 'o_orderdate' AS "column", count(*) AS n FROM (SELECT o_orderdate < lag(o_orderdate) OVER (ORDER BY o_orderkey) AS b FROM orders) WHERE b"""),
     Query("quality_outcome_imbalance", on_planted(lambda s, p: quality.outcome_imbalance(p, ["result"])), f"WITH {PLANTED_SQL} SELECT 'result' AS \"column\", count(*) FILTER (upper(result) IN ('OK','PASS','1')) AS n_ok, count(*) FILTER (upper(result) IN ('NG','FAIL','0')) AS n_ng FROM p"),
     Query("quality_batch_imbalance", on_planted(lambda s, p: quality.batch_imbalance(p, ["batch", "event_type"])), f"WITH {PLANTED_SQL} SELECT * FROM (SELECT 'batch' AS \"column\", min(k) AS smallest, max(k) AS largest FROM (SELECT count(*) AS k FROM p GROUP BY batch) UNION ALL SELECT 'event_type', min(k), max(k) FROM (SELECT count(*) AS k FROM p GROUP BY event_type)) WHERE smallest/largest < 0.1"),
     Query("quality_mixed_formats", on_planted(lambda s, p: quality.mixed_formats(p)), FORMAT_SQL),
