@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plantscope.llm import line_spread, radix_dedup, secrets, shards
+from plantscope.llm import line_spread, radix_dedup, secrets, shards, simhash
 from plantscope.plans.registry import Query, read
 
 
@@ -12,6 +12,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(read(spark, sf_dir, "documents"))
 
 
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(read(spark, sf_dir, "documents"))
+
+
 def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.digest(read(spark, sf_dir, "documents"))
 
@@ -26,6 +30,7 @@ def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = (
     Query("op1_secret_scan", op1_secret_scan),
+    Query("op2_simhash_dedup", op2_simhash_dedup),
     Query("op3_histogram_shards", op3_histogram_shards),
     Query("op9_radix_dedup", op9_radix_dedup, radix_dedup.DIGEST_SQL),
     Query("op10_line_spread", op10_line_spread, line_spread.DIGEST_SQL),
