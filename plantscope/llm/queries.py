@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plantscope.llm import bpe_tree, line_spread, radix_dedup, secrets, shards, simhash
+from plantscope.llm import bpe_tree, impact_index, line_spread, packing, radix_dedup, secrets, shards, simhash
 from plantscope.plans.registry import Query, read
 
 
@@ -20,6 +20,14 @@ def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.digest(read(spark, sf_dir, "documents"))
 
 
+def op4_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(read(spark, sf_dir, "documents"))
+
+
+def op5_impact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_index.digest(read(spark, sf_dir, "embeddings"))
+
+
 def op6_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.digest(read(spark, sf_dir, "documents"))
 
@@ -36,6 +44,8 @@ QUERIES = (
     Query("op1_secret_scan", op1_secret_scan),
     Query("op2_simhash_dedup", op2_simhash_dedup),
     Query("op3_histogram_shards", op3_histogram_shards),
+    Query("op4_nnls_packing", op4_nnls_packing),
+    Query("op5_impact_top_k", op5_impact_top_k, impact_index.DIGEST_SQL),
     Query("op6_bpe_tree", op6_bpe_tree),
     Query("op9_radix_dedup", op9_radix_dedup, radix_dedup.DIGEST_SQL),
     Query("op10_line_spread", op10_line_spread, line_spread.DIGEST_SQL),
