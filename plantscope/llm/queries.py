@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plantscope.llm import bpe_tree, impact_index, line_spread, packing, radix_dedup, secrets, shards, simhash
+from plantscope.llm import bpe_tree, impact_index, line_spread, packing, radix_dedup, reply_trees, secrets, shards, simhash
 from plantscope.plans.registry import Query, read
 
 
@@ -32,6 +32,10 @@ def op6_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.digest(read(spark, sf_dir, "documents"))
 
 
+def op7_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reply_trees.digest(read(spark, sf_dir, "conversations"))
+
+
 def op9_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radix_dedup.equal_texts(read(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ QUERIES = (
     Query("op4_nnls_packing", op4_nnls_packing),
     Query("op5_impact_top_k", op5_impact_top_k, impact_index.DIGEST_SQL),
     Query("op6_bpe_tree", op6_bpe_tree),
+    Query("op7_reply_trees", op7_reply_trees, reply_trees.DIGEST_SQL),
     Query("op9_radix_dedup", op9_radix_dedup, radix_dedup.DIGEST_SQL),
     Query("op10_line_spread", op10_line_spread, line_spread.DIGEST_SQL),
 )
