@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plantscope.llm import bpe_tree, impact_index, line_spread, packing, radix_dedup, reply_trees, secrets, shards, simhash
+from plantscope.llm import bpe_tree, impact_index, line_spread, packing, radix_dedup, reply_trees, secrets, shards, simhash, toxicity
 from plantscope.plans.registry import Query, read
 
 
@@ -36,6 +36,10 @@ def op7_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reply_trees.digest(read(spark, sf_dir, "conversations"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op9_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radix_dedup.equal_texts(read(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES = (
     Query("op5_impact_top_k", op5_impact_top_k, impact_index.DIGEST_SQL),
     Query("op6_bpe_tree", op6_bpe_tree),
     Query("op7_reply_trees", op7_reply_trees, reply_trees.DIGEST_SQL),
+    Query("op8_toxicity", op8_toxicity),
     Query("op9_radix_dedup", op9_radix_dedup, radix_dedup.DIGEST_SQL),
     Query("op10_line_spread", op10_line_spread, line_spread.DIGEST_SQL),
 )
