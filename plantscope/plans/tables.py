@@ -86,6 +86,7 @@ def series(spark, d):
 # -- roles --------------------------------------------------------------------
 
 ROLE_EXPR = {
+    "機台": "l_suppkey", "量測良率": "l_extendedprice", "出貨日期": "l_shipdate", "備註": "concat('n', CAST(l_linenumber AS STRING))",
     "lot": "l_orderkey", "run order": "l_linenumber", "ship date": "l_shipdate", "input_temperature": "l_quantity",
     "output-rate": "l_extendedprice", "result": "CASE WHEN l_returnflag = 'A' THEN 'ng' ELSE 'OK' END", "machine_id": "l_suppkey",
     "part": "l_partkey", "operator": "l_linestatus", "flag": "CASE WHEN l_tax > 0.04 THEN 1 ELSE 0 END", "grade": "l_returnflag",
@@ -116,15 +117,16 @@ _EV = " UNION ALL ".join(
 )
 
 
-def _w(words):
-    return "regexp_matches(nm, '(?i)\\b(" + "|".join(w for w in words if w.isascii() and "\\" not in w) + ")\\b')"
-
-
-ROLES_SQL = f"""WITH e AS (SELECT *, trim(regexp_replace(replace(replace(lower("column"),'_',' '),'-',' '),'\\s+',' ','g')) AS nm FROM ({_EV})),
-k AS (SELECT *, CASE WHEN {_w(roles.DESIGN_WORDS)} THEN 1 WHEN is_outcome THEN 2 WHEN datetime_share >= 0.9 AND {_w(roles.TIMESTAMP_WORDS)} THEN 3
- WHEN distinct_share >= 0.9 AND {_w(roles.IDENTIFIER_WORDS)} THEN 4 WHEN distinct_share >= 0.95 AND non_null > 10 AND numeric_share < 0.9 AND datetime_share < 0.9 THEN 5
- WHEN {_w(roles.MACHINE_WORDS)} THEN 6 WHEN {_w(roles.PART_WORDS)} THEN 7 WHEN {_w(roles.METADATA_WORDS)} THEN 8
- WHEN numeric_share >= 0.9 AND {_w(roles.OUTPUT_WORDS)} THEN 9 WHEN numeric_share >= 0.9 THEN 10 WHEN distinct_share <= 0.5 THEN 11 ELSE 12 END AS r FROM e)
+# what the name of each column says
+NAMED_SQL = """n(nm, named) AS (VALUES ('機台','machine'),('量測良率','output'),('出貨日期','timestamp'),('備註','metadata'),
+ ('lot','identifier'),('run order','design'),('ship date','timestamp'),('output rate','output'),('result','output'),('machine id','machine'),
+ ('part','part'),('operator','metadata'))"""
+ROLES_SQL = f"""WITH {NAMED_SQL}, e AS (SELECT v.*, coalesce(named,'') AS named FROM
+ (SELECT *, trim(regexp_replace(replace(replace(lower("column"),'_',' '),'-',' '),'\\s+',' ','g')) AS nm FROM ({_EV})) v LEFT JOIN n USING (nm)),
+k AS (SELECT *, CASE WHEN named = 'design' THEN 1 WHEN is_outcome THEN 2 WHEN datetime_share >= 0.9 AND named = 'timestamp' THEN 3
+ WHEN distinct_share >= 0.9 AND named = 'identifier' THEN 4 WHEN distinct_share >= 0.95 AND non_null > 10 AND numeric_share < 0.9 AND datetime_share < 0.9 THEN 5
+ WHEN named = 'machine' THEN 6 WHEN named = 'part' THEN 7 WHEN named = 'metadata' THEN 8
+ WHEN numeric_share >= 0.9 AND named = 'output' THEN 9 WHEN numeric_share >= 0.9 THEN 10 WHEN distinct_share <= 0.5 THEN 11 ELSE 12 END AS r FROM e)
 SELECT "column", ['identifier','quality_label','timestamp','identifier','identifier','category','category','metadata','output','input','category','metadata'][r] AS role,
  CASE WHEN r = 1 THEN CASE WHEN numeric_share >= 0.9 THEN 'continuous' ELSE 'categorical' END
   ELSE ['','binary','datetime','text','text','categorical','categorical','text','continuous','continuous','categorical','text'][r] END AS data_type,
