@@ -122,6 +122,8 @@ def gamma_p(a, x):
                 n += 1
                 if np.all(np.abs(term) <= 1e-16 * np.abs(total)):
                     break
+            else:
+                raise ArithmeticError("the incomplete gamma series did not converge")
             out[low] = total * front[low]
         high = pos & ~low
         if high.any():
@@ -138,6 +140,8 @@ def gamma_p(a, x):
                 h = h * step
                 if np.all(np.abs(step - 1) < 1e-15):
                     break
+            else:
+                raise ArithmeticError("the incomplete gamma fraction did not converge")
             out[high] = 1 - front[high] * h
     return np.clip(out, 0.0, 1.0)
 
@@ -165,8 +169,10 @@ def beta_i(a, b, x):
                 c = np.where(np.abs(c) < tiny, tiny, c)
                 step = c * d
                 h = h * step
-            if np.all(np.abs(step - 1) < 1e-15):
+            if np.all(np.abs(step - 1)[(t > 0) & np.isfinite(step)] < 1e-14):
                 break
+        else:
+            raise ArithmeticError("the incomplete beta fraction did not converge")
         val = front * h
     val = np.where(t <= 0, 0.0, val)
     return np.clip(np.where(swap, 1 - val, val), 0.0, 1.0)

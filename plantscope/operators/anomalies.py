@@ -138,14 +138,16 @@ def longest_rise(scan: OrderedScan, value: str = "x", min_points: int = 5) -> Da
     )
 
 
-def exceedance_runs(scan: OrderedScan, threshold: float, direction: str = "above", value: str = "x") -> DataFrame:
-    """Run count, longest, mean and the first 20 run lengths in order, per series."""
+def exceedance_runs(
+    scan: OrderedScan, threshold: float, direction: str = "above", value: str = "x", lengths: int = 0
+) -> DataFrame:
+    """Run count, longest, mean and the first ``lengths`` run lengths in order, per series."""
     if direction not in ("above", "below"):
         raise ValueError("direction must be above or below")
     over = F.col(value) > threshold if direction == "above" else F.col(value) < threshold
     marked = islands(scan, over, position=False)
     runs = marked.df.where(F.col("run_id").isNotNull()).groupBy(*scan.series, "run_id").agg(F.count(F.lit(1)).alias("len"))
-    first = F.when(F.col("run_id") <= 20, F.struct("run_id", "len"))
+    first = F.when(F.col("run_id") <= lengths, F.struct("run_id", "len"))
     agg = runs.groupBy(*scan.series).agg(
         F.count(F.lit(1)).alias("n_runs"),
         F.max("len").alias("longest"),

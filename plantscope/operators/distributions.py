@@ -23,13 +23,13 @@ V = "value"
 MIN_ROWS = 10
 SHIFT_FLOOR = 1e-6
 EPS = 2.220446049250313e-16
-WEIBULL_STEPS = 6
+MOST_STEPS = 100  # of Newton's method; a shape that still moves then is an error
+STEP_TOLERANCE = 1e-10
 # fixed values: parameter counts used in AIC and BIC; fixed locations count
 N_PARAMS = {
     "normal": 2, "lognormal": 3, "uniform": 2, "triangular": 3, "weibull": 3, "gamma": 3,
     "poisson": 1, "negative_binomial": 2,
 }
-TRIANGLE_GRID = 20
 FIT_COLUMNS = ("family", "n", "k", "x_min", "x_max", "mean", "sd", "skewness", "kurtosis", "loglik", "params", "aic", "bic")
 
 
@@ -117,10 +117,11 @@ def shifted(rows: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
     return attach_stats(rows, offset, by).withColumn("_y", F.col(V) + F.col("_off")).drop("_off")
 
 
-def weibull_shape(rows: DataFrame, stats: DataFrame, logs: DataFrame, by: Sequence[str], steps: int = WEIBULL_STEPS) -> DataFrame:
+def weibull_shape(rows: DataFrame, stats: DataFrame, logs: DataFrame, by: Sequence[str], steps: int = MOST_STEPS) -> DataFrame:
     """Weibull shape and scale with location 0: Newton steps on the profile likelihood.
 
-    Values are divided by their mean, so powers stay in range. All keys advance in each pass.
+    Values are divided by their mean, so powers stay in range. All keys advance in each pass, until no
+    shape moves any more; an error after ``steps`` passes.
     """
     ensure_checkpoint_dir(rows.sparkSession)
     start = logs.where(F.col("ln_sd") > 0).select(
@@ -140,6 +141,10 @@ def weibull_shape(rows: DataFrame, stats: DataFrame, logs: DataFrame, by: Sequen
         slope = F.col("_c") / F.col("_a") - ratio * ratio + 1 / (k * k)
         moved = F.greatest(k - value / slope, k / 4)
         current = sums.select(*by, "y_mean", "_lm", moved.alias("_k"), "_m", k.alias("_k0")).checkpoint()
+        if (current.agg(F.max(F.abs(F.col("_k") / F.col("_k0") - 1))).first()[0] or 0.0) <= STEP_TOLERANCE:
+            break
+    else:
+        raise ArithmeticError("the Weibull shape did not converge")
     data.unpersist()
     # the last mean belongs to the shape before the last step, which by then equals it
     scale = F.col("y_mean") * F.pow(F.col("_m"), 1 / F.col("_k0"))
@@ -147,7 +152,10 @@ def weibull_shape(rows: DataFrame, stats: DataFrame, logs: DataFrame, by: Sequen
 
 
 def gamma_shape(logs: DataFrame, by: Sequence[str], steps: int = 6) -> DataFrame:
-    """Gamma shape with location 0 from two sufficient statistics: Newton on ln a - digamma(a)."""
+    """Gamma shape with location 0 from two sufficient statistics: Newton on ln a - digamma(a).
+
+    The start is within 1.5 % of the root, so six steps reach rounding; a gap left after them is an error.
+    """
     s = F.ln("y_mean") - F.col("ln_mean")
     t = logs.where(F.col("ln_sd") > 0).select(*by, "y_mean", "ln_mean", s.alias("_s"))
     t = t.withColumn("_a", (3 - F.col("_s") + F.sqrt(F.pow(F.col("_s") - 3, F.lit(2)) + 24 * F.col("_s"))) / (12 * F.col("_s")))
@@ -158,28 +166,31 @@ def gamma_shape(logs: DataFrame, by: Sequence[str], steps: int = 6) -> DataFrame
         if i % 2 == 1:
             # an aggregate boundary keeps the expressions from being folded into one another
             t = t.groupBy(*by, "y_mean", "ln_mean", "_s").agg(F.first("_a").alias("_a"))
-    return t.select(*by, F.col("_a").alias("gamma_shape"), (F.col("y_mean") / F.col("_a")).alias("gamma_scale"))
+    a = F.col("_a")
+    left = F.abs(F.ln(a) - digamma(a) - F.col("_s"))
+    failed = F.raise_error(F.lit("the gamma shape did not converge")).cast("double")
+    shape = F.when(left <= 1e-8 * F.greatest(F.lit(1.0), F.col("_s")), a).otherwise(failed)
+    t = t.select(*by, "y_mean", shape.alias("gamma_shape"))
+    return t.select(*by, "gamma_shape", (F.col("y_mean") / F.col("gamma_shape")).alias("gamma_scale"))
 
 
-def triangular_mode(rows: DataFrame, stats: DataFrame, by: Sequence[str], grid: int = TRIANGLE_GRID) -> DataFrame:
-    """Best mode among evenly spaced order statistics; all likelihoods come from one aggregate.
+def triangular_mode(rows: DataFrame, stats: DataFrame, by: Sequence[str], **kw) -> DataFrame:
+    """The mode of largest likelihood, which is always one of the values, from one ordered scan.
 
     The support is the data range widened by range / n on both sides, so that the extreme
-    values keep a positive density.
+    values keep a positive density. Running sums of the logarithms give every value's likelihood.
     """
-    probs = {f"_q{i}": i / grid for i in range(grid + 1)}
-    q = quantiles(rows, by, V, probs)
     pad = (F.col("x_max") - F.col("x_min")) / F.col("n")
     bounds = stats.where(F.col("x_max") > F.col("x_min")).select(*by, (F.col("x_min") - pad).alias("_a"), (F.col("x_max") + pad).alias("_b"))
-    joined = attach_stats(rows, _join(bounds, q, by), by)
-    a, b, x = F.col("_a"), F.col("_b"), F.col(V)
-
-    def density(m: Column) -> Column:
-        return F.when(x < m, 2 * (x - a) / ((b - a) * (m - a))).otherwise(2 * (b - x) / ((b - a) * (b - m)))
-
-    sums = joined.groupBy(*by, "_a", "_b", *probs).agg(*[F.sum(F.ln(density(F.col(n)))).alias(f"_l{n}") for n in probs])
-    best = F.array_max(F.array(*[F.struct(F.col(f"_l{n}").alias("ll"), F.col(n).alias("mode")) for n in probs]))
-    return sums.select(*by, "_a", "_b", best.alias("_t")).select(
+    counts = attach_stats(rows.groupBy(*by, V).agg(F.count(F.lit(1)).alias("_k")), bounds, by)
+    a, b, x, k = F.col("_a"), F.col("_b"), F.col(V), F.col("_k")
+    right = k * F.ln(b - x)
+    totals = counts.groupBy(*by).agg(F.sum(k).alias("_n"), F.sum(right).alias("_right"))
+    scan = OrderedScan(counts, by, [V], **kw).running({"_n1": ("sum", k), "_l1": ("sum", k * F.ln(x - a)), "_r1": ("sum", right)})
+    n, n1 = F.col("_n"), F.col("_n1")
+    ll = n * F.ln(2 / (b - a)) + F.col("_l1") - n1 * F.ln(x - a) + F.col("_right") - F.col("_r1") - (n - n1) * F.ln(b - x)
+    best = scan.attach(totals).rows().groupBy(*by, "_a", "_b").agg(F.max(F.struct(ll.alias("ll"), x.alias("mode"))).alias("_t"))
+    return best.select(
         *by, F.col("_a").alias("tri_low"), F.col("_b").alias("tri_high"), F.col("_t.mode").alias("tri_mode"), F.col("_t.ll").alias("tri_ll")
     )
 

@@ -8,11 +8,13 @@ import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plantscope.functions.special import t_quantile
 from plantscope.operators.models import FEATURES, LinearModel
 from plantscope.operators.stats import attach_stats, correlation, finite, quantiles
 
+NEW_FACTOR_BELOW = 5  # a short list of findings ends with the advice to try a new factor
 # fixed values: weights and status degrees of the credibility score
 WEIGHTS = {
     "data_coverage": 0.15, "predictive_accuracy": 0.25, "stability": 0.20,
@@ -165,10 +167,11 @@ def credibility(model: LinearModel, df: DataFrame, inputs: Sequence[str], status
     return row.withColumn("composite", total).withColumn("level", level)
 
 
-def recommend_experiments(strengths: DataFrame, stats: DataFrame, quarters: DataFrame, ranges: DataFrame, first_input: str, target: str, limit: int = 5) -> DataFrame:
+def recommend_experiments(strengths: DataFrame, stats: DataFrame, quarters: DataFrame, ranges: DataFrame, first_input: str, target: str, limit: int | None = None) -> DataFrame:
     """Next experiments: strong interactions with settings, transform, range expansion, replicate, new factor.
 
     All inputs are small tables (pairs, one residual row, one variance row, one row per input).
+    ``limit`` keeps the first ones of the list; without it all are returned.
     """
     r = ranges.select("column", "mean", ((F.col("max") - F.col("min")) / 2).alias("half"))
     left = r.select(F.col("column").alias("left"), F.col("mean").alias("_ml"), F.col("half").alias("_hl"))
@@ -193,9 +196,10 @@ def recommend_experiments(strengths: DataFrame, stats: DataFrame, quarters: Data
     count = found.agg(F.count(F.lit(1)).alias("_c"))
     fill = count.select(
         F.explode(F.array(F.struct(F.lit(4).alias("_o"), F.lit("replicate").alias("type"), (F.col("_c") < 2).alias("_use")),
-                          F.struct(F.lit(5).alias("_o"), F.lit("new_factor").alias("type"), (F.col("_c") < limit).alias("_use")))).alias("_f")
+                          F.struct(F.lit(5).alias("_o"), F.lit("new_factor").alias("type"), (F.col("_c") < NEW_FACTOR_BELOW).alias("_use")))).alias("_f")
     ).where("_f._use").select("_f._o", "_f.type", F.lit("low").alias("priority"), F.lit("").alias("factors"), F.lit(None).cast("double").alias("value"), none.alias("settings"))
-    return found.unionByName(fill).orderBy("_o", F.col("value").desc_nulls_last()).limit(limit).drop("_o")
+    ordered = found.unionByName(fill).orderBy("_o", F.col("value").desc_nulls_last())
+    return (ordered if limit is None else ordered.limit(limit)).drop("_o")
 
 
 # -- candidates and profiles ----------------------------------------------------------------------------
@@ -219,17 +223,18 @@ def next_run_candidates(df: DataFrame, inputs: Sequence[str]) -> DataFrame:
 def forest_spread(model: PipelineModel, candidates: DataFrame) -> DataFrame:
     """Disagreement of the forest's trees at each candidate, highest first.
 
-    The candidate table is tiny (two per input); each tree scores it as a transformer.
+    The candidate table has two rows per input and a centre point, so it is scored on the driver, by
+    every tree in one pass, instead of by one plan branch per tree.
     """
     assembler, forest = model.stages[0], model.stages[-1]
-    rows = assembler.transform(candidates.withColumn("_id", F.xxhash64(*candidates.columns)))
-    parts = None
-    for tree in forest.trees:
-        tree = tree.setFeaturesCol(FEATURES).setPredictionCol("_tree")
-        part = tree.transform(rows).select("_id", "_tree")
-        parts = part if parts is None else parts.unionByName(part)
-    spread = parts.groupBy("_id").agg(F.stddev_pop("_tree").alias("spread"))
-    return rows.drop(FEATURES).join(spread, "_id").drop("_id").orderBy(F.col("spread").desc())
+    rows = assembler.transform(candidates)
+    scored = []
+    for row in rows.collect():
+        each = [tree.predict(row[FEATURES]) for tree in forest.trees]
+        mean = sum(each) / len(each)
+        scored.append((*row[:-1], (sum((x - mean) ** 2 for x in each) / len(each)) ** 0.5))
+    schema = T.StructType([*candidates.schema.fields, T.StructField("spread", T.DoubleType())])
+    return candidates.sparkSession.createDataFrame(scored, schema).orderBy(F.col("spread").desc())
 
 
 def response_grid(model: LinearModel, df: DataFrame, x: str, y: str, inputs: Sequence[str], size: int = 25, by: Sequence[str] = (), **kw) -> DataFrame:

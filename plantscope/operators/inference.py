@@ -230,27 +230,35 @@ def permutation_sensitivity(
 ) -> DataFrame:
     """RMSE increase per input when it is permuted, averaged over repeats and normalised to 1.
 
-    ``score(df)`` adds ``predicted``. A repeat orders the rows by a hash of their key and gives each
-    row the inputs of the row before it: a random cyclic permutation from one ordered scan, with no
-    join. The same permutation serves every input, one input at a time.
+    ``score(df)`` adds ``predicted``. Rows are put in the order of a hash of their key, once; repeat r
+    gives each row the inputs of the row r before it, the first ones those of the last. All repeats and
+    inputs are scored in one pass: a row becomes one row per repeat and input.
     """
     slim = df.select(*dict.fromkeys([*key, target, *inputs]))
     base = score(slim).select(F.sqrt(F.avg(F.pow(F.col(target) - F.col("predicted"), 2))).alias("_base"))
-    per_repeat = None
-    for r in range(repeats):
-        hashed = slim.withColumn("_h", F.xxhash64(*key, F.lit(seed), F.lit(r)))
-        scan = OrderedScan(hashed, [], ["_h", *key], rows_per_bucket).previous({f"_p_{c}": c for c in inputs} | {"_seen": "_h"})
-        last = hashed.agg(F.max_by(F.struct(*inputs), F.struct("_h", *key)).alias("_last"))
-        rows = attach_stats(scan.rows(), last, [])
-        first = F.col("_seen").isNull()
-        rows = rows.withColumns({f"_p_{c}": F.when(first, F.col("_last")[c]).otherwise(F.col(f"_p_{c}")) for c in inputs})
-        errors = None
-        for c in inputs:
-            swapped = rows.select(target, *[(F.col(f"_p_{i}") if i == c else F.col(i)).alias(i) for i in inputs])
-            one = score(swapped).agg(F.sqrt(F.avg(F.pow(F.col(target) - F.col("predicted"), 2))).alias("_rmse")).select(F.lit(c).alias("input"), "_rmse")
-            errors = one if errors is None else errors.unionByName(one)
-        per_repeat = errors if per_repeat is None else per_repeat.unionByName(errors)
-    delta = attach_stats(per_repeat, base, []).groupBy("input").agg(
+    hashed = slim.withColumn("_h", F.xxhash64(*key, F.lit(seed)))
+    shifts = range(1, repeats + 1)
+    names = [f"_p{i}" for i in range(len(inputs))]
+    given = F.struct(*[F.col(c).alias(n) for c, n in zip(inputs, names)])
+    scan = OrderedScan(hashed, [], ["_h", *key], rows_per_bucket).row_number("_rn").with_columns({"_own": given})
+    scan = scan.bounded(lambda d, w: d.withColumns({f"_b{r}": F.lag("_own", r).over(w) for r in shifts}), repeats)
+    # the last ``repeats`` rows, in order: what the first rows are given
+    last = hashed.select("_h", *key, given.alias("_own")).orderBy(*[F.desc(c) for c in ("_h", *key)]).limit(repeats)
+    tail = last.agg(F.transform(F.sort_array(F.collect_list(F.struct("_h", *key, "_own"))), lambda x: x["_own"]).alias("_tail"))
+    rows = attach_stats(scan.rows(), tail, [])
+
+    def before(r: int) -> Column:
+        at = F.pmod(F.size("_tail") - r + F.col("_rn") - 1, F.size("_tail")).cast("int")
+        return F.when(F.col("_rn") > r, F.col(f"_b{r}")).otherwise(F.get("_tail", at))
+
+    variants = F.array(*[F.struct(F.lit(r).alias("_r"), F.lit(c).alias("input"), before(r).alias("_p")) for r in shifts for c in inputs])
+    each = rows.select(target, *inputs, F.explode(variants).alias("_v"))
+    swapped = each.select(
+        target, F.col("_v._r").alias("_r"), F.col("_v.input").alias("input"),
+        *[F.when(F.col("_v.input") == c, F.col("_v._p")[n]).otherwise(F.col(c)).alias(c) for c, n in zip(inputs, names)],
+    )
+    errors = score(swapped).groupBy("_r", "input").agg(F.sqrt(F.avg(F.pow(F.col(target) - F.col("predicted"), 2))).alias("_rmse"))
+    delta = attach_stats(errors, base, []).groupBy("input").agg(
         F.avg(F.greatest(F.col("_rmse") - F.col("_base"), F.lit(0.0))).alias("rmse_increase")
     )
     total = delta.agg(F.sum("rmse_increase").alias("_total"))

@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from plantscope.operators.frames import design_coverage, design_terms, factor_levels, treatment_terms
 from plantscope.operators.stats import finite, long_form
 
+NODE_MEMORY_MB = 1024  # histograms of more tree nodes in one pass over the rows
 FEATURES = "_features"
 MAX_SUM_TERMS = 12
 
@@ -251,7 +252,8 @@ def fit_forest(
     df: DataFrame, target: str, inputs: Sequence[str], trees: int = 200, depth: int = 10, leaf: int = 3, seed: int = 42
 ) -> PipelineModel:
     est = RandomForestRegressor(
-        featuresCol=FEATURES, labelCol=target, predictionCol="predicted", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=seed
+        featuresCol=FEATURES, labelCol=target, predictionCol="predicted", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=seed,
+        maxMemoryInMB=NODE_MEMORY_MB,
     )
     return _fit(est, df, inputs, target)
 
@@ -260,7 +262,8 @@ def fit_boosted(
     df: DataFrame, target: str, inputs: Sequence[str], rounds: int = 200, depth: int = 6, rate: float = 0.1, seed: int = 42
 ) -> PipelineModel:
     est = GBTRegressor(
-        featuresCol=FEATURES, labelCol=target, predictionCol="predicted", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed
+        featuresCol=FEATURES, labelCol=target, predictionCol="predicted", maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed,
+        maxMemoryInMB=NODE_MEMORY_MB,
     )
     return _fit(est, df, inputs, target)
 
@@ -294,10 +297,12 @@ class HybridModel:
         return out.withColumn("predicted", self.trend.prediction() + F.col("_rest")).drop("_rest", FEATURES)
 
 
-def fit_hybrid(df: DataFrame, target: str, inputs: Sequence[str], trees: int = 200, depth: int = 10, seed: int = 42) -> HybridModel:
+def fit_hybrid(
+    df: DataFrame, target: str, inputs: Sequence[str], trees: int = 100, depth: int = 10, leaf: int = 5, seed: int = 42
+) -> HybridModel:
     trend = fit_quadratic(df, target, inputs)
     rest = df.withColumn("_residual", F.col(target) - trend.prediction())
-    return HybridModel(trend, fit_forest(rest, "_residual", inputs, trees, depth, seed=seed))
+    return HybridModel(trend, fit_forest(rest, "_residual", inputs, trees, depth, leaf, seed))
 
 
 def outcome_label(col: Column) -> Column:
@@ -313,7 +318,8 @@ def fit_logistic(df: DataFrame, label: str, inputs: Sequence[str]) -> PipelineMo
 
 def classification_report(scored: DataFrame, label: str) -> DataFrame:
     """Accuracy, recall, AUC and class counts of a scored table."""
-    auc = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="raw").evaluate(scored)
+    # numBins=0: the exact curve, with no binning of scores
+    auc = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="raw", numBins=0).evaluate(scored)
     y, p = F.col(label), F.col("predicted")
     return scored.agg(
         F.count(F.lit(1)).alias("n"),

@@ -118,8 +118,8 @@ def _number(text: Column) -> Column:
     return F.replace(F.trim(text), F.lit(","), F.lit("")).try_cast("double")
 
 
-def mixed_formats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Text columns with numbers and other text, the rarer kind below half; its three smallest values."""
+def mixed_formats(df: DataFrame, columns: Sequence[str] | None = None, examples: int = 0) -> DataFrame:
+    """Text columns with numbers and other text, the rarer kind below half; its ``examples`` smallest values."""
     long = long_text(df, list(columns or string_columns(df))).where(F.col("value").isNotNull())
     kinds = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("_k")).withColumn("_num", _number(F.col("value")).isNotNull())
     t = kinds.groupBy("column").agg(
@@ -133,9 +133,9 @@ def mixed_formats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     minority = join_on(kinds, F.broadcast(t.select("column", "_minor_num")), ["column"]).where(
         F.col("_num") == F.col("_minor_num")
     )
-    # three passes for the three smallest: one value per column and pass, never a list of all values
+    # a pass for each example: one value per column and pass, never a list of all values
     found = t
-    for i in (1, 2, 3):
+    for i in range(1, examples + 1):
         rest = minority
         if i > 1:
             rest = join_on(minority, F.broadcast(found.select("column", f"example_{i - 1}")), ["column"]).where(

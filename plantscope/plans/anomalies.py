@@ -88,7 +88,7 @@ FROM b JOIN t USING (event_type) WHERE k = 1 AND steps+1 >= 5"""
 def exceedance(direction, threshold):
     def run(spark, d):
         s = cc.chart_scan(read(spark, d, "events"), "value", ORDER, KEYS)
-        return tidy(an.exceedance_runs(s, threshold, direction).withColumn("first_lengths", F.concat_ws(",", F.col("first_lengths").cast("array<string>"))))
+        return tidy(an.exceedance_runs(s, threshold, direction, lengths=20).withColumn("first_lengths", F.concat_ws(",", F.col("first_lengths").cast("array<string>"))))
 
     return run
 

@@ -62,7 +62,7 @@ def hybrid(spark, d):
     f = ts.time_split(features(spark, d).drop("rn"), "ts", ["event_id"], 0.7, 0.1, KEYS).withColumn("rest", F.col("y") - F.col("value_lag_1"))
     exo = ["hour", "weekday", "user_id"]
     f = f.join(read(spark, d, "events").select("event_id", "user_id"), "event_id")
-    model = md.fit_forest(f.where(F.col("split") == "train"), "rest", exo, trees=10, depth=5)
+    model = md.fit_forest(f.where(F.col("split") == "train"), "rest", exo, trees=100)
     scored = md.score(model, f.where(F.col("split") == "test")).withColumn("hybrid", F.col("predicted") + F.col("value_lag_1"))
     return tidy(fc.before_after(scored, "y", "value_lag_1", "hybrid"))
 
@@ -115,7 +115,7 @@ GATE = f"""WITH {COV} SELECT event_type, round(coverage,6)+0.0 AS coverage, n_fo
 
 def importance(spark, d):
     f = features(spark, d)
-    model = md.fit_forest(f, "y", FEATS, trees=10, depth=5)
+    model = md.fit_forest(f, "y", FEATS, trees=100)
     return tidy(spark.createDataFrame(md.importances(model, FEATS), "feature string, importance double"))
 
 
@@ -294,8 +294,8 @@ QUERIES = [
     Query("forecast_ar1_parameters", lambda s, d: tidy(fc.ar1_parameters(scan(s, d))), f"WITH {AR} SELECT event_type, round(a,6)+0.0 AS intercept, round(b,6)+0.0 AS phi, k AS n FROM ab"),
     Query("forecast_ar1", ar1, f"""WITH {AR}, la AS (SELECT event_type, x AS last FROM n WHERE rn = t) SELECT event_type, event_id, rn, round(a*(1-b**(rn-t))/(1-b)+(b**(rn-t))*last,6)+0.0 AS predicted FROM n JOIN ab USING (event_type) JOIN la USING (event_type) WHERE rn > t"""),
     Query("forecast_dynamic_regression", dynamic(lambda t: md.fit_linear(t, "y", FEATS))),
-    Query("forecast_forest", dynamic(lambda t: md.fit_forest(t, "y", FEATS, trees=10, depth=5))),
-    Query("forecast_boosted", dynamic(lambda t: md.fit_boosted(t, "y", FEATS, rounds=5, depth=3))),
+    Query("forecast_forest", dynamic(lambda t: md.fit_forest(t, "y", FEATS, trees=100))),
+    Query("forecast_boosted", dynamic(lambda t: md.fit_boosted(t, "y", FEATS, rounds=100))),
     Query("forecast_residual_hybrid", hybrid),
     Query("forecast_recursive", recursive),
     Query("forecast_fold_metrics", fold_rows, f"WITH {FO} SELECT event_type, fold, n, round(mae,6)+0.0 AS mae, round(rmse,6)+0.0 AS rmse, round(r2,6)+0.0 AS r2 FROM fm"),

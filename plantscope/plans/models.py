@@ -58,18 +58,6 @@ def holdout(fit, inputs=X3):
     return run
 
 
-def forest(df, y, inputs):
-    return md.fit_forest(df, y, inputs, trees=20, depth=6)
-
-
-def boosted(df, y, inputs):
-    return md.fit_boosted(df, y, inputs, rounds=10, depth=4)
-
-
-def hybrid(df, y, inputs):
-    return md.fit_hybrid(df, y, inputs, trees=20, depth=5)
-
-
 def factorial_model(spark, d):
     fx = factorial(spark, d)
     return md.fit_factorial(fx, "y", FACTORS), fx
@@ -87,9 +75,9 @@ def labelled(spark, d):
 
 
 def logistic(spark, d):
-    df = labelled(spark, d)
-    model = md.fit_logistic(df, "label", ["log_chars", "is_en"])
-    return tidy(md.classification_report(model.transform(df), "label"))
+    df = md.random_split(labelled(spark, d), ["doc_id"])
+    model = md.fit_logistic(df.where(F.col("split") == "train"), "label", ["log_chars", "is_en"])
+    return tidy(md.classification_report(model.transform(df.where(F.col("split") == "test")), "label"))
 
 
 def life(spark, d):
@@ -101,7 +89,7 @@ def life(spark, d):
 
 def selected(spark, d):
     df = lines(spark, d)
-    names = md.select_features(df, Y, [*X3, "l_linenumber"], trees=20)
+    names = md.select_features(df, Y, [*X3, "l_linenumber"])
     return spark.createDataFrame([(i + 1, n) for i, n in enumerate(names)], "rank long, feature string")
 
 
@@ -282,7 +270,7 @@ def interaction(spark, d):
 def sensitivity(spark, d):
     df = lines(spark, d)
     model = md.fit_quadratic(df, Y, X)
-    return tidy(inf.permutation_sensitivity(lambda t: md.score(model, t), df, Y, X, KEY, repeats=2))
+    return tidy(inf.permutation_sensitivity(lambda t: md.score(model, t), df, Y, X, KEY))
 
 
 def effect_size(spark, d):
@@ -324,8 +312,8 @@ def comparison(spark, d):
 
 def forest_folds(spark, d):
     df = lines(spark, d)
-    fit = lambda train: (lambda t, m=md.fit_forest(train, Y, X, trees=5, depth=4): md.score(m, t))
-    return tidy(inf.model_folds(df, fit, Y, KEY, 3))
+    fit = lambda train: (lambda t, m=md.fit_forest(train, Y, X): md.score(m, t))
+    return tidy(inf.model_folds(df, fit, Y, KEY))
 
 
 def applicability(spark, d):
@@ -434,7 +422,7 @@ SELECT reason, varied, round(q,6)+0.0 AS l_quantity, round(c,6)+0.0 AS l_discoun
 
 def spread(spark, d):
     df = lines(spark, d)
-    model = md.fit_forest(df, Y, X, trees=10, depth=5)
+    model = md.fit_forest(df, Y, X)
     return tidy(gv.forest_spread(model, gv.next_run_candidates(df, X)))
 
 
@@ -493,9 +481,9 @@ QUERIES = [
     Query("model_linear_holdout", holdout(md.fit_linear)),
     Query("model_quadratic_holdout", holdout(md.fit_quadratic)),
     Query("model_factorial_coefficients", factorial_coefs),
-    Query("model_forest_holdout", holdout(forest)),
-    Query("model_boosted_holdout", holdout(boosted)),
-    Query("model_hybrid_holdout", holdout(hybrid)),
+    Query("model_forest_holdout", holdout(md.fit_forest)),
+    Query("model_boosted_holdout", holdout(md.fit_boosted)),
+    Query("model_hybrid_holdout", holdout(md.fit_hybrid)),
     Query("model_logistic_report", logistic),
     Query("model_weibull_life", life),
     Query("model_selected_features", selected),

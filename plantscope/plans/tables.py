@@ -27,6 +27,15 @@ def csv_strings(spark, d):
     return src.read_csv(spark, csv_of_orders(spark, d), sep=";").select("o_orderkey", "o_orderstatus", "o_custkey")
 
 
+def csv_quoted(spark, d):
+    """Line feeds, delimiters and quotes in quoted cells, written and read back."""
+    path = src.scratch_path(spark, "orders-quoted")
+    note = F.concat(F.lit('say "'), "o_orderstatus", F.lit('",\n'), "o_orderpriority", F.when(F.col("o_orderkey") % 3 == 0, " é").otherwise(""))
+    rows = read(spark, d, "orders").select("o_orderkey", note.alias("note"), (F.col("o_orderkey") % 7).alias("rest"))
+    rows.write.options(header=True, quote='"', escape='"', encoding="utf-8").csv(path)
+    return src.read_csv(spark, path)
+
+
 def encodings(spark, d):
     path = csv_of_orders(spark, d)
     return src.detect_encoding(spark, path + "/*.csv").groupBy("encoding").agg((F.count(F.lit(1)) > 0).alias("seen"))
@@ -231,6 +240,8 @@ QUERIES = [
     Query("source_csv_import", csv_import, """SELECT o_orderkey::DOUBLE AS o_orderkey, o_orderstatus, round(o_totalprice,2)+0.0 AS o_totalprice,
  CASE WHEN o_custkey % 10 <> 0 THEN o_custkey::DOUBLE END AS o_custkey FROM orders"""),
     Query("source_csv_as_text", csv_strings, "SELECT o_orderkey::VARCHAR AS o_orderkey, o_orderstatus, CASE WHEN o_custkey % 10 = 0 THEN '' ELSE o_custkey::VARCHAR END AS o_custkey FROM orders"),
+    Query("source_csv_quoted", csv_quoted, """SELECT o_orderkey::VARCHAR AS o_orderkey, 'say "' || o_orderstatus || '",' || chr(10) || o_orderpriority || CASE WHEN o_orderkey % 3 = 0 THEN ' é' ELSE '' END AS note,
+ (o_orderkey % 7)::VARCHAR AS rest FROM orders"""),
     Query("source_csv_encoding", encodings, "SELECT 'utf-8' AS encoding, count(*) > 0 AS seen FROM orders"),
     Query("source_parquet_partitioned", parquet_partitioned, "SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice),2)+0.0 AS total FROM orders WHERE o_orderstatus='F' GROUP BY 1,2"),
     Query("source_snapshot_round_trip", snapshot, "SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, round(c_acctbal,2)+0.0 AS c_acctbal, c_mktsegment FROM customer"),
@@ -251,7 +262,7 @@ QUERIES = [
     Query("quality_time_disorder", disorder, """SELECT 'o_orderdate' AS "column", count(*) AS n FROM (SELECT o_orderdate < lag(o_orderdate) OVER (ORDER BY o_orderkey) AS b FROM orders) WHERE b"""),
     Query("quality_outcome_imbalance", on_planted(lambda s, p: quality.outcome_imbalance(p, ["result"])), f"WITH {PLANTED_SQL} SELECT 'result' AS \"column\", count(*) FILTER (upper(result) IN ('OK','PASS','1')) AS n_ok, count(*) FILTER (upper(result) IN ('NG','FAIL','0')) AS n_ng FROM p"),
     Query("quality_batch_imbalance", on_planted(lambda s, p: quality.batch_imbalance(p, ["batch", "event_type"])), f"WITH {PLANTED_SQL} SELECT * FROM (SELECT 'batch' AS \"column\", min(k) AS smallest, max(k) AS largest FROM (SELECT count(*) AS k FROM p GROUP BY batch) UNION ALL SELECT 'event_type', min(k), max(k) FROM (SELECT count(*) AS k FROM p GROUP BY event_type)) WHERE smallest/largest < 0.1"),
-    Query("quality_mixed_formats", on_planted(lambda s, p: quality.mixed_formats(p)), FORMAT_SQL),
+    Query("quality_mixed_formats", on_planted(lambda s, p: quality.mixed_formats(p, examples=3)), FORMAT_SQL),
     Query("quality_mixed_units", on_planted(lambda s, p: quality.mixed_units(p, ["reading", "tool", "batch"])), UNIT_SQL),
     Query("quality_out_of_range", on_planted(lambda s, p: quality.out_of_range(p, NUM, s.createDataFrame([("sparse", 10.0, None)], "column string, low double, high double"))), RANGE_SQL),
     Query("quality_missing_spec", on_planted(lambda s, p: quality.missing_spec(profile.column_profile(p, ["value", "sparse"]).where("is_numeric"), s.createDataFrame([("sparse", None, 5.0)], "column string, lsl double, usl double"))), f"WITH {PLANTED_SQL} SELECT 'value' AS \"column\" FROM p HAVING count(value) > 0"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 import codecs
 import uuid
 from collections.abc import Sequence
+from functools import reduce
+from urllib.parse import unquote
 
 import pandas as pd
 
@@ -23,6 +25,7 @@ METADATA_COLUMNS = (
     "process_step", "timestamp", "subgroup_id", "metric", "unit",
 )
 NUMERIC_SHARE = 0.9
+FORMATS = ("csv", "parquet", "xls", "xlsx")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -40,36 +43,68 @@ def detect_delimiter(spark: SparkSession, path: str) -> str:
     return DELIMITERS[list(first).index(max(first))]
 
 
-@F.pandas_udf(T.StringType())
-def _first_encoding(heads: pd.Series) -> pd.Series:
-    def decodes(data: bytes, name: str) -> bool:
-        try:
-            # a sample may end inside a character, so the decoder is not told that it is final
-            codecs.getincrementaldecoder(name)("strict").decode(bytes(data), final=False)
-        except UnicodeDecodeError:
-            return False
-        return True
-
-    return heads.map(lambda data: next(name for name in ENCODINGS if decodes(data, name)))
-
-
-def detect_encoding(spark: SparkSession, path: str, sample: int = 100_000) -> DataFrame:
-    """First candidate encoding that decodes the leading bytes, per file."""
-    head = spark.read.format("binaryFile").load(path).select("path", F.substring("content", 1, sample).alias("_head"))
-    return head.select("path", _first_encoding("_head").alias("encoding"))
-
-
-def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None) -> DataFrame:
-    """Header row, every cell as text, empty cells kept as empty text."""
-    cells = (
-        spark.read.option("header", True)
-        .option("sep", sep or detect_delimiter(spark, path))
-        .option("encoding", encoding or "utf-8")
-        .option("inferSchema", False)
-        .csv(path)
-    )
+@F.pandas_udf(T.LongType())
+def _decoding_set(lines: pd.Series) -> pd.Series:
+    """One bit per candidate encoding that decodes the line."""
+
+    def bits(data: bytes) -> int:
+        out = 0
+        for i, name in enumerate(ENCODINGS):
+            try:
+                codecs.decode(bytes(data), name)
+                out |= 1 << i
+            except UnicodeDecodeError:
+                pass
+        return out
+
+    return lines.map(bits)
+
+
+def detect_encoding(spark: SparkSession, path: str) -> DataFrame:
+    """First candidate encoding that decodes the whole file, per file.
+
+    Files are read line by line and so may be of any size: in none of the candidates is the byte of a
+    line feed part of another character. The last candidate decodes everything.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("_line"))
+    # most lines are plain ASCII, which all candidates decode alike
+    plain = ~F.col("_line").cast("string").rlike("[^\\x00-\\x7F]")
+    sets = lines.where(~plain).withColumn("_set", _decoding_set("_line")).groupBy("path").agg(F.bit_and("_set").alias("_set"))
+    every = lines.select("path").distinct()
+    first = F.lit(None).cast("string")
+    for i in reversed(range(len(ENCODINGS))):
+        first = F.when(F.coalesce(F.col("_set"), F.lit(-1)).bitwiseAND(F.lit(1 << i)) != 0, F.lit(ENCODINGS[i])).otherwise(first)
+    return every.join(sets, "path", "left").select("path", first.alias("encoding"))
+
+
+def read_csv(
+    spark: SparkSession, path: str | Sequence[str], sep: str | None = None, encoding: str | None = None, multi_line: bool = True
+) -> DataFrame:
+    """Header row, every cell as text, empty cells kept as empty text.
+
+    Quoted cells may hold delimiters, doubled quotes and line feeds. ``multi_line=False`` says that none
+    holds a line feed; then large files are split. Rows shorter than the header are padded with empty
+    text; a filled cell beyond it is an error. Without ``encoding`` each file is read in its own.
+    """
+    if encoding is None:
+        found: dict[str, list[str]] = {}
+        for r in detect_encoding(spark, path).collect():  # one row a file
+            found.setdefault(r["encoding"], []).append(unquote(r["path"]))
+        parts = [read_csv(spark, files, sep, name, multi_line) for name, files in sorted(found.items())]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    first = path if isinstance(path, str) else path[0]
+    options = {
+        "header": True, "sep": sep or detect_delimiter(spark, first), "encoding": encoding, "inferSchema": False,
+        "quote": '"', "escape": '"', "multiLine": multi_line,
+    }
+    names = spark.read.options(**options).csv(path).columns
+    extra = "__extra"
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, extra]])
+    cells = spark.read.options(**options, enforceSchema=True, columnPruning=False).schema(schema).csv(path)
     # text files hold no nulls: the reader's null is an empty cell
-    return cells.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in cells.columns])
+    whole = F.when(F.col(extra).isNull(), F.lit("")).otherwise(F.raise_error(F.lit("a row has more cells than the header")).cast("string"))
+    cells = cells.withColumn(names[0], F.concat(F.coalesce(F.col(names[0]), F.lit("")), whole))
+    return cells.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in names])
 
 
 def blank_to_null(col: Column) -> Column:
@@ -105,7 +140,9 @@ def series(df: DataFrame, column: str, order_by: Sequence[str], where: Column |
 
 
 def from_rows(spark: SparkSession, columns: Sequence[str], rows: Sequence[Sequence[object]]) -> DataFrame:
-    """Inline rows as text columns; short rows are padded with null, long ones cut to the header."""
+    """Inline rows as text columns; short rows are padded with null, longer ones are an error."""
+    if any(len(r) > len(columns) for r in rows):
+        raise ValueError("a row has more cells than the header")
     padded = [
         tuple(None if v is None else str(v) for v in (list(r) + [None] * len(columns))[: len(columns)]) for r in rows
     ]
@@ -122,19 +159,14 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), mo
 
 
 def scan_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Recursive listing of data files; the content column is never read."""
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.{xlsx,xls,csv,parquet}")
-        .load(folder)
-        .select(
-            "path",
-            F.element_at(F.split("path", "/"), -1).alias("name"),
-            F.col("length").alias("size"),
-            F.lower(F.element_at(F.split("path", "\\."), -1)).alias("format"),
-        )
-    )
+    """Recursive listing of data files, by suffix in any case; the content column is never read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return files.select(
+        "path",
+        F.element_at(F.split("path", "/"), -1).alias("name"),
+        F.col("length").alias("size"),
+        F.lower(F.element_at(F.split("path", "\\."), -1)).alias("format"),
+    ).where(F.col("format").isin(*FORMATS))
 
 
 def file_checksums(spark: SparkSession, path: str) -> DataFrame:

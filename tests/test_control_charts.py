@@ -125,7 +125,7 @@ def test_longest_rise_and_exceedance(spark):
     scan = cc.chart_scan(df, "v", ["i"], rows_per_bucket=4)
     r = an.longest_rise(scan).first()
     assert (r.run_length, r.start_index, r.start_value, r.end_value) == (6, 1, 1.0, 6.0)
-    e = an.exceedance_runs(scan, 4.5).first()
+    e = an.exceedance_runs(scan, 4.5, lengths=20).first()
     assert (e.n_runs, e.longest, list(e.first_lengths)) == (4, 3, [1, 2, 3, 3])
 
 

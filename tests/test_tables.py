@@ -21,7 +21,7 @@ from plantscope.sources import tables as src
 
 
 def test_inline_rows_are_padded(spark):
-    rows = src.from_rows(spark, ["a", "b"], [["1", "2"], ["3"], [None, 4, 5]]).collect()
+    rows = src.from_rows(spark, ["a", "b"], [["1", "2"], ["3"], [None, 4]]).collect()
     assert [tuple(r) for r in rows] == [("1", "2"), ("3", None), (None, "4")]
 
 
@@ -40,6 +40,35 @@ def test_encoding_per_file(spark, tmp_path):
     assert got == {"u.csv": "utf-8", "b.csv": "big5", "l.csv": "latin-1"}
 
 
+def test_csv_as_users_write_it(spark, tmp_path):
+    path = tmp_path / "x.csv"
+    path.write_text('a,b\n1,"x\ny"\n2,"say ""hi"""\n3\n4,"p,q"\n')
+    rows = src.read_csv(spark, str(path)).orderBy("a").collect()
+    assert [tuple(r) for r in rows] == [("1", "x\ny"), ("2", 'say "hi"'), ("3", ""), ("4", "p,q")]
+    path.write_text("a,b\n1,2,3\n")
+    with pytest.raises(Exception, match="more cells"):
+        src.read_csv(spark, str(path)).collect()
+    with pytest.raises(Exception, match="more cells"):
+        src.read_csv(spark, str(path)).select("b").collect()
+    with pytest.raises(ValueError, match="more cells"):
+        src.from_rows(spark, ["a"], [[1, 2]])
+
+
+def test_csv_files_are_read_in_their_own_encoding(spark, tmp_path):
+    late = "名稱,值\n" + "a,1\n" * 40_000 + "溫度,2\n"
+    (tmp_path / "u.csv").write_bytes(late.encode("utf-8"))
+    (tmp_path / "b c.csv").write_bytes(late.encode("big5"))
+    got = src.read_csv(spark, str(tmp_path)).where(F.col("值") == "2").collect()
+    assert [r["名稱"] for r in got] == ["溫度", "溫度"]
+
+
+def test_file_suffixes_in_any_case(spark, tmp_path):
+    for name in ("a.CSV", "b.Parquet", "c.txt", "d.XLSX", "e.csv"):
+        (tmp_path / name).write_text("x")
+    got = {r.name: r.format for r in src.scan_files(spark, str(tmp_path)).collect()}
+    assert got == {"a.CSV": "csv", "b.Parquet": "parquet", "d.XLSX": "xlsx", "e.csv": "csv"}
+
+
 def test_types_follow_the_share_of_numbers(spark):
     df = spark.createDataFrame([(str(i), "x" if i < 2 else " 1.5 ", "") for i in range(10)], "a string, b string, c string")
     out = src.normalize_types(df)
@@ -154,7 +183,7 @@ def test_outcome_and_format_checks(spark):
     df = spark.createDataFrame([("ok", "1.5"), ("OK", "2"), ("pass", "x1"), ("PASS", "3,000"), ("NG", None)], "r string, v string")
     row = quality.outcome_imbalance(df, ["r"]).first()
     assert (row.n_ok, row.n_ng) == (4, 1)
-    row = quality.mixed_formats(df, ["v"]).first()
+    row = quality.mixed_formats(df, ["v"], 2).first()
     assert (row.n_numeric, row.n_other, row.example_1, row.example_2) == (3, 1, "x1", None)
 
 
