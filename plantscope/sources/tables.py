@@ -25,6 +25,7 @@ METADATA_COLUMNS = (
     "process_step", "timestamp", "subgroup_id", "metric", "unit",
 )
 NUMERIC_SHARE = 0.9
+READER_ENCODINGS = ("utf-8", "latin-1")
 FORMATS = ("csv", "parquet", "xls", "xlsx")
 
 
@@ -77,6 +78,19 @@ def detect_encoding(spark: SparkSession, path: str) -> DataFrame:
     return every.join(sets, "path", "left").select("path", first.alias("encoding"))
 
 
+def _as_utf8(spark: SparkSession, files: Sequence[str], encoding: str) -> str:
+    """Copies of the files in UTF-8, for encodings that the CSV reader does not know; a file is one task's work."""
+
+    @F.pandas_udf(T.StringType())
+    def decoded(contents: pd.Series) -> pd.Series:
+        return contents.map(lambda data: bytes(data).decode(encoding))
+
+    path = scratch_path(spark, "csv-utf8")
+    texts = spark.read.format("binaryFile").load(list(files)).select(decoded("content").alias("value"), F.xxhash64("path").alias("file"))
+    texts.write.partitionBy("file").text(path)  # a folder for each file, so that each keeps its header line
+    return f"{path}/*/*.txt"
+
+
 def read_csv(
     spark: SparkSession, path: str | Sequence[str], sep: str | None = None, encoding: str | None = None, multi_line: bool = True
 ) -> DataFrame:
@@ -92,6 +106,10 @@ def read_csv(
             found.setdefault(r["encoding"], []).append(unquote(r["path"]))
         parts = [read_csv(spark, files, sep, name, multi_line) for name, files in sorted(found.items())]
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    if encoding not in READER_ENCODINGS:
+        path, encoding = _as_utf8(spark, [path] if isinstance(path, str) else path, encoding), "utf-8"
+    if encoding == "latin-1":
+        encoding = "iso-8859-1"
     first = path if isinstance(path, str) else path[0]
     options = {
         "header": True, "sep": sep or detect_delimiter(spark, first), "encoding": encoding, "inferSchema": False,
@@ -102,9 +120,9 @@ def read_csv(
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, extra]])
     cells = spark.read.options(**options, enforceSchema=True, columnPruning=False).schema(schema).csv(path)
     # text files hold no nulls: the reader's null is an empty cell
-    whole = F.when(F.col(extra).isNull(), F.lit("")).otherwise(F.raise_error(F.lit("a row has more cells than the header")).cast("string"))
-    cells = cells.withColumn(names[0], F.concat(F.coalesce(F.col(names[0]), F.lit("")), whole))
-    return cells.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in names])
+    too_long = F.raise_error(F.lit("a row has more cells than the header")).cast("string")
+    # in every column, so that the check holds whichever columns are used
+    return cells.select(*[F.when(F.col(extra).isNull(), F.coalesce(F.col(c), F.lit(""))).otherwise(too_long).alias(c) for c in names])
 
 
 def blank_to_null(col: Column) -> Column:
