@@ -236,10 +236,10 @@ def top_n_per_group(df: DataFrame, by: Sequence[str], score: str, tiebreak: Sequ
     return few.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= n)
 
 
-def group_coverage(df: DataFrame, group: str, in_validation: Column) -> DataFrame:
+def group_coverage(df: DataFrame, group: str, in_validation: Column, by: Sequence[str] = ()) -> DataFrame:
     """Groups seen in validation over all groups: flags fold per group before the count."""
-    seen = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.max(in_validation.cast("int")).alias("_in"))
-    return seen.agg(
+    seen = df.where(F.col(group).isNotNull()).groupBy(*by, group).agg(F.max(in_validation.cast("int")).alias("_in"))
+    return seen.groupBy(*by).agg(
         F.count_if(F.col("_in") == 1).alias("groups_seen"),
         F.count(F.lit(1)).alias("groups"),
     ).withColumn("coverage", F.col("groups_seen") / F.col("groups"))

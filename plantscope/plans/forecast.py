@@ -11,6 +11,7 @@ from plantscope.operators import models as md
 from plantscope.operators import risk as rk
 from plantscope.operators import routes as rt
 from plantscope.operators import timeseries as ts
+from plantscope.operators import validation as va
 from plantscope.operators.stats import attach_stats
 from plantscope.plans.registry import Query, read, tidy
 
@@ -74,43 +75,64 @@ def recursive(spark, d):
     return tidy(fc.recursive_forecast(s, model, 12, [1, 2, 3]))
 
 
-def folds(spark, d, fixed=True):
-    return fc.naive_folds(scan(spark, d), 1000, 150, 100, fixed)
+MODEL = [*KEYS, "model"]
+PLACE = {"initial": 1000, "horizon": 150, "step": 100}
 
 
-def fold_rows(spark, d):
-    return tidy(fc.fold_metrics(folds(spark, d), KEYS))
+def folds(spark, d):
+    return va.validation_folds(scan(spark, d), **PLACE)
 
 
-FO = f"""{N}, fe AS (SELECT event_type, rn, x, sum((x-prev)**2) OVER w AS sse, count(prev) OVER w AS ne, (rn-1000)//100 AS fold, n FROM n WINDOW w AS (PARTITION BY event_type ORDER BY rn)),
-ends AS (SELECT event_type, fold, x AS last, sse, ne FROM fe WHERE rn >= 1000 AND (rn-1000)%100 = 0 AND rn+150 <= n),
-fd AS (SELECT n.event_type, e.fold, n.x, e.last AS p, 1.959963984540054*sqrt(sse/ne)*sqrt(1+1/ne) AS h FROM n JOIN ends e ON n.event_type = e.event_type AND n.rn > 1000+e.fold*100 AND n.rn <= 1000+e.fold*100+150),
-fm AS (SELECT event_type, fold, count(*) AS n, avg(abs(x-p)) AS mae, sqrt(avg((x-p)**2)) AS rmse, 1-sum((x-p)**2)/(var_pop(x)*count(*)) AS r2 FROM fd GROUP BY 1,2)"""
+def fold_rows(spark, d):
+    return tidy(fc.fold_metrics(folds(spark, d), MODEL))
+
+
+# the same models, fitted fold by fold from the rows each fold trains on
+FO = f"""{N}, n2 AS (SELECT *, lag(x,2) OVER (PARTITION BY event_type ORDER BY rn) AS prev2 FROM n),
+en AS (SELECT event_type, (rn-1000)//100 AS fold, rn AS e, x AS last FROM n WHERE rn >= 1000 AND (rn-1000)%100 = 0 AND rn+150 <= n),
+tr AS (SELECT en.event_type, fold, e, last, x, prev, prev2, prev24 FROM en JOIN n2 ON n2.event_type = en.event_type AND n2.rn <= e),
+fit AS (SELECT event_type, fold, e, any_value(last) AS last, sum((x-prev)**2) AS s1, count(prev) AS k1, sum((x-prev24)**2) AS s24, count(prev24) AS k24,
+ regr_intercept(x,prev) AS a, regr_slope(x,prev) AS b, regr_syy(x,prev)-regr_slope(x,prev)*regr_sxy(x,prev) AS sa FROM tr GROUP BY 1,2,3),
+mo AS (SELECT event_type, fold, count(*) AS k, avg(x) AS my, avg(prev) AS m1, avg(prev2) AS m2, var_pop(prev) AS s11, var_pop(prev2) AS s22, covar_pop(prev,prev2) AS s12,
+ covar_pop(prev,x) AS s1y, covar_pop(prev2,x) AS s2y, var_pop(x) AS syy FROM tr WHERE prev2 IS NOT NULL GROUP BY 1,2),
+re AS (SELECT *, my-b1*m1-b2*m2 AS b0, k*(syy-b1*s1y-b2*s2y) AS sr FROM (SELECT *, (s22*s1y-s12*s2y)/(s11*s22-s12*s12) AS b1, (s11*s2y-s12*s1y)/(s11*s22-s12*s12) AS b2 FROM mo)),
+va AS (SELECT v.event_type, f.fold, v.ts, v.rn, v.x, v.prev, v.prev2, f.*EXCLUDE (event_type, fold), c.x AS cyc FROM n2 v JOIN fit f ON v.event_type = f.event_type AND v.rn > f.e AND v.rn <= f.e+150
+ JOIN n2 c ON c.event_type = v.event_type AND c.rn = f.e-23+(v.rn-f.e-1)%24),
+fd AS (SELECT event_type, 'naive' AS model, fold, x, last AS p, s1 AS s, k1 AS k, false AS obs FROM va
+ UNION ALL SELECT event_type, 'seasonal', fold, x, cyc, s24, k24, false FROM va
+ UNION ALL SELECT event_type, 'ar1', fold, x, a*(1-b**(rn-e))/(1-b)+b**(rn-e)*last, sa, k1, false FROM va
+ UNION ALL SELECT event_type, 'regression', fold, x, b0+b1*prev+b2*prev2, sr, r.k, true FROM va JOIN re r USING (event_type, fold)),
+fh AS (SELECT *, 1.959963984540054*sqrt(s/k)*sqrt(1+1/k) AS h FROM fd),
+fm AS (SELECT event_type, model, fold, count(*) AS n, avg(abs(x-p)) AS mae, sqrt(avg((x-p)**2)) AS rmse, 1-sum((x-p)**2)/(var_pop(x)*count(*)) AS r2 FROM fd GROUP BY 1,2,3)"""
 
 
 def mean_folds(spark, d):
-    return tidy(fc.mean_fold_metrics(fc.fold_metrics(folds(spark, d), KEYS), KEYS))
+    return tidy(fc.mean_fold_metrics(fc.fold_metrics(folds(spark, d), MODEL), MODEL))
 
 
 def coverage(spark, d):
-    return tidy(fc.interval_coverage(folds(spark, d), KEYS))
+    return tidy(fc.interval_coverage(folds(spark, d), MODEL))
 
 
-COV = FO + """, pf AS (SELECT event_type, fold, count(*) FILTER (x >= p-h AND x <= p+h) AS c, count(*) AS n, max(h) AS h FROM fd GROUP BY 1,2),
-cv AS (SELECT event_type, sum(c)::BIGINT AS covered_rows, sum(n)::BIGINT AS evaluated_rows, avg(2*h) AS mean_width, sum(c)/sum(n) AS coverage, count(*) AS n_folds FROM pf GROUP BY 1)"""
+COV = FO + """, pf AS (SELECT event_type, model, fold, count(*) FILTER (abs(x-p) <= h) AS c, count(*) AS n, max(h) AS h, max(obs::INT) AS obs FROM fh GROUP BY 1,2,3),
+cv AS (SELECT event_type, model, sum(c)::BIGINT AS covered_rows, sum(n)::BIGINT AS evaluated_rows, avg(2*h) AS mean_width, sum(c)/sum(n) AS coverage, count(*) AS n_folds, max(obs) AS obs FROM pf GROUP BY 1,2)"""
 
 
 def gate(spark, d):
-    f = folds(spark, d)
-    cov = fc.interval_coverage(f, KEYS).select(*KEYS, "coverage")
-    n = fc.fold_metrics(f, KEYS).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_folds"))
-    t = cov.join(n, KEYS).withColumns({"leakage_passed": F.col("event_type") != "view", "group_coverage": F.when(F.col("event_type") == "error", 0.5).otherwise(1.0)})
+    """Leakage from the models' lags, group coverage over the users of a series."""
+    ev = fc.numbered_scan(read(spark, d, "events"), "value", ORDER, KEYS, 0.8, ["user_id"]).rows()
+    end = PLACE["initial"] + PLACE["horizon"] + F.floor((F.col("n_series") - PLACE["initial"] - PLACE["horizon"]) / PLACE["step"]) * PLACE["step"]
+    users = ev.withColumn("_part", F.col("user_id") % 10)
+    seen = fr.group_coverage(users, "_part", (F.col("rn") > PLACE["initial"]) & (F.col("rn") <= end), KEYS)
+    t = va.gate_summary(folds(spark, d), seen.select(*KEYS, F.col("coverage").alias("group_coverage")), KEYS)
     return tidy(fc.gate_decision(t))
 
 
-GATE = f"""WITH {COV} SELECT event_type, round(coverage,6)+0.0 AS coverage, n_folds, event_type <> 'view' AS leakage_passed, CASE WHEN event_type='error' THEN 0.5 ELSE 1.0 END::DOUBLE AS group_coverage,
- CASE WHEN event_type IN ('view','error') OR coverage < 0.8 THEN 'needs_review' ELSE 'approved' END AS gate, concat_ws(',', CASE WHEN event_type='view' THEN 'observed_validation_target_usage' END,
- CASE WHEN coverage < 0.8 THEN 'interval_coverage_below_threshold' END, CASE WHEN event_type='error' THEN 'group_coverage_below_threshold' END) AS reasons FROM cv"""
+GATE = f"""WITH {COV}, us AS (SELECT n.event_type, user_id % 10 AS u, max((rn > 1000 AND rn <= 1150+(n-1150)//100*100)::INT) AS i FROM n JOIN events USING (event_id) GROUP BY 1,2),
+gc AS (SELECT event_type, avg(i) AS g FROM us GROUP BY 1)
+SELECT event_type, model, round(coverage,6)+0.0 AS coverage, n_folds, obs = 0 AS leakage_passed, round(g,6)+0.0 AS group_coverage,
+ CASE WHEN obs = 1 OR g < 1 OR coverage < 0.8 THEN 'needs_review' ELSE 'approved' END AS gate, concat_ws(',', CASE WHEN obs = 1 THEN 'observed_validation_target_usage' END,
+ CASE WHEN coverage < 0.8 THEN 'interval_coverage_below_threshold' END, CASE WHEN g < 1 THEN 'group_coverage_below_threshold' END) AS reasons FROM cv JOIN gc USING (event_type)"""
 
 
 def importance(spark, d):
@@ -298,9 +320,9 @@ QUERIES = [
     Query("forecast_boosted", dynamic(lambda t: md.fit_boosted(t, "y", FEATS, rounds=100))),
     Query("forecast_residual_hybrid", hybrid),
     Query("forecast_recursive", recursive),
-    Query("forecast_fold_metrics", fold_rows, f"WITH {FO} SELECT event_type, fold, n, round(mae,6)+0.0 AS mae, round(rmse,6)+0.0 AS rmse, round(r2,6)+0.0 AS r2 FROM fm"),
-    Query("forecast_mean_fold_metrics", mean_folds, f"WITH {FO} SELECT event_type, count(*) AS n_folds, round(avg(mae),6)+0.0 AS mae, round(avg(rmse),6)+0.0 AS rmse, round(avg(r2),6)+0.0 AS r2 FROM fm GROUP BY 1"),
-    Query("forecast_interval_coverage", coverage, f"WITH {COV} SELECT event_type, covered_rows, evaluated_rows, round(mean_width,6)+0.0 AS mean_width, round(coverage,6)+0.0 AS coverage FROM cv"),
+    Query("forecast_fold_metrics", fold_rows, f"WITH {FO} SELECT event_type, model, fold, n, round(mae,6)+0.0 AS mae, round(rmse,6)+0.0 AS rmse, round(r2,6)+0.0 AS r2 FROM fm"),
+    Query("forecast_mean_fold_metrics", mean_folds, f"WITH {FO} SELECT event_type, model, count(*) AS n_folds, round(avg(mae),6)+0.0 AS mae, round(avg(rmse),6)+0.0 AS rmse, round(avg(r2),6)+0.0 AS r2 FROM fm GROUP BY 1,2"),
+    Query("forecast_interval_coverage", coverage, f"WITH {COV} SELECT event_type, model, covered_rows, evaluated_rows, round(mean_width,6)+0.0 AS mean_width, round(coverage,6)+0.0 AS coverage FROM cv"),
     Query("forecast_gate", gate, GATE),
     Query("forecast_importance", importance),
     Query("forecast_block_permutation", blocks),
