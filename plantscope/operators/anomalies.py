@@ -57,6 +57,11 @@ def _sides(limits: DataFrame, upper: str, lower: str) -> DataFrame:
     )
 
 
+def _known(config: DataFrame, df: DataFrame) -> list[str]:
+    """The columns of ``df`` that a config table names."""
+    return [r[0] for r in config.select("column").where(F.col("column").isin(df.columns)).distinct().collect()]
+
+
 def threshold_events(
     df: DataFrame, limits: DataFrame, family: str, upper: str = "usl", lower: str = "lsl", by: Sequence[str] = ()
 ) -> DataFrame:
@@ -64,9 +69,9 @@ def threshold_events(
 
     ``limits`` is a small config table (column, upper, lower).
     """
-    columns = [r[0] for r in limits.select("column").distinct().collect() if r[0] in df.columns]
+    columns = _known(limits, df)
     long = long_form(df, columns, by).where(F.col("value").isNotNull())
-    joined = join_on(long, F.broadcast(_sides(limits.select("column", upper, lower), upper, lower)), ["column"])
+    joined = join_on(long, _sides(limits.select("column", upper, lower), upper, lower), ["column"])
     hit = F.when(F.col("side") == "above", F.col("value") > F.col("threshold")).otherwise(
         F.col("value") < F.col("threshold")
     )
@@ -96,10 +101,10 @@ def auto_control_events(df: DataFrame, columns: Sequence[str], by: Sequence[str]
 
 def deviation_events(df: DataFrame, templates: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Engineering templates (name, column, target, tolerance): |x - target| > tolerance."""
-    columns = [r[0] for r in templates.select("column").distinct().collect() if r[0] in df.columns]
+    columns = _known(templates, df)
     long = long_form(df, columns, by).where(F.col("value").isNotNull())
     usable = templates.where(F.col("target").isNotNull() & F.col("tolerance").isNotNull())
-    joined = join_on(long, F.broadcast(usable), ["column"])
+    joined = join_on(long, usable, ["column"])
     hit = F.abs(F.col("value") - F.col("target")) > F.col("tolerance")
     agg = joined.groupBy(*by, "name", "column", "target", "tolerance").agg(
         *_magnitude(hit, F.col("value") - F.col("target"))
@@ -211,9 +216,9 @@ def triple_independence(df: DataFrame, flags: dict[str, Column], by: Sequence[st
 
 def event_points(df: DataFrame, row_keys: Sequence[str], limits: DataFrame, upper: str = "usl", lower: str = "lsl") -> DataFrame:
     """One row per (row key, column, side) beyond its limit."""
-    columns = [r[0] for r in limits.select("column").distinct().collect() if r[0] in df.columns]
+    columns = _known(limits, df)
     long = long_form(df, columns, row_keys).where(F.col("value").isNotNull())
-    joined = join_on(long, F.broadcast(_sides(limits.select("column", upper, lower), upper, lower)), ["column"])
+    joined = join_on(long, _sides(limits.select("column", upper, lower), upper, lower), ["column"])
     over = (F.col("side") == "above") & (F.col("value") > F.col("threshold"))
     under = (F.col("side") == "below") & (F.col("value") < F.col("threshold"))
     return joined.where(over | under).select(*row_keys, "column", "side", "value", "threshold")

@@ -64,12 +64,19 @@ def individuals_limits(scan: OrderedScan) -> DataFrame:
     )
 
 
+def _one_spec(spec: DataFrame) -> DataFrame:
+    """A specification without series keys is one row; more would multiply every series."""
+    if len(spec.take(2)) > 1:
+        raise ValueError("a specification without series keys must be one row")
+    return spec
+
+
 def override_limits(limits: DataFrame, manual: DataFrame | None, keys: Sequence[str]) -> DataFrame:
     """Manual ``ucl``/``lcl`` per series win over the computed ones."""
     if manual is None:
         return limits
     m = manual.select(*keys, F.col("ucl").alias("_mu"), F.col("lcl").alias("_ml"))
-    joined = join_on(limits, F.broadcast(m), keys, "left")
+    joined = join_on(limits, m, keys, "left")
     return joined.withColumns(
         {"ucl": F.coalesce("_mu", "ucl"), "lcl": F.coalesce("_ml", "lcl")}
     ).drop("_mu", "_ml")
@@ -262,7 +269,7 @@ def capability(scan: OrderedScan, spec: DataFrame, subgroup_size: int = 1) -> Da
             }
         )
     shared = [k for k in keys if k in spec.columns]
-    stats = join_on(stats, F.broadcast(spec), shared, "left") if shared else attach_stats(stats, spec, [])
+    stats = join_on(stats, spec, shared, "left") if shared else attach_stats(stats, _one_spec(spec), [])
     return capability_from(stats, F.col("lsl"), F.col("usl"), "sigma_within", "sigma_overall", "center")
 
 
@@ -463,9 +470,9 @@ def spc_summary(scan: OrderedScan, spec: DataFrame) -> DataFrame:
     limits = individuals_limits(scan)
     hits = rule_counts(run_rule_hits(scan, limits), keys)
     cap = capability_from(
-        join_on(limits, F.broadcast(spec), [k for k in keys if k in spec.columns], "left")
+        join_on(limits, spec, [k for k in keys if k in spec.columns], "left")
         if any(k in spec.columns for k in keys)
-        else attach_stats(limits, spec, []),
+        else attach_stats(limits, _one_spec(spec), []),
         F.col("lsl"), F.col("usl"), "sigma", "sigma_overall", "center",
     )
     out = join_on(cap, hits, keys, "left") if keys else attach_stats(cap, hits, keys)

@@ -178,51 +178,62 @@ def gate_decision(summary: DataFrame, min_coverage: float = 0.8, min_groups: flo
 
 def block_permutation(
     score, df: DataFrame, target: str, features: Sequence[str], order_by: Sequence[str], block: int = 8, seed: int = 42,
-    rows_per_bucket: int | None = None,
+    rows_per_bucket: int | None = None, series_keys: Sequence[str] = (),
 ) -> DataFrame:
-    """MAE increase per feature when blocks of consecutive rows take another block's values.
+    """MAE increase per series and feature when blocks of consecutive rows take another block's values.
 
-    Blocks are put in a hashed order and each takes the block before it (the first takes the
-    last); rows meet by (block, offset). A row without a partner in a shorter block keeps its value.
+    Blocks of a series are put in a hashed order and each takes the block before it (the first takes the
+    last); rows meet by (block, offset). A row without a partner in a shorter block keeps its value. All
+    features are scored in one pass: a paired row becomes one row per feature.
     """
-    slim = df.select(*dict.fromkeys([*order_by, target, *features]))
-    rows = OrderedScan(slim, [], order_by, rows_per_bucket).row_number("_rn").rows()
+    keys = list(series_keys)
+    slim = df.select(*dict.fromkeys([*keys, *order_by, target, *features]))
+    rows = OrderedScan(slim, keys, order_by, rows_per_bucket).row_number("_rn").rows()
     rows = rows.withColumns({"_block": F.floor((F.col("_rn") - 1) / block), "_at": (F.col("_rn") - 1) % block})
-    blocks = rows.select("_block").distinct().withColumn("_h", F.xxhash64("_block", F.lit(seed)))
-    ring = OrderedScan(blocks, [], ["_h", "_block"], rows_per_bucket).previous({"_other": "_block"}).rows()
-    last = blocks.agg(F.max_by("_block", F.struct("_h", "_block")).alias("_end"))
-    ring = attach_stats(ring, last, []).select("_block", F.coalesce("_other", "_end").alias("_other"))
-    source = rows.select(F.col("_block").alias("_other"), "_at", *[F.col(c).alias(f"_p_{c}") for c in features], F.lit(True).alias("_found"))
-    paired = rows.join(ring, "_block").join(source, ["_other", "_at"], "left")
-    err = lambda d: d.agg(F.avg(F.abs(F.col(target) - F.col("predicted"))).alias("_mae"))
-    base = err(score(slim)).select(F.col("_mae").alias("baseline_mae"))
-    out = None
-    for c in features:
-        swapped = paired.select(target, *[(F.when(F.col("_found"), F.col(f"_p_{i}")).otherwise(F.col(i)) if i == c else F.col(i)).alias(i) for i in features])
-        part = err(score(swapped)).select(F.lit(c).alias("feature"), F.col("_mae").alias("perturbed_mae"))
-        out = part if out is None else out.unionByName(part)
-    return attach_stats(out, base, []).withColumn("mae_increase", F.col("perturbed_mae") - F.col("baseline_mae"))
-
-
-def conditional_contrasts(score, df: DataFrame, features: Sequence[str], **kw) -> DataFrame:
-    """Per ordered pair: mean prediction at the feature's upper minus lower quartile within tertiles
-    of the other feature, and the spread of these contrasts."""
-    long = df.select(*[finite(F.col(c)).alias(c) for c in features]).unpivot([], list(features), "column", "value").where(F.col("value").isNotNull())
-    q = {r["column"]: r for r in quantiles(long, ["column"], "value", {"q25": 0.25, "q75": 0.75, "t1": 1 / 3, "t2": 2 / 3}, **kw).collect()}
-    slim = df.select(*features)
-    out = None
+    blocks = rows.select(*keys, "_block").distinct().withColumn("_h", F.xxhash64("_block", F.lit(seed)))
+    ring = OrderedScan(blocks, keys, ["_h", "_block"], rows_per_bucket).previous({"_other": "_block"}).rows()
+    last = blocks.groupBy(*keys).agg(F.max_by("_block", F.struct("_h", "_block")).alias("_end"))
+    ring = attach_stats(ring, last, keys).select(*keys, "_block", F.coalesce("_other", "_end").alias("_other"))
+    given = F.struct(*[F.col(c).alias(f"_p{i}") for i, c in enumerate(features)]).alias("_given")
+    source = rows.select(*keys, F.col("_block").alias("_other"), "_at", given)
+    paired = join_on(join_on(rows, ring, [*keys, "_block"]), source, [*keys, "_other", "_at"], "left")
+    error = F.avg(F.abs(F.col(target) - F.col("predicted")))
+    base = score(slim).groupBy(*keys).agg(error.alias("baseline_mae"))
+    each = paired.select(*keys, target, *[c for c in features if c not in keys], "_given", F.explode(F.array(*[F.lit(c) for c in features])).alias("feature"))
+    swap = lambda i, c: F.when((F.col("feature") == c) & F.col("_given").isNotNull(), F.col("_given")[f"_p{i}"]).otherwise(F.col(c))
+    swapped = each.select(*keys, target, "feature", *[swap(i, c).alias(c) for i, c in enumerate(features)])
+    out = score(swapped).groupBy(*keys, "feature").agg(error.alias("perturbed_mae"))
+    return attach_stats(out, base, keys).withColumn("mae_increase", F.col("perturbed_mae") - F.col("baseline_mae"))
+
+
+def conditional_contrasts(score, df: DataFrame, features: Sequence[str], series_keys: Sequence[str] = (), **kw) -> DataFrame:
+    """Per series and pair: mean prediction at the feature's upper minus lower quartile within tertiles of
+    the other feature, and the spread of these contrasts.
+
+    All pairs are scored in one pass: a row becomes two rows per pair, at the two quartiles.
+    """
+    keys = list(series_keys)
+    slim = df.select(*keys, *[c for c in features if c not in keys])
+    long = slim.select(*keys, *[finite(F.col(c)).alias(c) for c in features]).unpivot(keys, list(features), "column", "value").where(F.col("value").isNotNull())
+    q = quantiles(long, [*keys, "column"], "value", {"q25": 0.25, "q75": 0.75, "t1": 1 / 3, "t2": 2 / 3}, **kw)
+    points = F.struct("q25", "q75", "t1", "t2")
+    wide = q.groupBy(*keys).agg(*[F.max(F.when(F.col("column") == c, points)).alias(f"_q{i}") for i, c in enumerate(features)])
+    at = {c: F.col(f"_q{i}") for i, c in enumerate(features)}
+    variants = []
     for f, cond in combinations(features, 2):
-        stratum = F.when(F.col(cond) <= q[cond]["t1"], 0).when(F.col(cond) <= q[cond]["t2"], 1).otherwise(2)
-        base = slim.withColumn("_s", stratum)
-        sides = None
-        for side, at in ((1, q[f]["q75"]), (-1, q[f]["q25"])):
-            part = score(base.withColumn(f, F.lit(float(at)))).select("_s", (F.col("predicted") * side).alias("_v"), F.lit(side).alias("_side"))
-            sides = part if sides is None else sides.unionByName(part)
-        means = sides.groupBy("_s").agg((F.sum("_v") / F.count_if(F.col("_side") == 1)).alias("_c"))
-        pair = means.agg(F.coalesce(F.stddev_pop("_c"), F.lit(0.0)).alias("strength"), F.count(F.lit(1)).alias("n_strata"))
-        pair = pair.select(F.lit(f).alias("feature"), F.lit(cond).alias("conditioning_feature"), "strength", "n_strata")
-        out = pair if out is None else out.unionByName(pair)
-    return out
+        stratum = F.when(F.col(cond) <= at[cond]["t1"], 0).when(F.col(cond) <= at[cond]["t2"], 1).otherwise(2)
+        for side, quartile in ((1, "q75"), (-1, "q25")):
+            variants.append(F.struct(F.lit(f).alias("f"), F.lit(cond).alias("cond"), stratum.alias("s"), F.lit(side).alias("side"), at[f][quartile].alias("v")))
+    each = attach_stats(slim, wide, keys).select(*keys, *[c for c in features if c not in keys], F.explode(F.array(*variants)).alias("_v"))
+    moved = each.select(
+        *keys, F.col("_v.f").alias("feature"), F.col("_v.cond").alias("conditioning_feature"), F.col("_v.s").alias("_s"), F.col("_v.side").alias("_side"),
+        *[F.when(F.col("_v.f") == c, F.col("_v.v")).otherwise(F.col(c)).alias(c) for c in features],
+    )
+    pair = [*keys, "feature", "conditioning_feature"]
+    contrast = F.sum(F.col("predicted") * F.col("_side")) / F.count_if(F.col("_side") == 1)
+    return score(moved).groupBy(*pair, "_s").agg(contrast.alias("_c")).groupBy(*pair).agg(
+        F.coalesce(F.stddev_pop("_c"), F.lit(0.0)).alias("strength"), F.count(F.lit(1)).alias("n_strata")
+    )
 
 
 # -- comparison with later observations --------------------------------------------------------------
@@ -259,6 +270,6 @@ def path_summary(paths: DataFrame, step: str, value: str, by: Sequence[str] = ()
 
 def path_coverage(summary: DataFrame, observed: DataFrame, on: Sequence[str], actual: str) -> DataFrame:
     """Share of observations inside the 5-95 % band of their step."""
-    j = summary.join(observed, list(on))
+    j = attach_stats(observed, summary, list(on))  # few steps, many observations each
     inside = ((F.col(actual) >= F.col("p05")) & (F.col(actual) <= F.col("p95"))).cast("double")
     return j.agg(F.count(F.lit(1)).alias("n"), F.avg(inside).alias("coverage"))

@@ -175,7 +175,7 @@ def out_of_range(
     limits = join_on(med, mad, ["column"])
     half = F.when(F.col("mad") > 0, RANGE_MAD_FACTOR * MAD_SCALE * F.col("mad"))
     if ranges is not None:
-        limits = join_on(limits, F.broadcast(ranges.select("column", "low", "high")), ["column"], "left")
+        limits = join_on(limits, ranges.select("column", "low", "high"), ["column"], "left")
         given = F.col("low").isNotNull() | F.col("high").isNotNull()
         low = F.when(given, F.col("low")).otherwise(F.col("median") - half)
         high = F.when(given, F.col("high")).otherwise(F.col("median") + half)
@@ -197,7 +197,7 @@ def out_of_range(
 def missing_spec(outputs: DataFrame, spec: DataFrame) -> DataFrame:
     """Output columns (a table with ``column``) that have neither limit in the spec table."""
     usable = spec.where(F.col("lsl").isNotNull() | F.col("usl").isNotNull()).select("column")
-    return outputs.select("column").join(F.broadcast(usable), "column", "left_anti")
+    return outputs.select("column").join(usable, "column", "left_anti")
 
 
 def _issues(check: str, table: DataFrame, severity: str | None = None, n: str = "n") -> DataFrame:

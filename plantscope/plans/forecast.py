@@ -60,10 +60,10 @@ def dynamic(fit):
 
 def hybrid(spark, d):
     """Naive baseline plus a forest on its residual over the exogenous columns."""
-    f = ts.time_split(features(spark, d).drop("rn"), "ts", ["event_id"], 0.7, 0.1, KEYS).withColumn("rest", F.col("y") - F.col("value_lag_1"))
-    exo = ["hour", "weekday", "user_id"]
-    f = f.join(read(spark, d, "events").select("event_id", "user_id"), "event_id")
-    model = md.fit_forest(f.where(F.col("split") == "train"), "rest", exo, trees=100)
+    f = ts.build_features(read(spark, d, "events"), "ts", ["event_id"], ["value"], [1, 2, 3], [3], KEYS, keep=["user_id"])
+    f = f.where("is_complete").withColumnRenamed("value", "y")
+    f = ts.time_split(f.drop("rn"), "ts", ["event_id"], 0.7, 0.1, KEYS).withColumn("rest", F.col("y") - F.col("value_lag_1"))
+    model = md.fit_forest(f.where(F.col("split") == "train"), "rest", ["hour", "weekday", "user_id"], trees=100)
     scored = md.score(model, f.where(F.col("split") == "test")).withColumn("hybrid", F.col("predicted") + F.col("value_lag_1"))
     return tidy(fc.before_after(scored, "y", "value_lag_1", "hybrid"))
 
@@ -144,13 +144,13 @@ def importance(spark, d):
 def blocks(spark, d):
     f = features(spark, d)
     model = md.fit_linear(f, "y", FEATS)
-    return tidy(fc.block_permutation(lambda t: md.score(model, t), f, "y", FEATS[:3] + FEATS[3:], ORDER))
+    return tidy(fc.block_permutation(lambda t: md.score(model, t), f, "y", FEATS, ORDER, series_keys=KEYS))
 
 
 def contrasts(spark, d):
     f = features(spark, d)
     model = md.fit_quadratic(f, "y", ["value_lag_1", "value_lag_2", "hour"])
-    return tidy(fc.conditional_contrasts(lambda t: md.score(model, t), f, ["value_lag_1", "value_lag_2", "hour"]))
+    return tidy(fc.conditional_contrasts(lambda t: md.score(model, t), f, ["value_lag_1", "value_lag_2", "hour"], KEYS))
 
 
 def daily(spark, d):
