@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plantscope.llm.common import small_batches
 from plantscope.llm.tokens import ByteBpe, default_path, load
 
 LEAF = 1 << 15  # characters
@@ -94,7 +95,7 @@ def encode(
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for b in batches:
+        for b in small_batches(batches, 1):
             ids = _packed([bpe.encode(t) for t in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), ids], names=["id", "ids"])
 
@@ -116,7 +117,7 @@ def encode(
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for b in batches:
+        for b in small_batches(batches, 3):
             ids = _packed([bpe.encode(t) for t in b.column(3).to_pylist()])
             yield pa.RecordBatch.from_arrays([*b.columns[:3], ids], names=["row", "id", "leaf", "ids"])
 
@@ -140,7 +141,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for b in batches:
+        for b in small_batches(batches, 1):
             texts = [
                 bpe.decode_bytes(np.frombuffer(x, dtype="<u4")).decode("utf-8", "replace") for x in b.column(1).to_pylist()
             ]

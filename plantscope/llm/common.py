@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,3 +47,22 @@ def one_row(spark: SparkSession, df: DataFrame):
     if len(rows) != 1:
         raise ValueError("a global aggregate must give one row")
     return rows[0]
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], column: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about ``most`` bytes of the text or binary column, and a row at least.
+
+    A batch has a fixed number of rows, so long texts would make it large, and several copies of it are
+    alive while Python works on one.
+    """
+    for b in batches:
+        if not b.num_rows:
+            continue
+        x = b.column(column)
+        wide = pa.types.is_large_string(x.type) or pa.types.is_large_binary(x.type)
+        ends = np.frombuffer(x.buffers()[1], dtype=np.int64 if wide else np.int32)[x.offset : x.offset + len(x) + 1]
+        at = 0
+        while at < b.num_rows:
+            stop = max(int(np.searchsorted(ends, int(ends[at]) + most, side="right")) - 1, at + 1)
+            yield b.slice(at, stop - at)
+            at = stop
