@@ -41,15 +41,15 @@ def _posterior(votes, hit, false, prior, weight):
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def _rates(votes, p, like=(0.5, 0.5), rows=1):
+def _rates(votes, p, often, like=(0.5, 0.5), rows=1):
     """P(vote | class) for soft labels p, smoothed by as many ``rows`` that vote ``like`` this."""
-    hit = (p @ votes + rows * like[0]) / (p.sum() + rows)
-    false = ((1 - p) @ votes + rows * like[1]) / ((1 - p).sum() + rows)
+    hit = ((often * p) @ votes + rows * like[0]) / (often @ p + rows)
+    false = ((often * (1 - p)) @ votes + rows * like[1]) / (often @ (1 - p) + rows)
     return np.clip(hit, FLOOR, 1 - FLOOR), np.clip(false, FLOOR, 1 - FLOOR)
 
 
-def fit_label_model(votes: np.ndarray, start: np.ndarray) -> LabelModel:
-    """Expectation maximisation from the soft labels ``start``.
+def fit_label_model(votes: np.ndarray, start: np.ndarray, often: np.ndarray) -> LabelModel:
+    """Expectation maximisation from the soft labels ``start``; row k stands for ``often[k]`` equal rows.
 
     They settle which class is which and how large it is, which votes alone cannot, and they weigh as much
     as ``START_ROWS`` rows of either class in the voters' rates.
@@ -63,24 +63,29 @@ def fit_label_model(votes: np.ndarray, start: np.ndarray) -> LabelModel:
     p = start.astype(float)
     last = -1.0
     correlation = np.eye(votes.shape[1])
-    prior = float(np.clip(p.mean(), FLOOR, 1 - FLOOR))
-    began = _rates(votes, p)
+    total = often.sum()
+    prior = float(np.clip(often @ p / total, FLOOR, 1 - FLOOR))
+    began = _rates(votes, p, often)
     for n in range(ROUNDS):
-        hit, false = _rates(votes, p, began, START_ROWS)
+        hit, false = _rates(votes, p, often, began, START_ROWS)
         if n % 10 == 0:
             rest = votes - p[:, None] * hit - (1 - p)[:, None] * false
-            scale = np.sqrt((rest * rest).mean(axis=0)) + 1e-9
-            correlation = (rest.T @ rest) / len(votes) / np.outer(scale, scale)
+            scale = np.sqrt(often @ (rest * rest) / total) + 1e-9
+            correlation = ((often[:, None] * rest).T @ rest) / total / np.outer(scale, scale)
             weight = 1 / np.maximum(np.where(correlation > REPEATS, correlation, 0).sum(axis=1), 1)
         p = _posterior(votes, hit, false, prior, weight)
-        if n % 10 and abs(p.mean() - last) < TOLERANCE:
+        now = float(often @ p / total)
+        if n % 10 and abs(now - last) < TOLERANCE:
             break
-        last = p.mean()
+        last = now
     return LabelModel(hit, false, prior, correlation, weight)
 
 
-def fit_linear(x: np.ndarray, target: np.ndarray, ridge: float) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression on soft targets, by Newton steps until the gradient vanishes."""
+def fit_linear(x: np.ndarray, target: np.ndarray, often: np.ndarray, ridge: float) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression on soft targets, by Newton steps until the gradient vanishes.
+
+    Row k stands for ``often[k]`` equal rows.
+    """
     x = np.column_stack([x.astype(float), np.ones(len(x))])
     penalty = np.full(x.shape[1], ridge)
     penalty[-1] = 1e-6
@@ -88,15 +93,15 @@ def fit_linear(x: np.ndarray, target: np.ndarray, ridge: float) -> tuple[np.ndar
 
     def loss(w):
         z = x @ w
-        return float((np.logaddexp(0, z) - target * z).sum() + 0.5 * (penalty * w * w).sum())
+        return float(often @ (np.logaddexp(0, z) - target * z) + 0.5 * (penalty * w * w).sum())
 
     now = loss(w)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -60, 60)))
-        g = x.T @ (p - target) + penalty * w
-        if np.abs(g).max() < 1e-6 * len(x):
+        g = x.T @ (often * (p - target)) + penalty * w
+        if np.abs(g).max() < 1e-6 * often.sum():
             break
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty)
+        h = (x * (often * p * (1 - p))[:, None]).T @ x + np.diag(penalty)
         step, size = np.linalg.solve(h, g), 1.0
         while size > 1e-6 and loss(w - size * step) > now:
             size /= 2

@@ -193,11 +193,14 @@ def fit(
             yield pa.RecordBatch.from_arrays([b.column(0), hits], names=["toxic", "hits"])
 
     kind = dict(rows.dtypes)["toxic"]
-    sample = rows.mapInArrow(read, f"toxic {kind}, hits array<int>").orderBy("toxic", "hits").collect()  # about ``most`` rows
-    hits = [r["hits"] for r in sample]
+    # most texts have no hits, so equal rows are counted; at most about ``most`` rows are left
+    read_rows = rows.mapInArrow(read, f"toxic {kind}, hits array<int>")
+    counted_rows = read_rows.groupBy((F.col("toxic") > 0).alias("toxic"), "hits").agg(F.count(F.lit(1)).alias("n"))
+    sample = sorted((bool(r["toxic"]), list(r["hits"]), r["n"]) for r in counted_rows.collect())
+    hits, often = [h for _, h, _ in sample], np.array([n for *_, n in sample], dtype=float)
     votes = _votes(hits, lexicon)
-    model = fit_label_model(votes, np.array([0.95 if r["toxic"] > 0 else 0.005 for r in sample]))
-    weights, bias = fit_linear(_matrix(hits, lexicon), model.posterior(votes), RIDGE)
+    model = fit_label_model(votes, np.array([0.95 if toxic else 0.005 for toxic, *_ in sample]), often)
+    weights, bias = fit_linear(_matrix(hits, lexicon), model.posterior(votes), often, RIDGE)
     return Model(lexicon, weights, bias, model)
 
 

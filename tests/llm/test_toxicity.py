@@ -18,7 +18,7 @@ def test_label_model_finds_accuracies_and_copies():
     votes = (rng.random((len(y), 5)) < np.where(y[:, None], hit, false)).astype(int)
     copied = np.column_stack([votes, votes[:, 3], votes[:, 3], votes[:, 3]])
     start = np.where(rng.random(len(y)) < 0.2, 0.3, np.where(y, 0.9, 0.04))
-    m = fit_label_model(copied, start)
+    m = fit_label_model(copied, start, np.ones(len(y)))
     assert abs(m.prior - 0.3) < 0.02
     assert np.abs(m.hit[:5] - hit).max() < 0.03 and np.abs(m.false[:5] - false).max() < 0.03
     assert np.abs(m.accuracy[:5] - (0.3 * hit + 0.7 * (1 - false))).max() < 0.03
@@ -29,9 +29,10 @@ def test_label_model_finds_accuracies_and_copies():
 def test_linear_fit_is_the_ridge_optimum():
     rng = np.random.default_rng(1)
     x, target = rng.normal(size=(500, 6)), rng.random(500)
-    w, b = fit_linear(x, target, 0.7)
+    often = rng.integers(1, 4, 500).astype(float)
+    w, b = fit_linear(x, target, often, 0.7)
     p = 1 / (1 + np.exp(-(x @ w + b)))
-    assert np.abs(x.T @ (p - target) + 0.7 * w).max() < 1e-2 and abs((p - target).sum()) < 1e-2
+    assert np.abs(x.T @ (often * (p - target)) + 0.7 * w).max() < 1e-2 and abs(often @ (p - target)) < 1e-2
 
 
 def test_terms_and_hits_agree():
