@@ -245,6 +245,10 @@ def _assemble(df: DataFrame, inputs: Sequence[str], target: str | None) -> tuple
 
 def _fit(estimator, df: DataFrame, inputs: Sequence[str], target: str) -> PipelineModel:
     assembler, rows = _assemble(df, inputs, target)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:
+        # training passes over its rows many times; a small file would leave all but one core idle
+        rows = rows.repartition(cores, *inputs, target)
     return PipelineModel([assembler, estimator.fit(assembler.transform(rows))])
 
 
