@@ -2,7 +2,7 @@
 
 BENCH_SF_DIR (default /root/testdata/sf0.1) and BENCH_CPUS (default 8) choose data and cores.
 Each query is run once to warm up code generation and then timed; every row is produced and
-counted, nothing is cached between runs.
+counted, nothing is cached between runs. ``rows_per_sec`` divides the rows of ``lineitem`` by the seconds.
 """
 
 from __future__ import annotations
@@ -43,6 +43,11 @@ HEADLINE = (
     "risk_spec",
     "risk_empirical_cdf",
     "deidentify_masked_table",
+    "quality_report",
+    "sensitivity_permutation",
+    "forecast_block_permutation",
+    "forecast_fold_metrics",
+    "route_report",
 )
 
 
@@ -52,6 +57,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     registered = plans.all_queries()
     seconds = {}
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
     for name in HEADLINE:
         for _ in range(2):
             start = time.perf_counter()
@@ -64,6 +70,8 @@ def main() -> None:
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": seconds,
+                "rows_per_sec": {name: round(rows / s) for name, s in seconds.items()},
+                "rows": rows,
                 "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
             }
         )

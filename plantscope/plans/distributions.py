@@ -119,6 +119,15 @@ SELECT event_type, 'normal' AS family, round(x,7)+0.0 AS x, round(exp(-0.5*((x-m
 UNION ALL SELECT event_type, 'lognormal', round(x,7)+0.0, CASE WHEN x <= 0 THEN 0.0 ELSE round(exp(-0.5*((ln(greatest(x,1e-300))-lm)/ls)**2)/(x*ls*sqrt(2*pi())),7)+0.0 END FROM g
 UNION ALL SELECT event_type, 'uniform', round(x,7)+0.0, round(CASE WHEN x >= lo AND x <= hi THEN 1/(hi-lo) ELSE 0 END,7)+0.0 FROM g"""
 
+# the likelihood of every value as mode, by running sums over the value counts
+TRIANGLE_SQL = f"""WITH t AS ({EV}), c AS (SELECT event_type, value AS x, count(*) AS k FROM events GROUP BY 1,2),
+w AS (SELECT c.*, n, lo-(hi-lo)/n AS a, hi+(hi-lo)/n AS b FROM c JOIN t USING (event_type)),
+s AS (SELECT *, sum(k) OVER u AS n1, sum(k*ln(x-a)) OVER u AS l1, sum(k*ln(b-x)) OVER u AS r1, sum(k*ln(b-x)) OVER (PARTITION BY event_type) AS rt FROM w WINDOW u AS (PARTITION BY event_type ORDER BY x)),
+l AS (SELECT *, n*ln(2/(b-a))+l1-n1*ln(x-a)+rt-r1-(n-n1)*ln(b-x) AS ll FROM s),
+g AS (SELECT event_type, n, a, b, max(ll) AS ll, arg_max(x, ll) AS mode FROM l GROUP BY 1,2,3,4)
+SELECT event_type, 'triangular' AS family, n, 3::BIGINT AS k, round(ll,4)+0.0 AS loglik, round(6-2*ll,4)+0.0 AS aic, round(3*ln(n)-2*ll,4)+0.0 AS bic,
+ round((mode-a)/(b-a),4)+0.0 AS p_c, round(a,4)+0.0 AS p_loc, round(b-a,4)+0.0 AS p_scale FROM g"""
+
 QUERIES = [
     Query("distribution_histogram", histogram, f"""WITH {HIST_CTE} SELECT event_type, bin, round("left",6)+0.0 AS "left", round("right",6)+0.0 AS "right", c AS count FROM hh"""),
     Query("distribution_shape", shapes, SHAPE_SQL),
@@ -126,7 +135,7 @@ QUERIES = [
     Query("distribution_lognormal", family("lognormal"), fit_sql("lognormal", 3, "-n*lm-0.5*n*(ln(2*pi())+2*ln(ls)+1)", {"shape": "ls", "scale": "exp(lm)"}, EV)),
     Query("distribution_lognormal_shifted", shifted_lognormal, fit_sql("lognormal", 3, "-n*lm-0.5*n*(ln(2*pi())+2*ln(ls)+1)", {"shape": "ls", "scale": "exp(lm)"}, SHIFTED, "o_orderstatus")),
     Query("distribution_uniform", family("uniform"), fit_sql("uniform", 2, "-n*ln(hi-lo)", {"loc": "lo", "scale": "hi-lo"}, EV)),
-    Query("distribution_triangular", family("triangular")),
+    Query("distribution_triangular", family("triangular"), TRIANGLE_SQL),
     Query("distribution_weibull", family("weibull")),
     Query("distribution_gamma", family("gamma")),
     Query("distribution_poisson", family("poisson", "turn", counts_table, ["role"]), fit_sql("poisson", 1, "n*m*ln(m)-n*m-lf", {"mu": "m"}, TURNS + " HAVING count(*) >= 10 AND avg(turn) > 0", "role")),

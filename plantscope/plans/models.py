@@ -500,8 +500,8 @@ QUERIES = [
     Query("residual_qq_points", qq, _qq_sql()),
     Query("residual_durbin_watson", dw, f"""WITH {OSC}, s AS (SELECT residual, residual - lag(residual) OVER (ORDER BY o_orderdate, o_orderkey) AS dr FROM e), k AS (SELECT count(*) AS n, sum(dr*dr)/sum(residual*residual) AS w FROM s)
 SELECT n, round(w,6)+0.0 AS durbin_watson, CASE WHEN w<1.5 THEN 'positive' WHEN w>2.5 THEN 'negative' ELSE 'none' END AS reading FROM k"""),
-    Query("residual_outliers", lambda s, d: tidy(rs.residual_outliers(residuals(s, d), threshold=2.0).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.max("z").alias("worst"))), f"""WITH {SC}, e AS (SELECT l_returnflag, actual-predicted AS r FROM sc), ms AS (SELECT avg(r) AS m, stddev_samp(r) AS s FROM e)
-SELECT l_returnflag, count(*) AS n, round(max((r-m)/s),6)+0.0 AS worst FROM e, ms WHERE abs((r-m)/s) >= 2 GROUP BY 1"""),
+    Query("residual_outliers", lambda s, d: tidy(rs.residual_outliers(residuals(s, d), threshold=1.5).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.max("z").alias("worst"))), f"""WITH {SC}, e AS (SELECT l_returnflag, actual-predicted AS r FROM sc), ms AS (SELECT avg(r) AS m, stddev_samp(r) AS s FROM e)
+SELECT l_returnflag, count(*) AS n, round(max((r-m)/s),6)+0.0 AS worst FROM e, ms WHERE abs((r-m)/s) >= 1.5 GROUP BY 1"""),
     Query("residual_run_order", run_order, f"WITH {OSC} SELECT o_orderkey::DOUBLE AS observation, 'Run Order' AS order_basis, round(residual,6)+0.0 AS residual FROM e"),
     Query("residual_quarter_variance", quarters, f"""WITH {OSC}, k AS (SELECT residual, row_number() OVER (ORDER BY x, o_orderkey) AS rn, floor(count(*) OVER ()/4) AS sz FROM e), v AS (SELECT floor((rn-1)/sz) AS q, var_pop(residual) AS v, count(*) AS c FROM k WHERE floor((rn-1)/sz) < 4 GROUP BY 1)
 SELECT sum(c)::BIGINT AS n, round(min(v),5)+0.0 AS min_variance, round(max(v),5)+0.0 AS max_variance, max(v) > 3*min(v) AS heteroscedastic FROM v"""),

@@ -6,7 +6,7 @@ from plantscope import plans
 # queries without SQL: random, hashed, tree-based or iterative results
 ROWS_ONLY = {
     "source_fingerprint", "source_scan_files", "source_file_checksums",
-    "distribution_triangular", "distribution_weibull", "distribution_gamma", "distribution_ranked_fits",
+    "distribution_weibull", "distribution_gamma", "distribution_ranked_fits",
     "distribution_ks_all_families", "distribution_ks_counts",
     "model_random_split", "model_linear_holdout", "model_quadratic_holdout", "model_factorial_coefficients",
     "model_forest_holdout", "model_boosted_holdout", "model_hybrid_holdout", "model_logistic_report",
