@@ -49,7 +49,7 @@ def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
-    Query("op1_secret_scan", op1_secret_scan),
+    Query("op1_secret_scan", op1_secret_scan, secrets.DIGEST_SQL),
     Query("op2_simhash_dedup", op2_simhash_dedup),
     Query("op3_histogram_shards", op3_histogram_shards),
     Query("op4_nnls_packing", op4_nnls_packing),

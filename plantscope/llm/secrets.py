@@ -259,3 +259,53 @@ def digest(docs: DataFrame) -> DataFrame:
         hex_sha256(span_list(base_spans(F.col("spans")))).alias("base_sha256"),
         span_list(F.col("spans")).alias("spans"),
     )
+
+
+def _either_case(regex: str) -> str:
+    """The keywords of the first pattern letter by letter: some engines fold more than ASCII."""
+    inner = regex.removeprefix("(?i)")
+    words, rest = inner[1 : inner.index(")")], inner[inner.index(")") :]
+    return "(" + "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words) + rest
+
+
+def _matches_sql(kind: str, rank: int, regex: str) -> str:
+    """Matches with their positions: pieces between matches and matches alternate."""
+    rx = regex.replace("'", "''")
+    return f"""SELECT doc_id, '{kind}' AS kind, {rank} AS rank, s,
+ (sum(length(g)) OVER w + sum(length(s)) OVER w - length(s))::BIGINT AS a, (sum(length(g)) OVER w + sum(length(s)) OVER w)::BIGINT AS b
+ FROM (SELECT doc_id, generate_subscripts(m, 1) AS i, unnest(m) AS s, unnest(p[:len(m)]) AS g FROM
+  (SELECT doc_id, regexp_extract_all(t, '{rx}') AS m, string_split_regex(t, '{rx}') AS p FROM d))
+ WINDOW w AS (PARTITION BY doc_id ORDER BY i)"""
+
+
+def _entropy_sql(name: str, cls: CharClass, rank: int, taken: list[str]) -> str:
+    free = " AND ".join(f"NOT EXISTS (SELECT 1 FROM {t} x WHERE x.doc_id = r.doc_id AND x.a < r.b AND r.a < x.b)" for t in taken)
+    words = " AND ".join(f"NOT contains(lower(s), '{w.lower()}')" for w in ALLOWED_STRINGS)
+    return f"""{name}_r AS ({_matches_sql(cls.kind, rank, cls.regex)}),
+{name}_c AS (SELECT * FROM {name}_r r WHERE regexp_matches(s, '[0-9]') AND regexp_matches(s, '[A-Za-z]') AND NOT regexp_matches(s, '{ALLOWED_SHAPE}') AND {words} AND {free}),
+{name}_w AS (SELECT doc_id, a, s, unnest(range(length(s) - {WINDOW} + 1)) AS i FROM {name}_c),
+{name}_h AS (SELECT doc_id, a, i FROM (SELECT doc_id, a, i, c, count(*) AS n FROM
+  (SELECT doc_id, a, i, unnest(string_split(substr(s, i + 1, {WINDOW}), '')) AS c FROM {name}_w) GROUP BY ALL)
+  GROUP BY ALL HAVING sum(round(n * log2(n) * {SCALE})) <= {most_sum(cls.threshold)}),
+{name} AS (SELECT doc_id, '{cls.kind}' AS kind, {rank} AS rank, a + min(i) AS a, a + max(i) + {WINDOW} AS b FROM {name}_h GROUP BY doc_id, {name}_h.a)"""
+
+
+def _digest_sql() -> str:
+    first = PATTERNS[0]
+    fit = f"SELECT doc_id, kind, rank, a, b FROM ({_matches_sql(first.kind, 0, _either_case(first.regex))}) WHERE length(regexp_extract(s, '{_either_case(first.regex).replace(chr(39), chr(39) * 2)}', {first.group})) >= {first.least}"
+    others = [f"SELECT doc_id, kind, rank, a, b FROM ({_matches_sql(p.kind, r, SEARCHED[p.kind])})" for r, p in enumerate(PATTERNS) if r]
+    names, parts = ["base"], []
+    for n, cls in enumerate(CLASSES):
+        parts.append(_entropy_sql(f"e{n}", cls, len(PATTERNS) + n, list(names)))
+        names.append(f"e{n}")
+    every = " UNION ALL ".join(f"SELECT doc_id, kind, rank, a, b FROM {x}" for x in names)
+    listed = "coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank){}, '')"
+    counts = ", ".join(f"count(*) FILTER (kind = '{p.kind}') AS n_{p.kind}" for p in PATTERNS)
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+base AS ({' UNION ALL '.join([fit, *others])}),
+{', '.join(parts)}, s AS ({every})
+SELECT d.doc_id, {counts}, sha256({listed.format(f' FILTER (rank < {len(PATTERNS)})')}) AS base_sha256, {listed.format('')} AS spans
+FROM d LEFT JOIN s ON d.doc_id = s.doc_id GROUP BY d.doc_id"""
+
+
+DIGEST_SQL = _digest_sql()
