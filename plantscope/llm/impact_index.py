@@ -14,7 +14,7 @@ reads k rows a query and group. The k-th best of the blocks before is a bound fo
 
 Defined results: vectors that are null or hold null or non-finite components, and rows with a null id,
 take no part; a vector of fewer components counts as padded with zeros; a query never meets rows of its
-own id; rows that repeat an id are candidates of their own; components must fit in 31 bits once scaled,
+own id; rows that repeat an id are candidates and queries of their own; components must fit in 31 bits once scaled,
 and a larger one raises an error; extra columns are ignored; an empty table gives an empty table.
 """
 
@@ -140,13 +140,13 @@ def search_block(
 def _cell(key, left: pa.Table, right: pa.Table) -> pa.Table:
     """One grid cell: a block of queries against a group of blocks."""
     queries, found = left.to_pylist(), right.to_pylist()
-    names = ["query_id", "vec_id", "score"]
+    names = ["query_no", "query_id", "vec_id", "score"]
     if not queries or not found:
         return pa.table({n: pa.array([], pa.int64()) for n in names})
     width = max(x["width"] for x in queries + found)
     own = np.frombuffer(queries[0]["ids"], dtype="<i8")
     q = _matrix(queries[0], width)
-    top = queries[0]["top"]
+    top, first = queries[0]["top"], queries[0]["q"] * QUERIES
     best = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))] * len(own)
     for block in found:
         floor = np.array([s[-1] if len(s) == top else -np.inf for _, s in best], dtype=float)
@@ -156,6 +156,7 @@ def _cell(key, left: pa.Table, right: pa.Table) -> pa.Table:
     sizes = [len(i) for i, _ in best]
     return pa.table(
         {
+            "query_no": pa.array(np.repeat(np.arange(first, first + len(own)), sizes), pa.int64()),
             "query_id": pa.array(np.repeat(own, sizes), pa.int64()),
             "vec_id": pa.array(np.concatenate([i for i, _ in best]), pa.int64()),
             "score": pa.array(np.concatenate([s for _, s in best]), pa.int64()),
@@ -182,8 +183,8 @@ def top_k(
     right = grouped.select("ids", "values", "rows", "width", "group")
     right = right.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1))))
     cells = left.groupBy("q", "group").cogroup(right.groupBy("q", "group"))
-    scored = cells.applyInArrow(_cell, "query_id long, vec_id long, score long")
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    scored = cells.applyInArrow(_cell, "query_no long, query_id long, vec_id long, score long")
+    ranked = Window.partitionBy("query_no").orderBy(F.desc("score"), "vec_id")
     best = scored.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= top)
     return best.select("query_id", "rank", "vec_id", "score")
 

@@ -20,7 +20,7 @@ def slow(rows, top=20):
     for i, a in fit:
         if i % 20 == 0:
             scored = [(-sum(x * y for x, y in zip(a, b)), j) for j, b in fit if j != i]
-            out[i] = [(i, r, j, -s) for r, (s, j) in enumerate(sorted(scored)[:top], 1)]
+            out[i] += [(i, r, j, -s) for r, (s, j) in enumerate(sorted(scored)[:top], 1)]
     return sorted(x for rows in out.values() for x in rows)
 
 
@@ -33,6 +33,7 @@ def test_top_k(spark, monkeypatch, few, size):
     rows = [(i, [float(x) for x in rng.normal(0, 0.2, 16)]) for i in range(400)]
     rows += [(1000 + i, rows[7][1]) for i in range(60)] + [(2000, [0.0] * 16), (2020, [5.0] * 3), (-40, []), (None, rows[0][1])]
     rows += [(3000, None), (3001, [None] * 16), (3020, [float("nan")] * 16), (3040, [float("inf")] + [0.0] * 15)]
+    rows += [(20, rows[20][1]), (40, rows[3][1])]
     rows += [(4000, [1000.0, -1000.0] * 8), (4020, [-0.001] * 16)]
     df = spark.createDataFrame([(i, v, "x", "x") for i, v in rows], SCHEMA)
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ix.digest(df).collect())
