@@ -14,9 +14,9 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plantscope.functions.special import beta_cdf, digamma, gamma_cdf, ln_gamma, normal_cdf, normal_cdf_sql, trigamma
+from plantscope.functions.special import beta_cdf, digamma, gamma_cdf, ln_gamma, normal_cdf, trigamma
 from plantscope.operators.ordered import OrderedScan, join_on
-from plantscope.operators.stats import attach_stats, finite, quantiles
+from plantscope.operators.stats import attach_stats, finite
 from plantscope.session import ensure_checkpoint_dir
 
 V = "value"

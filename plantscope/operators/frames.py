@@ -201,11 +201,17 @@ def duplicate_cells(df: DataFrame, factors: Sequence[str]) -> DataFrame:
 
 
 def design_coverage(df: DataFrame, factors: Sequence[str]) -> DataFrame:
-    """Counts of missing and repeated combinations, and ready / warning."""
-    miss = missing_cells(df, factors).agg(F.count(F.lit(1)).alias("n_missing"))
-    dup = duplicate_cells(df, factors).agg(F.count(F.lit(1)).alias("n_duplicate"))
-    both = attach_stats(miss, dup, [])
-    return both.withColumn(
+    """Counts of missing and repeated combinations, and ready / warning.
+
+    Missing combinations are counted as all combinations of the levels less the observed ones; the
+    combinations themselves are never made, so factors may have any number of levels.
+    """
+    whole = reduce(Column.__and__, [F.col(f).isNotNull() for f in factors])
+    cells = _cells(df, factors).agg(F.count_if(whole).alias("_seen"), F.count_if(F.col("n") > 1).alias("n_duplicate"))
+    levels = df.agg(*[F.count_distinct(f).alias(f"_{i}") for i, f in enumerate(factors)])
+    every = reduce(Column.__mul__, [F.col(f"_{i}") for i in range(len(factors))])
+    both = attach_stats(levels.select(every.alias("_every")), cells, [])
+    return both.select((F.col("_every") - F.col("_seen")).alias("n_missing"), "n_duplicate").withColumn(
         "status", F.when((F.col("n_missing") == 0) & (F.col("n_duplicate") == 0), "ready").otherwise("warning")
     )
 

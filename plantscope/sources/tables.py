@@ -30,8 +30,8 @@ FORMATS = ("csv", "parquet", "xls", "xlsx")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared checkpoint area."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder in the shared checkpoint area, under the application's own."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def detect_delimiter(spark: SparkSession, path: str) -> str:
