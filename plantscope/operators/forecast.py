@@ -80,31 +80,44 @@ def ar1_forecast(scan: OrderedScan) -> DataFrame:
 
 
 def recursive_forecast(
-    scan: OrderedScan, model: LinearModel, horizon: int, lags: Sequence[int], windows: Sequence[int] = (), held: Sequence[str] = ()
+    scan: OrderedScan, model: LinearModel, horizon: int, lags: Sequence[int], windows: Sequence[int] = (), held: Sequence[str] = (),
+    time: str | None = None, seconds: Column | float | None = None,
 ) -> DataFrame:
-    """Fixed-horizon recursion of a linear model on ``x_lag_k`` and ``x_rolling_mean_n`` terms.
+    """Fixed-horizon recursion of a linear model on the features of ``timeseries.build_features``.
 
-    Each series keeps only its last max(lag, window) training values; its forecasts are appended
-    to that array step by step inside one expression, so all series advance together. Other
-    inputs (``held``) stay at their last known value.
+    Each series keeps only its last max(lag, window, 2) training values; its forecasts are appended
+    to that array step by step inside one expression, so all series advance together. Lags, rolling mean
+    and std, first difference and rate of change are those of the array; hour and weekday those of the
+    future stamp, ``seconds`` apart from the last training value of ``time``. Other inputs (``held``) stay
+    at their last known value.
     """
-    reach = max([*lags, *windows, 1])
+    reach = max([*lags, *windows, 2])
     tail = scan.df.where((F.col("rn") <= F.col("n_train")) & (F.col("rn") > F.col("n_train") - reach))
     at = F.struct(*scan.order)
     state = tail.groupBy(*scan.series).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("rn", X))), lambda s: s[X]).alias("_hist"),
-        *[F.max_by(c, at).alias(c) for c in held],
+        *[F.max_by(c, at).alias(c) for c in dict.fromkeys([*held, *([time] if time else [])])],
     ).where(F.size("_hist") == reach)
+    if time:
+        gap = seconds if isinstance(seconds, Column) else F.lit(float(seconds or 0))
+        state = state.withColumns({"_from": F.unix_seconds(F.col(time).cast("timestamp")), "_gap": gap})
 
-    def step(history: Column) -> Column:
+    def step(history: Column, h: Column) -> Column:
+        one, two = F.element_at(history, -1), F.element_at(history, -2)
         terms = {f"{X}_lag_{k}": F.element_at(history, -k) for k in lags}
+        terms |= {f"{X}_first_difference": one - two, f"{X}_rate_of_change": F.try_divide(one, F.nullif(two, F.lit(0.0))) - 1}
         for n in windows:
             recent = F.slice(history, -n, n)
-            terms[f"{X}_rolling_mean_{n}"] = F.aggregate(recent, F.lit(0.0), lambda acc, v: acc + v) / n
+            mean = F.aggregate(recent, F.lit(0.0), lambda acc, v: acc + v) / n
+            squares = F.aggregate(recent, F.lit(0.0), lambda acc, v: acc + (v - mean) * (v - mean))
+            terms |= {f"{X}_rolling_mean_{n}": mean, f"{X}_rolling_std_{n}": F.sqrt(squares / (n - 1))}
+        if time:
+            stamp = F.timestamp_seconds(F.col("_from") + h * F.col("_gap"))
+            terms |= {"hour": F.hour(stamp).cast("double"), "weekday": F.weekday(stamp).cast("double")}
         terms |= {c: F.col(c).cast("double") for c in held}
         return model.prediction(terms)
 
-    path = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), F.col("_hist"), lambda acc, _: F.concat(acc, F.array(step(acc))))
+    path = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), F.col("_hist"), lambda acc, h: F.concat(acc, F.array(step(acc, h))))
     future = state.select(*scan.series, F.posexplode(F.slice(path, reach + 1, horizon)).alias("_h", "predicted"))
     return future.withColumn("step", F.col("_h") + 1).drop("_h")
 

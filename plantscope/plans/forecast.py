@@ -70,9 +70,11 @@ def hybrid(spark, d):
 
 def recursive(spark, d):
     s = scan(spark, d)
-    train = ts.lag_features(s, ["x"], [1, 2, 3]).rows().where((F.col("rn") > 3) & (F.col("rn") <= F.col("n_train")))
-    model = md.fit_least_squares(train, "x", {f"x_lag_{k}": F.col(f"x_lag_{k}") for k in (1, 2, 3)})
-    return tidy(fc.recursive_forecast(s, model, 12, [1, 2, 3]))
+    rows = ts.calendar_features(ts.history_features(s, ["x"], [1, 3], [3, 5]).rows(), "ts")
+    train = rows.where((F.col("rn") > 5) & (F.col("rn") <= F.col("n_train")))
+    names = ["x_lag_1", "x_lag_3", "x_rolling_mean_3", "x_rolling_std_3", "x_rolling_mean_5", "x_first_difference", "x_rate_of_change", "hour", "weekday"]
+    model = md.fit_least_squares(train, "x", {n: F.col(n) for n in names})
+    return tidy(fc.recursive_forecast(s, model, 12, [1, 3], [3, 5], time="ts", seconds=3600.0))
 
 
 MODEL = [*KEYS, "model"]

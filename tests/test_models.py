@@ -164,3 +164,59 @@ def test_run_order_column_needs_numbers_without_repeats(spark):
     good = spark.createDataFrame([(1, 0.1), (2, 0.2)], "`Run Order` int, residual double")
     bad = spark.createDataFrame([(1, 0.1), (1, 0.2)], "`Run Order` int, residual double")
     assert rs.find_order_column(good) == "Run Order" and rs.find_order_column(bad) is None
+
+
+def test_recursion_over_the_whole_feature_set(spark):
+    import datetime as dt
+    import statistics
+
+    from plantscope.operators import timeseries as ts
+
+    start = dt.datetime(2024, 1, 1, 22)
+    rows = [(k, start + dt.timedelta(hours=i), i, 10 + k + (i * 7 % 5) + 0.1 * i) for k in (0, 1) for i in range(60)]
+    df = spark.createDataFrame(rows, "k int, ts timestamp, i int, v double")
+    scan = fc.numbered_scan(df, "v", ["ts", "i"], ["k"], 0.8)
+    feats = ts.calendar_features(ts.history_features(scan, ["x"], [1, 3], [4]).rows(), "ts")
+    train = feats.where((F.col("rn") > 4) & (F.col("rn") <= F.col("n_train")))
+    names = ["x_lag_1", "x_lag_3", "x_rolling_std_4", "x_first_difference", "x_rate_of_change", "hour", "weekday"]
+    model = md.fit_least_squares(train, "x", {n: F.col(n) for n in names})
+    got = {(r.k, r.step): r.predicted for r in fc.recursive_forecast(scan, model, 30, [1, 3], [4], time="ts", seconds=3600.0).collect()}
+    for k in (0, 1):
+        past = [v for kk, _, _, v in rows if kk == k][:48]
+        last = start + dt.timedelta(hours=47)
+        for h in range(1, 31):
+            t = last + dt.timedelta(hours=h)
+            x = {
+                "x_lag_1": past[-1], "x_lag_3": past[-3], "x_rolling_std_4": statistics.stdev(past[-4:]), "x_first_difference": past[-1] - past[-2],
+                "x_rate_of_change": past[-1] / past[-2] - 1, "hour": t.hour, "weekday": t.weekday(),
+            }
+            past.append(model.intercept + sum(model.coefficients[n] * v for n, v in x.items()))
+            assert got[k, h] == pytest.approx(past[-1], rel=1e-9)
+
+
+def test_validation_folds_match_a_loop(spark):
+    from plantscope.operators import validation as va
+
+    v = [5 + (i * 13 % 7) + 0.05 * i for i in range(90)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v)], "i int, v double")
+    for size in (None, 11):
+        scan = fc.numbered_scan(df, "v", ["i"], rows_per_bucket=size)
+        got = va.validation_folds(scan, 40, 10, 15, period=7, lags=(1, 2)).collect()
+        by = {(r.model, r.fold, r.rn): r for r in got}
+        assert len(by) == len(got) == 4 * 3 * 10
+        for fold in range(3):
+            end = 40 + 15 * fold
+            past = np.array(v[:end])
+            a = np.column_stack([np.ones(end - 1), past[:-1]])
+            ar, *_ = np.linalg.lstsq(a, past[1:], rcond=None)
+            b = np.column_stack([np.ones(end - 2), past[1:-1], past[:-2]])
+            reg, *_ = np.linalg.lstsq(b, past[2:], rcond=None)
+            x = past[-1]
+            for h in range(1, 11):
+                x = ar[0] + ar[1] * x
+                at = end + h
+                want = {"naive": past[-1], "seasonal": past[end - 7 + (h - 1) % 7], "ar1": x, "regression": reg @ [1, v[at - 2], v[at - 3]]}
+                for m, p in want.items():
+                    assert by[m, fold, at].predicted == pytest.approx(p, rel=1e-8)
+            half = 1.959963984540054 * np.sqrt(((past[1:] - a @ ar) ** 2).mean()) * np.sqrt(1 + 1 / (end - 1))
+            assert by["ar1", fold, end + 1].half_width == pytest.approx(half, rel=1e-8)
