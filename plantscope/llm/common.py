@@ -13,16 +13,17 @@ from pyspark.sql import functions as F
 from plantscope.session import ensure_checkpoint_dir
 
 
-def shared_table(df: DataFrame, tag: str) -> DataFrame:
+def shared_table(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it back.
 
     The files survive lost executors and give every later pass the same rows. They lie under the
-    application's own folder, so that one delete removes what an application left.
+    application's own folder, so that one delete removes what an application left. ``by`` names a column
+    of few values, the last one, whose rows go to folders of their own.
     """
     spark = df.sparkSession
     app = spark.sparkContext.applicationId
     path = f"{ensure_checkpoint_dir(spark)}/{app}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,8 +8,8 @@ into components by alternating stars.
 
 No group is gathered without a bound:
 
-* The number of fingerprints under a key is a partially aggregated count. Under a key of two, their
-  minimum and maximum are the pair.
+* The number of fingerprints under a key is a partially aggregated count. Under a key of two or three
+  they are known from aggregates: the minimum, the maximum, and what both leave of the exclusive or.
 * Up to ``CROWD`` fingerprints under a key are collected and compared within the row.
 * Fingerprints under larger keys are indexed again with two of all 64 bits deleted. Whatever the data, at
   most four fingerprints can agree on the other 62 bits, and all of them are linked.
@@ -100,19 +100,23 @@ def _two_deleted(nodes: DataFrame) -> DataFrame:
 def links(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(a, b), a < b: links that join the distinct fingerprints ``nodes(fp)`` as all near pairs would."""
     keyed = nodes.select("fp", F.explode(signatures(F.col("fp"))).alias("key"))
-    keys = shared_table(
-        keyed.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
-        .where((F.col("n") > 2) | ((F.col("n") == 2) & _near(F.col("a"), F.col("b")))),
-        "simhash-keys",
+    low, high = F.col("low"), F.col("high")
+    third = low.bitwiseXOR(high).bitwiseXOR(F.col("x"))
+    pair = lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    few = F.when(F.col("n") == 2, F.array(pair(low, high))).when(F.col("n") == 3, F.array(pair(low, high), pair(low, third), pair(third, high)))
+    few = F.filter(few, lambda p: _near(p["a"], p["b"]))
+    counted = keyed.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high"), F.bit_xor("fp").alias("x")
     )
-    met = keyed.join(keys.where("n > 2").select("key", "n"), "key")
+    counted = counted.where("n > 1").select("key", "n", few.alias("pairs"), (F.col("n") > 3).alias("crowd"))
+    keys = shared_table(counted.where(F.col("crowd") | (F.size("pairs") > 0)), "simhash-keys", "crowd")
+    met = keyed.join(keys.where("crowd").select("key", "n"), "key")
     small = met.where(F.col("n") <= crowd).groupBy("key").agg(F.collect_list("fp").alias("fps"))
     compared = small.select("fps", F.explode("fps").alias("a")).select(
         "a", F.explode(F.filter("fps", lambda x: (x > F.col("a")) & _near(x, F.col("a")))).alias("b")
     )
     large = _two_deleted(met.where(F.col("n") > crowd).select("fp").distinct())
-    pairs = keys.where("n = 2").select("a", "b")
+    pairs = keys.where("not crowd").select(F.explode("pairs").alias("p")).select("p.a", "p.b")
     return pairs.unionByName(compared).unionByName(large).distinct()
 
 
