@@ -39,6 +39,7 @@ SEED = 42
 SHINGLE = 3
 CHUNK = 1 << 16  # shingles hashed at a time, so a very long text needs no array of all its hashes
 CROWD = 128
+BROADCAST_KEYS = 1_000_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -110,7 +111,9 @@ def links(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
     )
     counted = counted.where("n > 1").select("key", "n", few.alias("pairs"), (F.col("n") > 3).alias("crowd"))
     keys = shared_table(counted.where(F.col("crowd") | (F.size("pairs") > 0)), "simhash-keys", "crowd")
-    met = keyed.join(keys.where("crowd").select("key", "n"), "key")
+    crowded = keys.where("crowd").select("key", "n")
+    # a counted table of 16 bytes a row; a larger one is joined by exchange
+    met = keyed.join(F.broadcast(crowded) if crowded.count() <= BROADCAST_KEYS else crowded, "key")
     small = met.where(F.col("n") <= crowd).groupBy("key").agg(F.collect_list("fp").alias("fps"))
     compared = small.select("fps", F.explode("fps").alias("a")).select(
         "a", F.explode(F.filter("fps", lambda x: (x > F.col("a")) & _near(x, F.col("a")))).alias("b")
