@@ -123,15 +123,30 @@ def links(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
     return pairs.unionByName(compared).unionByName(large).distinct()
 
 
-def _rows_and_classes(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Every row (id, h, fp), and of every fingerprint (fp, root, keep: the first row of its component)."""
-    rows = shared_table(fingerprints(docs, id_col, text), "simhash-fps")
+def _nodes(rows: DataFrame) -> DataFrame:
+    """(fp, first row) of the rows (id, h, fp)."""
     first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "h"))
-    nodes = shared_table(rows.groupBy("fp").agg(first.alias("first")), "simhash-nodes")
-    roots = connected(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
+    return rows.groupBy("fp").agg(first.alias("first"))
+
+
+def _classes(nodes: DataFrame, linked: DataFrame) -> DataFrame:
+    """(fp, root, keep: the first row of its component) of the nodes (fp, first row)."""
+    roots = connected(linked).withColumnRenamed("node", "fp")
     named = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     keep = named.groupBy("root").agg(F.min("first").alias("keep"))
-    return rows, named.select("fp", "root").join(keep, "root")
+    return named.select("fp", "root").join(keep, "root")
+
+
+def classes(rows: DataFrame, linked: DataFrame) -> DataFrame:
+    """``_classes`` of the rows (id, h, fp) under any links of their fp."""
+    return _classes(shared_table(_nodes(rows), "simhash-nodes"), linked)
+
+
+def _rows_and_classes(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Every row (id, h, fp), and of every fingerprint (fp, root, keep: the first row of its component)."""
+    rows = shared_table(fingerprints(docs, id_col, text), "simhash-fps")
+    nodes = shared_table(_nodes(rows), "simhash-nodes")
+    return rows, _classes(nodes, links(nodes.select("fp")))
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -142,7 +157,11 @@ def components(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each component: the one of the smallest id."""
-    _, classes = _rows_and_classes(docs, id_col, text)
+    return first_rows(docs, _rows_and_classes(docs, id_col, text)[1], id_col, text)
+
+
+def first_rows(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the classes keep."""
     keep = classes.where("fp = root").select(F.col("keep.id").alias("_id"), F.col("keep.h").alias("_h"))
     same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_h"))
     met = docs.join(keep, same)
