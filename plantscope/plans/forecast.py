@@ -120,13 +120,17 @@ COV = FO + """, pf AS (SELECT event_type, model, fold, count(*) FILTER (abs(x-p)
 cv AS (SELECT event_type, model, sum(c)::BIGINT AS covered_rows, sum(n)::BIGINT AS evaluated_rows, avg(2*h) AS mean_width, sum(c)/sum(n) AS coverage, count(*) AS n_folds, max(obs) AS obs FROM pf GROUP BY 1,2)"""
 
 
-def gate(spark, d):
-    """Leakage from the models' lags, group coverage over the users of a series."""
+def user_coverage(spark, d):
+    """Share of a series' users that its validation rows hold."""
     ev = fc.numbered_scan(read(spark, d, "events"), "value", ORDER, KEYS, 0.8, ["user_id"]).rows()
     end = PLACE["initial"] + PLACE["horizon"] + F.floor((F.col("n_series") - PLACE["initial"] - PLACE["horizon"]) / PLACE["step"]) * PLACE["step"]
-    users = ev.withColumn("_part", F.col("user_id") % 10)
-    seen = fr.group_coverage(users, "_part", (F.col("rn") > PLACE["initial"]) & (F.col("rn") <= end), KEYS)
-    t = va.gate_summary(folds(spark, d), seen.select(*KEYS, F.col("coverage").alias("group_coverage")), KEYS)
+    seen = fr.group_coverage(ev, "user_id", (F.col("rn") > PLACE["initial"]) & (F.col("rn") <= end), KEYS)
+    return seen.select(*KEYS, F.col("coverage").alias("group_coverage"))
+
+
+def gate(spark, d):
+    """Leakage from the models' lags, group coverage over the users of a series."""
+    t = va.gate_summary(folds(spark, d), user_coverage(spark, d), KEYS)
     return tidy(fc.gate_decision(t))
 
 
