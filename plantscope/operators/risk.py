@@ -89,8 +89,20 @@ def compare_outcomes(baseline: DataFrame, candidate: DataFrame, value: str, lsl:
     cols = lambda s: [F.col("mean").alias(f"mean_{s}"), F.col("std").alias(f"std_{s}"), F.col("dpmo").alias(f"dpmo_{s}")]
     b = spec_risk(baseline, value, lsl, usl).select(*cols("baseline"))
     c = spec_risk(candidate, value, lsl, usl).select(*cols("candidate"))
+    return _compared(attach_stats(b, c, []))
+
+
+def compare_groups(df: DataFrame, value: str, lsl: float | None, usl: float | None, by: str, baseline: object) -> DataFrame:
+    """``compare_outcomes`` of every other value of ``by`` with one of them, in one aggregate of all rows."""
+    risk = spec_risk(df, value, lsl, usl, [by])
+    cols = lambda s: [F.col("mean").alias(f"mean_{s}"), F.col("std").alias(f"std_{s}"), F.col("dpmo").alias(f"dpmo_{s}")]
+    own = F.col(by).eqNullSafe(F.lit(baseline))
+    return _compared(attach_stats(risk.where(~own).select(by, *cols("candidate")), risk.where(own).select(*cols("baseline")), []))
+
+
+def _compared(both: DataFrame) -> DataFrame:
     shift = F.col("mean_candidate") - F.col("mean_baseline")
-    return attach_stats(b, c, []).withColumns(
+    return both.withColumns(
         {
             "mean_shift": shift,
             "mean_shift_share": F.coalesce(F.try_divide(shift, F.col("mean_baseline")), F.lit(0.0)),

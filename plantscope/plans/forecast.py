@@ -352,6 +352,8 @@ g AS (SELECT *, unnest(generate_series(0,29)) AS bin FROM r) SELECT g.event_type
 SELECT count(*) FILTER (l_quantity<a OR l_quantity>b OR l_discount<c OR l_discount>e) AS n_extrapolated, round(avg((l_quantity<a OR l_quantity>b OR l_discount<c OR l_discount>e)::INT),6)+0.0 AS rate FROM lineitem, t"""),
     Query("risk_compare_outcomes", lambda s, d: tidy(rk.compare_outcomes(ev(s, d).where("event_type = 'click'"), ev(s, d).where("event_type = 'view'"), "value", 0.5, 150.0)), f"""WITH r AS ({RISK}), b AS (SELECT m, s, ng/n*1e6 AS q FROM r WHERE event_type='click'), c AS (SELECT m AS m2, s AS s2, ng/n*1e6 AS q2 FROM r WHERE event_type='view')
 SELECT round(m,6)+0.0 AS mean_baseline, round(s,6)+0.0 AS std_baseline, round(q,6)+0.0 AS dpmo_baseline, round(m2,6)+0.0 AS mean_candidate, round(s2,6)+0.0 AS std_candidate, round(q2,6)+0.0 AS dpmo_candidate, round(m2-m,6)+0.0 AS mean_shift, round((m2-m)/m,6)+0.0 AS mean_shift_share, round(1-s2/s,6)+0.0 AS std_reduction FROM b, c"""),
+    Query("risk_compare_all_outcomes", lambda s, d: tidy(rk.compare_groups(ev(s, d), "value", 0.5, 150.0, "event_type", "click")), f"""WITH r AS ({RISK}), b AS (SELECT m, s, ng/n*1e6 AS q FROM r WHERE event_type='click'), c AS (SELECT event_type, m AS m2, s AS s2, ng/n*1e6 AS q2 FROM r WHERE event_type<>'click')
+SELECT event_type, round(m2,6)+0.0 AS mean_candidate, round(s2,6)+0.0 AS std_candidate, round(q2,6)+0.0 AS dpmo_candidate, round(m,6)+0.0 AS mean_baseline, round(s,6)+0.0 AS std_baseline, round(q,6)+0.0 AS dpmo_baseline, round(m2-m,6)+0.0 AS mean_shift, round((m2-m)/m,6)+0.0 AS mean_shift_share, round(1-s2/s,6)+0.0 AS std_reduction FROM b, c"""),
     Query("risk_candidates_yield", ranking("maximize_yield"), ranking_sql("p-1")),
     Query("risk_candidates_target", ranking("hit_target", 50.0, 0.2), ranking_sql("abs(m-50.0)", "(cpk IS NULL OR cpk >= 0.2)")),
     Query("risk_top_candidates", top, f"WITH {CAND}, s AS (SELECT user_id, m, abs(m-50.0) AS sc, row_number() OVER (ORDER BY abs(m-50.0), user_id) AS rank FROM k) SELECT user_id, round(m,6)+0.0 AS predicted_mean, round(sc,6)+0.0 AS score, rank FROM s WHERE rank <= 10"),

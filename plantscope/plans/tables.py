@@ -92,6 +92,10 @@ def series(spark, d):
     return tidy(src.series(df, "value", ["ts", "event_id"], F.col("event_type") == "click"))
 
 
+def whole_series(spark, d):
+    return tidy(src.series(read(spark, d, "events"), "value", ["ts", "event_id"]))
+
+
 # -- roles --------------------------------------------------------------------
 
 ROLE_EXPR = {
@@ -250,6 +254,7 @@ QUERIES = [
     Query("source_file_checksums", lambda spark, d: src.file_checksums(spark, f"{d}/*.parquet")),
     Query("source_preview", preview, "SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_mktsegment FROM customer ORDER BY customer.c_custkey LIMIT 50"),
     Query("source_series", series, "SELECT ts, event_id, value FROM events WHERE event_type = 'click'"),
+    Query("source_series_all", whole_series, "SELECT ts, event_id, value FROM events"),
     Query("profile_columns", column_profile, PROFILE_SQL),
     Query("role_value_evidence", value_evidence, _EV),
     Query("role_detection", detect_roles, ROLES_SQL),

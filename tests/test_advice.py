@@ -2,6 +2,7 @@
 
 from collections import defaultdict
 
+from plantscope import plans
 from plantscope.plans import forecast
 
 SF = "/root/testdata/sf0.01"
@@ -19,3 +20,14 @@ def test_group_coverage_counts_users(spark):
     assert min(want.values()) < 1
     got = {r.event_type: r.group_coverage for r in forecast.user_coverage(spark, SF).collect()}
     assert got == want
+
+
+def test_every_event_type_is_compared_and_read(spark):
+    values = defaultdict(list)
+    for r in spark.read.parquet(f"{SF}/events.parquet").collect():
+        values[r.event_type].append(r.value)
+    mean = {k: sum(v) / len(v) for k, v in values.items()}
+    got = {r.event_type: r for r in plans.all_queries()["risk_compare_all_outcomes"].run(spark, SF).collect()}
+    assert set(got) == set(mean) - {"click"} and len(got) == 4
+    assert all(abs(r.mean_shift - (mean[k] - mean["click"])) < 1e-5 and r.mean_baseline for k, r in got.items())
+    assert plans.all_queries()["source_series_all"].run(spark, SF).count() == sum(map(len, values.values()))
