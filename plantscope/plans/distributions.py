@@ -110,7 +110,7 @@ SELECT event_type, family, n, round(d,6)+0.0 AS ks_statistic, round(CASE WHEN sq
 
 
 def density(spark, d):
-    fits = di.fit_table(events(spark, d), "value", KEYS, ["normal", "lognormal", "uniform"])
+    fits = di.fit_table(events(spark, d), "value", KEYS)
     return tidy(di.density_curve(fits, KEYS), 7)
 
 

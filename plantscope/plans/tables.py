@@ -220,12 +220,11 @@ UNION ALL SELECT 'missing_spec', 'value', 'warning', 1""".replace("GROUP BY ALL,
 
 
 READY_ROLES = {"value": "output", "sparse": "input", "tool": "process_input", "event_id": "identifier"}
-READY_FAMILIES = ["normal", "lognormal", "uniform"]
 
 
 def ready(spark, d):
     spec = spark.createDataFrame([("value", None, None), ("sparse", 0.0, 200.0)], "column string, lsl double, usl double")
-    return readiness.readiness(planted(spark, d), READY_ROLES, spec, READY_FAMILIES)
+    return readiness.readiness(planted(spark, d), READY_ROLES, spec)
 
 
 READY = PLANTED_SQL + """, rl AS (SELECT 'value' AS "column", 'output' AS role, value AS v FROM p UNION ALL SELECT 'sparse', 'input', sparse::DOUBLE FROM p UNION ALL SELECT 'tool', 'process_input', try_cast(tool AS DOUBLE) FROM p),

@@ -1,9 +1,10 @@
 """Queries that read less than their tables, against loops over all rows."""
 
+import math
 from collections import defaultdict
 
 from plantscope import plans
-from plantscope.plans import forecast
+from plantscope.plans import forecast, tables
 
 SF = "/root/testdata/sf0.01"
 
@@ -31,3 +32,27 @@ def test_every_event_type_is_compared_and_read(spark):
     assert set(got) == set(mean) - {"click"} and len(got) == 4
     assert all(abs(r.mean_shift - (mean[k] - mean["click"])) < 1e-5 and r.mean_baseline for k, r in got.items())
     assert plans.all_queries()["source_series_all"].run(spark, SF).count() == sum(map(len, values.values()))
+
+
+def test_readiness_tries_every_family(spark):
+    values = [r.value for r in tables.planted(spark, SF).select("value").collect() if r.value is not None]
+    n, mean = len(values), sum(values) / len(values)
+    logs = [math.log(v) for v in values]
+    spread = math.sqrt(sum((x - sum(logs) / n) ** 2 for x in logs) / n)
+    exponential = 4 + 2 * n * (1 + math.log(mean))  # gamma of shape 1
+    assert exponential < 6 + 2 * sum(logs) + n * (math.log(2 * math.pi) + 2 * math.log(spread) + 1)
+    best = {r.column: r.best_family for r in tables.ready(spark, SF).collect()}
+    assert best["value"] not in {"normal", "lognormal", "uniform"}
+
+
+def test_density_of_every_family(spark):
+    rows = plans.all_queries()["distribution_density_curve"].run(spark, SF).where("event_type = 'click'").collect()
+    assert {"normal", "lognormal", "uniform", "triangular", "weibull", "gamma"} <= {r.family for r in rows}
+    values = [r.value for r in spark.read.parquet(f"{SF}/events.parquet").where("event_type = 'click'").collect()]
+    fit = next(r.asDict() for r in plans.all_queries()["distribution_gamma"].run(spark, SF).where("event_type = 'click'").collect())
+    shape, scale = fit["p_shape"], fit["p_scale"]
+    assert abs(shape * scale - sum(values) / len(values)) < 0.1
+    for r in rows:
+        if r.family == "gamma" and r.x > 1:
+            want = math.exp((shape - 1) * math.log(r.x) - r.x / scale - math.lgamma(shape) - shape * math.log(scale))
+            assert abs(r.density - want) < 1e-4 * max(want, 1e-2)
