@@ -8,8 +8,8 @@ language.
 Before that, counts that no candidate needs are moved to shorter prefixes, exactly: a window rarer than
 ``least`` gives its count to the window without its last word, as no candidate ends there. Windows are
 dealt by their first two words, so this happens where they lie; what is left for the ROLLUP is about the
-candidates and the words. A window is a row of a partial count in any case, so one very common phrase is
-a few rows of each task.
+candidates and the words. Slices of texts are counted before they are sent, so one very common phrase is
+an entry a slice, and the windows of one very common word are spread over a sixteenth of all parts.
 
 Joins find the parts of a candidate by (language, words). Arithmetic is decimal with 38 digits: exact up
 to frequencies of 5e15.
@@ -22,7 +22,7 @@ table gives an empty table. A text of any length is read in slices that share ``
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,10 @@ COVERED = (50, 100)  # a longer candidate with this share of the frequency stand
 TOP = 2000
 SCALE = 1_000_000
 SLICE = 4 << 20  # bytes of text counted together
-BYTES_PER_PARTITION = 4 << 20  # of text, for the exchange of windows
+BYTES_PER_PARTITION = 8 << 20  # of text, for the exchange of windows
+MOST_PARTITIONS = 50_000  # more only if the session asks for them
+PARTS_PER_PARTITION = 4  # finer than partitions, so that these are even
+PARTS_OF_A_WORD = 16  # the windows of one word lie in this share of the parts, or in eight
 
 # pieces end at . , ; : ! ? and U+000A to U+000D; words at space and tab
 _CUTS = bytes.maketrans(b".,;:!?\x0b\x0c\x0d\t", b"\n" * 9 + b" ")
@@ -82,28 +85,64 @@ def count_windows(tokens: list[bytes], longest: int, last: bool) -> tuple[list[b
     return [b"", *words], windows[at], np.diff(np.append(at, len(windows)))
 
 
-def _counted(lang: str, parts: Iterable[bytes], longest: int) -> Iterator[pa.RecordBatch]:
+def _positions(longest: int) -> list[str]:
+    return [f"w{k + 1}" for k in range(longest)]
+
+
+def _parts(lang: str, words: list[bytes], windows: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each window, by its first two words; the windows of one word lie in a sixteenth of all parts."""
+    spread = max(8, parts // PARTS_OF_A_WORD)
+    seed = crc32(lang.encode())
+    codes = np.array([crc32(w, seed) for w in words], dtype=np.uint64)
+    first, second = codes[windows[:, 0]], codes[windows[:, 1]]
+    return ((first + (first * np.uint64(31) + second * np.uint64(0x9E3779B1) >> np.uint64(7)) % np.uint64(spread)) % np.uint64(parts)).astype(np.int64)
+
+
+def _lines(lang: str, counted: tuple[list[bytes], np.ndarray, np.ndarray], parts: int) -> Iterator[tuple[int, str, str]]:
+    """(part, lang, lines): the windows of a part, a line for each first two words: ``w1 w2 TAB w3 n TAB w3 n ...``."""
+    words, windows, counts = counted
+    part = _parts(lang, words, windows, parts)
+    order = np.argsort(part, kind="stable")  # in a part the windows stay in order
+    part, windows, counts = part[order], windows[order], counts[order]
+    head = np.ones(len(windows), dtype=bool)
+    head[1:] = (windows[1:, :2] != windows[:-1, :2]).any(axis=1) | (part[1:] != part[:-1])
+    name = [w.decode() for w in words]
+    tails = [" ".join([name[i] for i in w]) for w in windows[:, 2:].tolist()] if windows.shape[1] > 3 else [name[i] for i in windows[:, 2:].ravel().tolist()]
+    if windows.shape[1] == 2:
+        tails = [""] * len(windows)
+    pieces = [
+        f"\n{name[a]} {name[b]}\t{tail} {n}" if new else f"\t{tail} {n}"
+        for (a, b), tail, n, new in zip(windows[:, :2].tolist(), tails, counts.tolist(), head.tolist(), strict=True)
+    ]
+    ends = np.flatnonzero(np.diff(part, append=-1)) + 1
+    at = 0
+    for end in ends.tolist():
+        yield int(part[at]), lang, "".join(pieces[at:end])[1:]
+        at = end
+
+
+def _counted(lang: str, given: Iterable[bytes], longest: int, parts: int) -> Iterator[tuple[int, str, str]]:
     carry: list[bytes] = []
-    parts = iter(parts)
-    part = next(parts, None)
-    while part is not None:
-        following = next(parts, None)
-        tokens = carry + words_and_cuts(part)
-        words, windows, counts = count_windows(tokens, longest, following is None)
+    given = iter(given)
+    now = next(given, None)
+    while now is not None:
+        following = next(given, None)
+        tokens = carry + words_and_cuts(now)
+        yield from _lines(lang, count_windows(tokens, longest, following is None), parts)
         carry = tokens[len(tokens) - min(longest - 1, len(tokens)) :]
-        part = following
-        names = pa.array(words, pa.binary()).cast(pa.string())
-        columns = [names.take(pa.array(windows[:, k])) for k in range(longest)]
-        langs = pa.array([lang]).take(pa.array(np.zeros(len(counts), dtype=np.int64)))
-        yield pa.RecordBatch.from_arrays([langs, *columns, pa.array(counts)], names=["lang", *_positions(longest), "n"])
-
+        now = following
 
-def _positions(longest: int) -> list[str]:
-    return [f"w{k + 1}" for k in range(longest)]
 
+def windows(
+    docs: DataFrame, longest: int = LONGEST, text: str = "text", lang: str = "lang", slice_bytes: int = SLICE, partitions: int | None = None
+) -> DataFrame:
+    """(part, lang, w1, ..., n): the padded longest windows, counted slice by slice and dealt by part.
 
-def windows(docs: DataFrame, longest: int = LONGEST, text: str = "text", lang: str = "lang", slice_bytes: int = SLICE) -> DataFrame:
-    """(lang, w1, ..., n): the padded longest windows, counted slice by slice."""
+    They travel as lines, which take a third of the space of rows; a part is a function of the language and
+    the first two words.
+    """
+    n = partitions or _partitions(docs, text)
+    parts = PARTS_PER_PARTITION * n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, 1, slice_bytes):
@@ -111,18 +150,25 @@ def windows(docs: DataFrame, longest: int = LONGEST, text: str = "text", lang: s
             for name, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 by_lang.setdefault(name, []).append(t.encode())
             for name, texts in by_lang.items():
-                whole = b"\n".join(texts)
-                yield from _counted(name, _slices(whole, slice_bytes), longest)
+                rows = list(_counted(name, _slices(b"\n".join(texts), slice_bytes), longest, parts))
+                yield pa.RecordBatch.from_pylist([{"part": p, "lang": g, "lines": x} for p, g, x in rows], schema)
 
-    columns = ", ".join(f"{w} string" for w in _positions(longest))
+    schema = pa.schema([("part", pa.int64()), ("lang", pa.string()), ("lines", pa.string())])
     given = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return given.mapInArrow(run, f"lang string, {columns}, n long")
+    dealt = given.mapInArrow(run, "part long, lang string, lines string").repartition(n, "part")
+    lines = dealt.select("part", "lang", F.explode(F.split("lines", "\n")).alias("line")).withColumn("line", F.split("line", "\t"))
+    tails = lines.select("part", "lang", F.split(F.get("line", F.lit(0)), " ").alias("head"), F.explode(F.slice("line", 2, 2**31 - 1)).alias("tail"))
+    tails = tails.withColumn("tail", F.split("tail", " "))
+    pos = _positions(longest)
+    named = [F.get("head", F.lit(k)).alias(pos[k]) for k in range(2)] + [F.get("tail", F.lit(k - 2)).alias(pos[k]) for k in range(2, longest)]
+    return tails.select("part", "lang", *named, F.element_at("tail", -1).cast("long").alias("n"))
 
 
 def _moved_to_prefixes(counted: DataFrame, longest: int, least: int) -> DataFrame:
     """The same occurrences with the counts of windows rarer than ``least`` moved to shorter prefixes.
 
-    ``counted`` holds each window once and is dealt by its first two words, which every step keeps.
+    ``counted`` holds each window once and is dealt by part, so that windows of the same first two words lie
+    together; no step but the last sends rows.
     """
     pos = _positions(longest)
     rows = counted.withColumn("total", F.col("n"))
@@ -132,8 +178,8 @@ def _moved_to_prefixes(counted: DataFrame, longest: int, least: int) -> DataFram
             longer = F.col(pos[k]) != ""
             own = F.struct(*pos, "n", F.col("n").alias("total"))
             short = F.struct(*pos[:k], *[F.lit("").alias(p) for p in pos[k:]], F.lit(0).cast("long").alias("n"), F.col("n").alias("total"))
-            rows = rows.select("lang", F.explode(F.when(longer, F.array(own, short)).otherwise(F.array(own))).alias("r"))
-            rows = rows.select("lang", "r.*").groupBy("lang", *pos).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+            rows = rows.select("part", "lang", F.explode(F.when(longer, F.array(own, short)).otherwise(F.array(own))).alias("r"))
+            rows = rows.select("part", "lang", "r.*").groupBy("part", "lang", *pos).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
         ends = F.col(pos[k]) == "" if k < longest else F.lit(True)
         rare = ends & (F.col("total") < least)
         rows = rows.withColumn(pos[k - 1], F.when(rare, "").otherwise(F.col(pos[k - 1])))
@@ -143,14 +189,13 @@ def _moved_to_prefixes(counted: DataFrame, longest: int, least: int) -> DataFram
 def _partitions(docs: DataFrame, text: str) -> int:
     """Partitions for the windows, from the bytes of all texts."""
     total = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // BYTES_PER_PARTITION)
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(total // BYTES_PER_PARTITION, MOST_PARTITIONS))
 
 
 def frequencies(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, text: str = "text", lang: str = "lang") -> DataFrame:
     """(lang, w1, ..., len, n) of all words (len 1), all phrases of ``least`` and more, and the languages (len 0)."""
     pos = _positions(longest)
-    dealt = windows(docs, longest, text, lang).repartition(_partitions(docs, text), "lang", *pos[:2])
-    counted = dealt.groupBy("lang", *pos).agg(F.sum("n").alias("n"))
+    counted = windows(docs, longest, text, lang).groupBy("part", "lang", *pos).agg(F.sum("n").alias("n"))
     left = _moved_to_prefixes(counted, longest, least)
     sets = ", ".join(pos)
     rolled = left.sparkSession.sql(
