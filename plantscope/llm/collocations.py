@@ -36,6 +36,7 @@ LEAST = 10
 COVERED = (50, 100)  # a longer candidate with this share of the frequency stands for the shorter one
 TOP = 2000
 SCALE = 1_000_000
+BROADCAST_LANGS = 100_000
 SLICE = 4 << 20  # bytes of text counted together
 BYTES_PER_PARTITION = 8 << 20  # of text, for the exchange of windows
 MOST_PARTITIONS = 50_000  # more only if the session asks for them
@@ -264,8 +265,9 @@ def mined(
     out = kept[0]
     for part in kept[1:]:
         out = out.unionByName(part)
-    # one row a language
-    return out.join(total.withColumnRenamed("total", "n"), "lang")
+    # one row a language; joined by exchange, the candidates of a language would meet in one task
+    total = total.withColumnRenamed("total", "n")
+    return out.join(F.broadcast(total) if total.count() <= BROADCAST_LANGS else total, "lang")
 
 
 def digest(docs: DataFrame, top: int = TOP) -> DataFrame:
