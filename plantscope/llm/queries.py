@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plantscope.llm import bpe_tree, collocations, impact_index, line_spread, packing, prefix_trie, radix_dedup, reply_trees, secrets, shards, simhash, toxicity
+from plantscope.llm import bpe_tree, collocations, factor_dedup, impact_index, line_spread, packing, prefix_trie, radix_dedup, reply_trees, secrets, shards, simhash, toxicity
 from plantscope.plans.registry import Query, read
 
 
@@ -56,6 +56,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.digest(read(spark, sf_dir, "conversations"))
 
 
+def op13_factor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return factor_dedup.digest(read(spark, sf_dir, "documents"))
+
+
 QUERIES = (
     Query("op1_secret_scan", op1_secret_scan, secrets.DIGEST_SQL),
     Query("op2_simhash_dedup", op2_simhash_dedup),
@@ -69,4 +73,5 @@ QUERIES = (
     Query("op10_line_spread", op10_line_spread, line_spread.DIGEST_SQL),
     Query("op11_collocations", op11_collocations, collocations.DIGEST_SQL),
     Query("op12_prefix_trie", op12_prefix_trie, prefix_trie.DIGEST_SQL),
+    Query("op13_factor_dedup", op13_factor_dedup),
 )
