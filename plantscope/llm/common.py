@@ -24,7 +24,30 @@ def shared_table(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
     app = spark.sparkContext.applicationId
     path = f"{ensure_checkpoint_dir(spark)}/{app}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path, partitionBy=by)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._shared_path = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete shared tables whose last reader has been written elsewhere."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(table._shared_path)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, *stems: str) -> list[str]:
+    """Column names that begin with the stems and that ``df`` does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for stem in stems:
+        name = f"_{stem}"
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def prefix_sums(values: Column) -> Column:

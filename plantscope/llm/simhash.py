@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plantscope.llm.common import shared_table
+from plantscope.llm.common import fresh, shared_table, small_batches
 from plantscope.llm.stars import connected
 
 SEED = 42
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     """(id, h: hash of the text, fp) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches, 2):
             fps = [fingerprint(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], names=["id", "h", "fp"])
 
@@ -162,11 +162,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
 def first_rows(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the classes keep."""
-    keep = classes.where("fp = root").select(F.col("keep.id").alias("_id"), F.col("keep.h").alias("_h"))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_h"))
+    first, h, repeat = fresh(docs, "id", "h", "repeat")
+    keep = classes.where("fp = root").select(F.col("keep.id").alias(first), F.col("keep.h").alias(h))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(first)) & (F.xxhash64(text) == F.col(h))
     met = docs.join(keep, same)
-    repeat = F.row_number().over(Window.partitionBy("_id", "_h").orderBy(F.lit(1)))
-    return met.withColumn("_repeat", repeat).where("_repeat = 1").select(*docs.columns)
+    number = F.row_number().over(Window.partitionBy(first, h).orderBy(F.lit(1)))
+    return met.withColumn(repeat, number).where(F.col(repeat) == 1).select(*docs.columns)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -68,13 +68,22 @@ def test_the_stage_keeps_what_all_pairs_keep(spark):
     assert len(slow_kept(rows)) < len({t for _, t in rows})
 
 
-@pytest.mark.parametrize(("crowd", "block"), [(32, 256), (2, 4), (2, 100)])
-def test_links_of_every_size_of_key(spark, crowd, block):
+@pytest.mark.parametrize(("crowd", "block", "leaders"), [(32, 256, 2), (2, 4, 0), (2, 100, 1), (128, 512, 3)])
+def test_links_of_every_size_of_key(spark, crowd, block, leaders):
     rows = planted(crowd + block)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     made = near_copies._keyed(docs, near_copies.often(docs), "doc_id", "text")
-    nodes = made.groupBy("fp").agg(F.first("h").alias("h"), F.first("keys").alias("keys"))
-    found = near_copies.links(nodes, docs, crowd=crowd, block=block)
+    nodes = made.groupBy("fp").agg(F.first("h").alias("h"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    found = near_copies.links(nodes, docs, crowd=crowd, block=block, leaders=leaders)
     classes = simhash.classes(made, found)
     assert sorted(r.doc_id for r in simhash.first_rows(docs, classes).collect()) == slow_kept(rows)
     assert stars.connected(found).count() > 0
+
+
+def test_clashing_columns(spark):
+    names = ["_id", "__ID", "_h", "_repeat", "fp", "keys", "n", "root"]
+    rows = [(1, "a b c d e f", *names), (2, "a b c d e f", *names), (3, None, *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    for kept in (near_copies.one_of_each(docs), simhash.one_of_each(docs)):
+        assert kept.columns == docs.columns
+        assert sorted(tuple(r) for r in kept.collect()) == [rows[0], rows[2]]

@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 from test_dedup import lines_by_loop  # noqa: E402
-from test_simhash import slow_fingerprint, slow_roots  # noqa: E402
+from test_near_copies import slow_kept  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
 from plantscope.llm import line_spread, secrets, toxicity  # noqa: E402
@@ -51,12 +51,7 @@ def test_stages(spark):
     rows = [(r.doc_id, r.text, r.source) for r in after["toxicity"]]
     assert Counter((r.doc_id, r.text) for r in after["line dedup"]) == Counter(lines_by_loop(rows, line_spread.MIN_SITES))
 
-    fps = {r.doc_id: slow_fingerprint(r.text) for r in after["line dedup"]}
-    roots = slow_roots(set(fps.values()))
-    least = defaultdict(lambda: 10**9)
-    for i, f in fps.items():
-        least[roots[f]] = min(least[roots[f]], i)
-    assert sorted(r.doc_id for r in after["near dedup"]) == sorted(least.values())
+    assert sorted(r.doc_id for r in after["near dedup"]) == slow_kept([(r.doc_id, r.text) for r in after["line dedup"]])
 
     assert {r.doc_id: r.text for r in after["secret scan"]} == {r.doc_id: redacted(r.text) for r in after["near dedup"]}
     assert any("[secret]" in r.text for r in after["secret scan"])
