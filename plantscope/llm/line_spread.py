@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plantscope.llm.common import shared_table
+from plantscope.llm.common import fresh, shared_table
 
 MIN_SITES = 10
 MARGIN = 0.25  # relative; the sketches' standard error is about 1.04 / sqrt(2 ** LG_K), 1.6 %
@@ -81,25 +81,23 @@ def cut_boilerplate(
     met = shared_table(lines.join(shared, ["h1", "h2"]).select("h1", "h2", "d1", "d2", "id", "pos"), "line-hits")
     first = met.groupBy("h1", "h2").agg(F.min(F.struct("id", "d1", "d2", "pos")).alias("first"))
     own = F.struct("id", "d1", "d2", "pos")
+    d1, d2, cut = fresh(docs, "d1", "d2", "cut")
     cuts = (
         met.join(first, ["h1", "h2"])
         .where(~own.eqNullSafe(F.col("first")))
         .groupBy("d1", "d2")
-        .agg(F.collect_set("pos").alias("_cut"))
-        .withColumnsRenamed({"d1": "_d1", "d2": "_d2"})
+        .agg(F.collect_set("pos").alias(cut))
+        .withColumnsRenamed({"d1": d1, "d2": d2})
     )
     keyed = docs.withColumns(
-        {
-            "_d1": F.xxhash64(F.col(id_col), F.col(text)),
-            "_d2": F.xxhash64(F.col(text), F.lit("document"), F.col(id_col)),
-        }
+        {d1: F.xxhash64(F.col(id_col), F.col(text)), d2: F.xxhash64(F.col(text), F.lit("document"), F.col(id_col))}
     )
-    kept = F.filter(_lines(F.col(text)), lambda _, i: ~F.array_contains("_cut", i))
-    out = keyed.join(cuts, ["_d1", "_d2"], "left").withColumn(
-        text, F.when(F.col("_cut").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
+    kept = F.filter(_lines(F.col(text)), lambda _, i: ~F.array_contains(cut, i))
+    out = keyed.join(cuts, [d1, d2], "left").withColumn(
+        text, F.when(F.col(cut).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
     )
     if removed:
-        out = out.withColumn(removed, F.when(F.col("_cut").isNull(), 0).otherwise(F.size("_cut")).cast("long"))
+        out = out.withColumn(removed, F.when(F.col(cut).isNull(), 0).otherwise(F.size(cut)).cast("long"))
     return out.select(*docs.columns, *([removed] if removed and removed not in docs.columns else []))
 
 

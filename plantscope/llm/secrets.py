@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plantscope.llm.common import hex_sha256, prefix_sums
+from plantscope.llm.common import fresh, hex_sha256, prefix_sums
 
 
 @dataclass(frozen=True)
@@ -192,7 +192,8 @@ def scan_spans(
 
     Steps are separate projections so that each regular expression runs once a row.
     """
-    df = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
+    # the caller's columns travel in one, so that no name can clash
+    df = docs.select(F.struct("*").alias("given"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
     searched = [(p.kind, SEARCHED[p.kind]) for p in PATTERNS] + [(c.kind, c.regex) for c in CLASSES]
     df = df.withColumns({f"_m_{kind}": F.regexp_extract_all("_t", F.lit(rx), F.lit(0)) for kind, rx in searched})
     df = df.withColumns(
@@ -208,8 +209,8 @@ def scan_spans(
     for r, cls in enumerate(CLASSES, len(PATTERNS)):
         df = df.withColumn(f"_e_{cls.kind}", _entropy_spans(F.col(f"_s_{cls.kind}"), taken, cls, r, window, allowed))
         taken = F.concat(taken, F.col(f"_e_{cls.kind}"))
-    df = df.withColumn(out, F.array_sort(taken))
-    return df.drop("_t", "_base", *[f"_{a}_{kind}" for a in "mse" for kind, _ in searched])
+    df = df.withColumn("_out", F.array_sort(taken))
+    return df.select(*[F.col(f"given.`{c}`").alias(c) for c in docs.columns if c != out], F.col("_out").alias(out))
 
 
 def span_list(spans: Column) -> Column:
@@ -223,8 +224,9 @@ def base_spans(spans: Column) -> Column:
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
     """Replace every span by ``mark``; spans that touch or overlap become one mark. Rows all stay."""
-    spans = F.col("_spans")
-    df = scan_spans(docs, text, "_spans")
+    found, cut = fresh(docs, "spans", "cut")
+    spans = F.col(found)
+    df = scan_spans(docs, text, found)
     # the end of what is hidden before each span: a running maximum of the ends, which lists are short for
     merged = F.aggregate(
         spans,
@@ -239,12 +241,12 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataF
             F.greatest(acc["at"], s["end"]).alias("at"),
         ),
     )
-    df = df.withColumn("_cut", F.when(F.size(spans) > 0, merged))
-    tail = F.substring(F.col(text), F.col("_cut.at") + 1, F.char_length(F.col(text)))
+    df = df.withColumn(cut, F.when(F.size(spans) > 0, merged))
+    tail = F.substring(F.col(text), F.col(f"{cut}.at") + 1, F.char_length(F.col(text)))
     df = df.withColumn(
-        text, F.when(F.size(spans) > 0, F.concat(F.array_join(F.col("_cut.parts"), ""), tail)).otherwise(F.col(text))
+        text, F.when(F.size(spans) > 0, F.concat(F.array_join(F.col(f"{cut}.parts"), ""), tail)).otherwise(F.col(text))
     )
-    return df.drop("_spans", "_cut")
+    return df.drop(found, cut)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plantscope.llm.common import shared_table
+from plantscope.llm.common import fresh, shared_table
 
 SHARDS = 24
 TOLERANCE = 0.01
@@ -144,18 +144,22 @@ def shard_by_bytes(
     keys = shared_table(docs.select(*[c.alias(n) for n, c in key.items()]), "shard-keys")
     edges, total = splitters(keys, shards, tolerance)
     lanes = max(1, -(-total // (shards * LANE_BYTES)))
-
-    def place(k1: Column, k2: Column) -> dict[str, Column]:
-        return {"shard": _shard(edges, k1, k2), "_lane": (k2 % F.lit(lanes)).cast("int")}
-
-    counts = keys.withColumns(place(F.col("k1"), F.col("k2"))).groupBy("shard", "_lane").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("shard").orderBy("_lane").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "_lane", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
-    rows = docs.withColumns({"_k1": key["k1"], "_k2": key["k2"], "size": key["size"]})
-    rows = rows.withColumns(place(F.col("_k1"), F.col("_k2")))
-    in_lane = Window.partitionBy("shard", "_lane").orderBy("_k1", "_k2")
+    k1, k2, lane, start = fresh(docs, "k1", "k2", "lane", "start")
+
+    def place(a: Column, b: Column) -> dict[str, Column]:
+        return {"shard": _shard(edges, a, b), lane: (b % F.lit(lanes)).cast("int")}
+
+    counts = keys.withColumns(place(F.col("k1"), F.col("k2"))).groupBy("shard", lane).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("shard").orderBy(lane).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("shard", lane, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(start))
+    rows = docs.withColumns({k1: key["k1"], k2: key["k2"], "size": key["size"]})
+    rows = rows.withColumns(place(F.col(k1), F.col(k2)))
+    # as many partitions as lanes of a bounded size, whatever the session's default
+    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), shards * lanes)
+    rows = rows.repartition(partitions, "shard", lane)
+    in_lane = Window.partitionBy("shard", lane).orderBy(k1, k2)
     rows = rows.withColumn("slot", F.row_number().over(in_lane).cast("long") - 1)
-    rows = rows.join(starts, ["shard", "_lane"]).withColumn("slot", F.col("slot") + F.col("_start"))
+    rows = rows.join(starts, ["shard", lane]).withColumn("slot", F.col("slot") + F.col(start))
     new = [c for c in ("size", "shard", "slot") if c not in docs.columns]
     return rows.select(*docs.columns, *new)
 

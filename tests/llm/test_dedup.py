@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from plantscope.llm import line_spread, radix_dedup, shards
+from plantscope.llm import line_spread, radix_dedup, secrets, shards
 
 SCHEMA = "doc_id long, text string, source string, size string, keep_id string, _k1 string, row string"
 
@@ -122,3 +122,16 @@ def test_empty_tables(spark):
     assert radix_dedup.equal_texts(empty).collect() == []
     assert shards.digest(empty).collect() == []
     assert line_spread.digest(empty).collect() == []
+
+
+def test_names_of_the_callers_columns(spark):
+    """Inner names of the operators, in any case, pass through with their values."""
+    names = ["_k1", "_K2", "_lane", "_start", "_d1", "_d2", "_cut", "_t", "_base", "_spans", "__cut", "_m_hex", "given", "_out"]
+    schema = "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names)
+    rows = [(i, f"one common line of text\nown {i} token=abcdef12", f"s{i}", *names) for i in range(12)]
+    docs = spark.createDataFrame(rows, schema)
+    for made in (line_spread.cut_boilerplate(docs), secrets.redact(docs), secrets.scan_spans(docs), shards.shard_by_bytes(docs, shards=2)):
+        assert made.columns[: len(docs.columns)] == docs.columns or set(docs.columns) <= set(made.columns)
+        assert {tuple(r[n] for n in names) for r in made.collect()} == {tuple(names)} and made.count() == 12
+    assert sum("common" in r.text for r in line_spread.cut_boilerplate(docs).collect()) == 1
+    assert all("[secret]" in r.text for r in secrets.redact(docs).collect())
