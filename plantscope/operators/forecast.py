@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from plantscope.operators.models import LinearModel, regression_metrics
 from plantscope.operators.ordered import OrderedScan, join_on
+from plantscope.operators.series_models import SeriesRegression, SeriesTrees
 from plantscope.operators.stats import attach_stats, finite, quantiles
 
 X = "x"
@@ -80,10 +81,11 @@ def ar1_forecast(scan: OrderedScan) -> DataFrame:
 
 
 def recursive_forecast(
-    scan: OrderedScan, model: LinearModel, horizon: int, lags: Sequence[int], windows: Sequence[int] = (), held: Sequence[str] = (),
+    scan: OrderedScan, model: LinearModel | SeriesRegression | SeriesTrees, horizon: int, lags: Sequence[int], windows: Sequence[int] = (), held: Sequence[str] = (),
     time: str | None = None, seconds: Column | float | None = None,
 ) -> DataFrame:
-    """Fixed-horizon recursion of a linear model on the features of ``timeseries.build_features``.
+    """Fixed-horizon recursion of a model on the features of ``timeseries.build_features``: linear, or a
+    regression, forest or boosted trees a series.
 
     Each series keeps only its last max(lag, window, 2) training values; its forecasts are appended
     to that array step by step inside one expression, so all series advance together. Lags, rolling mean
@@ -98,6 +100,8 @@ def recursive_forecast(
         F.transform(F.sort_array(F.collect_list(F.struct("rn", X))), lambda s: s[X]).alias("_hist"),
         *[F.max_by(c, at).alias(c) for c in dict.fromkeys([*held, *([time] if time else [])])],
     ).where(F.size("_hist") == reach)
+    if hasattr(model, "attach"):  # a model a series
+        state = model.attach(state)
     if time:
         gap = seconds if isinstance(seconds, Column) else F.lit(float(seconds or 0))
         state = state.withColumns({"_from": F.unix_seconds(F.col(time).cast("timestamp")), "_gap": gap})

@@ -85,7 +85,9 @@ def quantiles(
     rows = df.where(F.col(value).isNotNull())
     limit = PERCENTILE_ROWS if rows_limit is None else rows_limit
     if rows.count() <= limit:
-        return rows.groupBy(*by).agg(*[F.percentile(value, F.lit(p)).alias(n) for n, p in probs.items()])
+        # one buffer for all probabilities
+        every = rows.groupBy(*by).agg(F.percentile(value, F.array(*[F.lit(float(p)) for p in probs.values()])).alias("_every"))
+        return every.select(*by, *[F.get("_every", F.lit(i)).alias(n) for i, n in enumerate(probs)])
     counts = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_k"))
     ranked = OrderedScan(counts, by, [value], rows_per_bucket).running({"_upto": ("sum", F.col("_k"))})
     totals = counts.groupBy(*by).agg(F.sum("_k").alias("_total"))
