@@ -109,9 +109,11 @@ k AS (SELECT event_type, family, n, max(greatest(hi_c - f, f - lo_c)) AS d FROM
 SELECT event_type, family, n, round(d,6)+0.0 AS ks_statistic, round(CASE WHEN sqrt(n)*d < 0.2 THEN 1.0 ELSE least(greatest({_P},0),1) END,6)+0.0 AS ks_p_value FROM k"""
 
 
-def density(spark, d):
-    fits = di.fit_table(events(spark, d), "value", KEYS)
-    return tidy(di.density_curve(fits, KEYS), 7)
+def density(families=None):
+    def run(spark, d):
+        return tidy(di.density_curve(di.fit_table(events(spark, d), "value", KEYS, families), KEYS), 7)
+
+    return run
 
 
 DENS_SQL = f"""WITH t AS ({EV}), g AS (SELECT *, lo-(hi-lo)*0.08 + i*((hi-lo)*1.16)/159 AS x FROM (SELECT *, unnest(generate_series(0,159)) AS i FROM t))
@@ -150,5 +152,6 @@ SELECT event_type, 'empirical' AS family, n, k::BIGINT AS k, round(ll,4)+0.0 AS
     Query("distribution_ks", ks(KS_FAMS), KS_SQL),
     Query("distribution_ks_all_families", ks(None)),
     Query("distribution_ks_counts", ks(["poisson", "negative_binomial"], "turn", counts_table, ["role"])),
-    Query("distribution_density_curve", density, DENS_SQL),
+    Query("distribution_density_curve", density(["normal", "lognormal", "uniform"]), DENS_SQL),
+    Query("distribution_density_curve_all", density()),
 ]

@@ -10,6 +10,7 @@ from plantscope.operators import frames as fr
 from plantscope.operators import models as md
 from plantscope.operators import risk as rk
 from plantscope.operators import routes as rt
+from plantscope.operators import series_models as sm
 from plantscope.operators import timeseries as ts
 from plantscope.operators import validation as va
 from plantscope.operators.stats import attach_stats
@@ -49,23 +50,54 @@ def features(spark, d):
 FEATS = ["value_lag_1", "value_lag_2", "value_rolling_mean_3", "hour", "weekday"]
 
 
+def split_features(spark, d):
+    return ts.time_split(features(spark, d).drop("rn"), "ts", ["event_id"], 0.7, 0.1, KEYS)
+
+
 def dynamic(fit):
+    """A model a series, scored on its later rows."""
+
     def run(spark, d):
-        f = ts.time_split(features(spark, d).drop("rn"), "ts", ["event_id"], 0.7, 0.1, KEYS)
+        f = split_features(spark, d)
         model = fit(f.where(F.col("split") == "train"))
-        return tidy(md.regression_metrics(md.score(model, f.where(F.col("split") == "test")), "y", "predicted", KEYS, len(FEATS)))
+        return tidy(md.regression_metrics(model.score(f.where(F.col("split") == "test")), "y", "predicted", KEYS, len(FEATS)))
 
     return run
 
 
-def hybrid(spark, d):
-    """Naive baseline plus a forest on its residual over the exogenous columns."""
-    f = ts.build_features(read(spark, d, "events"), "ts", ["event_id"], ["value"], [1, 2, 3], [3], KEYS, keep=["user_id"])
-    f = f.where("is_complete").withColumnRenamed("value", "y")
-    f = ts.time_split(f.drop("rn"), "ts", ["event_id"], 0.7, 0.1, KEYS).withColumn("rest", F.col("y") - F.col("value_lag_1"))
-    model = md.fit_forest(f.where(F.col("split") == "train"), "rest", ["hour", "weekday", "user_id"], trees=100)
-    scored = md.score(model, f.where(F.col("split") == "test")).withColumn("hybrid", F.col("predicted") + F.col("value_lag_1"))
-    return tidy(fc.before_after(scored, "y", "value_lag_1", "hybrid"))
+def hybrid(baseline):
+    """A baseline plus a forest a series on its residual over the exogenous columns."""
+
+    def run(spark, d):
+        f = ts.build_features(read(spark, d, "events"), "ts", ["event_id"], ["value"], [1, 2, 3], [3], KEYS, keep=["user_id"])
+        f = f.where("is_complete").withColumnRenamed("value", "y")
+        f = ts.time_split(f.drop("rn"), "ts", ["event_id"], 0.7, 0.1, KEYS)
+        model = sm.fit_hybrid(f.where(F.col("split") == "train"), "y", baseline, ["hour", "weekday", "user_id"], series_keys=KEYS, row_keys=["event_id"])
+        return tidy(fc.before_after(model.score(f.where(F.col("split") == "test"), "hybrid"), "y", baseline, "hybrid"))
+
+    return run
+
+
+def one_lag(spark, d):
+    """Regressions on the value before, a row a series."""
+    model = sm.fit_regressions(scan(spark, d).previous({"prev": "x"}).rows(), "x", ["prev"], KEYS)
+    return tidy(model.models.select(*KEYS, "n", "intercept", F.get("coefficients", F.lit(0)).alias("slope"), "sse"), sse=3)
+
+
+HISTORY = ["x_lag_1", "x_lag_2", "x_rolling_mean_3", "hour", "weekday"]
+
+
+def history(spark, d):
+    s = ts.history_features(scan(spark, d), ["x"], [1, 2], [3])
+    return s._derive(ts.calendar_features(s.df, "ts"))
+
+
+def recursive_forest(spark, d):
+    s = scan(spark, d)
+    rows = ts.calendar_features(ts.history_features(s, ["x"], [1, 2], [3]).rows(), "ts")
+    train = rows.where((F.col("rn") > 3) & (F.col("rn") <= F.col("n_train")))
+    model = sm.fit_forests(train, "x", HISTORY, KEYS, ["event_id"])
+    return tidy(fc.recursive_forecast(s, model, 12, [1, 2], [3], time="ts", seconds=3600.0))
 
 
 def recursive(spark, d):
@@ -108,6 +140,32 @@ fh AS (SELECT *, 1.959963984540054*sqrt(s/k)*sqrt(1+1/k) AS h FROM fd),
 fm AS (SELECT event_type, model, fold, count(*) AS n, avg(abs(x-p)) AS mae, sqrt(avg((x-p)**2)) AS rmse, 1-sum((x-p)**2)/(var_pop(x)*count(*)) AS r2 FROM fd GROUP BY 1,2,3)"""
 
 
+FITTED = {"initial": 1000, "horizon": 150, "step": 500}
+
+
+def fitted(spark, d):
+    """Dynamic regression, forest, boosted trees and the residual hybrid, a model a series and fold."""
+    s = history(spark, d)
+    linear = va.validation_folds(s, **FITTED, models=["dynamic"], features=HISTORY)
+    rows = s.rows().where("rn > 3")
+    trees = {
+        "forest": lambda t, y, f, k: sm.fit_forests(t, y, f, k, ["event_id"]),
+        "boosted": lambda t, y, f, k: sm.fit_boosted_trees(t, y, f, k),
+        "hybrid": lambda t, y, f, k: sm.fit_hybrid(t, y, "x_lag_1", ["hour", "weekday"], series_keys=k, row_keys=["event_id"]),
+    }
+    return linear.select(*KEYS, "rn", "fold", "x", "model", "predicted", "half_width", "uses_observed", "covered").unionByName(
+        va.fitted_folds(rows, HISTORY, trees, **FITTED, series_keys=KEYS)
+    )
+
+
+def fitted_metrics(spark, d):
+    return tidy(fc.fold_metrics(fitted(spark, d), MODEL))
+
+
+def fitted_gate(spark, d):
+    return tidy(fc.gate_decision(va.gate_summary(fitted(spark, d), user_coverage(spark, d, FITTED), KEYS)))
+
+
 def mean_folds(spark, d):
     return tidy(fc.mean_fold_metrics(fc.fold_metrics(folds(spark, d), MODEL), MODEL))
 
@@ -120,11 +178,11 @@ COV = FO + """, pf AS (SELECT event_type, model, fold, count(*) FILTER (abs(x-p)
 cv AS (SELECT event_type, model, sum(c)::BIGINT AS covered_rows, sum(n)::BIGINT AS evaluated_rows, avg(2*h) AS mean_width, sum(c)/sum(n) AS coverage, count(*) AS n_folds, max(obs) AS obs FROM pf GROUP BY 1,2)"""
 
 
-def user_coverage(spark, d):
+def user_coverage(spark, d, place=PLACE):
     """Share of a series' users that its validation rows hold."""
     ev = fc.numbered_scan(read(spark, d, "events"), "value", ORDER, KEYS, 0.8, ["user_id"]).rows()
-    end = PLACE["initial"] + PLACE["horizon"] + F.floor((F.col("n_series") - PLACE["initial"] - PLACE["horizon"]) / PLACE["step"]) * PLACE["step"]
-    seen = fr.group_coverage(ev, "user_id", (F.col("rn") > PLACE["initial"]) & (F.col("rn") <= end), KEYS)
+    end = place["initial"] + place["horizon"] + F.floor((F.col("n_series") - place["initial"] - place["horizon"]) / place["step"]) * place["step"]
+    seen = fr.group_coverage(ev, "user_id", (F.col("rn") > place["initial"]) & (F.col("rn") <= end), KEYS)
     return seen.select(*KEYS, F.col("coverage").alias("group_coverage"))
 
 
@@ -134,7 +192,7 @@ def gate(spark, d):
     return tidy(fc.gate_decision(t))
 
 
-GATE = f"""WITH {COV}, us AS (SELECT n.event_type, user_id % 10 AS u, max((rn > 1000 AND rn <= 1150+(n-1150)//100*100)::INT) AS i FROM n JOIN events USING (event_id) GROUP BY 1,2),
+GATE = f"""WITH {COV}, us AS (SELECT n.event_type, user_id AS u, max((rn > 1000 AND rn <= 1150+(n-1150)//100*100)::INT) AS i FROM n JOIN events USING (event_id) GROUP BY 1,2),
 gc AS (SELECT event_type, avg(i) AS g FROM us GROUP BY 1)
 SELECT event_type, model, round(coverage,6)+0.0 AS coverage, n_folds, obs = 0 AS leakage_passed, round(g,6)+0.0 AS group_coverage,
  CASE WHEN obs = 1 OR g < 1 OR coverage < 0.8 THEN 'needs_review' ELSE 'approved' END AS gate, concat_ws(',', CASE WHEN obs = 1 THEN 'observed_validation_target_usage' END,
@@ -321,10 +379,16 @@ QUERIES = [
     Query("forecast_seasonal_fixed", lambda s, d: metrics(fc.seasonal_forecast(scan(s, d), 24, True)), f"WITH {N}, f AS (SELECT a.event_type, a.x, b.x AS p FROM n a JOIN n b ON a.event_type = b.event_type AND b.rn = a.t-24+(a.rn-a.t-1)%24+1 WHERE a.rn > a.t) {M}"),
     Query("forecast_ar1_parameters", lambda s, d: tidy(fc.ar1_parameters(scan(s, d))), f"WITH {AR} SELECT event_type, round(a,6)+0.0 AS intercept, round(b,6)+0.0 AS phi, k AS n FROM ab"),
     Query("forecast_ar1", ar1, f"""WITH {AR}, la AS (SELECT event_type, x AS last FROM n WHERE rn = t) SELECT event_type, event_id, rn, round(a*(1-b**(rn-t))/(1-b)+(b**(rn-t))*last,6)+0.0 AS predicted FROM n JOIN ab USING (event_type) JOIN la USING (event_type) WHERE rn > t"""),
-    Query("forecast_dynamic_regression", dynamic(lambda t: md.fit_linear(t, "y", FEATS))),
-    Query("forecast_forest", dynamic(lambda t: md.fit_forest(t, "y", FEATS, trees=100))),
-    Query("forecast_boosted", dynamic(lambda t: md.fit_boosted(t, "y", FEATS, rounds=100))),
-    Query("forecast_residual_hybrid", hybrid),
+    Query("forecast_dynamic_regression", dynamic(lambda t: sm.fit_regressions(t, "y", FEATS, KEYS))),
+    Query("forecast_one_lag_regression", one_lag, f"""WITH {N} SELECT event_type, count(prev) AS n, round(regr_intercept(x,prev),6)+0.0 AS intercept, round(regr_slope(x,prev),6)+0.0 AS slope,
+ round(regr_syy(x,prev)-regr_slope(x,prev)*regr_sxy(x,prev),3)+0.0 AS sse FROM n GROUP BY 1"""),
+    Query("forecast_forest", dynamic(lambda t: sm.fit_forests(t, "y", FEATS, KEYS, ["event_id"]))),
+    Query("forecast_boosted", dynamic(lambda t: sm.fit_boosted_trees(t, "y", FEATS, KEYS))),
+    Query("forecast_residual_hybrid", hybrid("value_lag_1")),
+    Query("forecast_residual_hybrid_mean", hybrid("value_rolling_mean_3")),
+    Query("forecast_recursive_forest", recursive_forest),
+    Query("forecast_fitted_fold_metrics", fitted_metrics),
+    Query("forecast_fitted_gate", fitted_gate),
     Query("forecast_recursive", recursive),
     Query("forecast_fold_metrics", fold_rows, f"WITH {FO} SELECT event_type, model, fold, n, round(mae,6)+0.0 AS mae, round(rmse,6)+0.0 AS rmse, round(r2,6)+0.0 AS r2 FROM fm"),
     Query("forecast_mean_fold_metrics", mean_folds, f"WITH {FO} SELECT event_type, model, count(*) AS n_folds, round(avg(mae),6)+0.0 AS mae, round(avg(rmse),6)+0.0 AS rmse, round(avg(r2),6)+0.0 AS r2 FROM fm GROUP BY 1,2"),

@@ -229,10 +229,7 @@ def ready(spark, d):
 
 READY = PLANTED_SQL + """, rl AS (SELECT 'value' AS "column", 'output' AS role, value AS v FROM p UNION ALL SELECT 'sparse', 'input', sparse::DOUBLE FROM p UNION ALL SELECT 'tool', 'process_input', try_cast(tool AS DOUBLE) FROM p),
 rg AS (SELECT "column", role, count(*) AS n_rows, count(v) AS n, min(v) AS lo, max(v) AS hi, avg(v) AS m, stddev_samp(v) AS s, stddev_pop(v) AS sp, count(DISTINCT v) AS k FROM rl GROUP BY 1,2),
-ry AS (SELECT "column", avg(ln(CASE WHEN lo <= 0 THEN v-lo+1e-6 ELSE v END)) AS lm, stddev_pop(ln(CASE WHEN lo <= 0 THEN v-lo+1e-6 ELSE v END)) AS ls FROM rl JOIN rg USING ("column", role) WHERE v IS NOT NULL GROUP BY 1),
-rf AS (SELECT "column", 'normal' AS fam, 4+n*(ln(2*pi())+2*ln(sp)+1) AS aic FROM rg WHERE n >= 10 UNION ALL SELECT "column", 'lognormal', 6+2*n*lm+n*(ln(2*pi())+2*ln(ls)+1) FROM rg JOIN ry USING ("column") WHERE n >= 10
- UNION ALL SELECT "column", 'uniform', 4+2*n*ln(hi-lo) FROM rg WHERE n >= 10), rb AS (SELECT "column", arg_min(fam, aic) AS best_family FROM rf GROUP BY 1),
-rd AS (SELECT *, CASE WHEN n = 0 OR (n_rows-n)/n_rows > 0.5 THEN 'critical' WHEN k <= 1 OR n < n_rows OR "column" = 'value' THEN 'warning' ELSE 'info' END AS status FROM rg LEFT JOIN rb USING ("column"))"""
+rd AS (SELECT *, CASE WHEN n = 0 OR (n_rows-n)/n_rows > 0.5 THEN 'critical' WHEN k <= 1 OR n < n_rows OR "column" = 'value' THEN 'warning' ELSE 'info' END AS status FROM rg)"""
 
 
 def disorder(spark, d):
@@ -271,8 +268,9 @@ QUERIES = [
     Query("quality_out_of_range", on_planted(lambda s, p: quality.out_of_range(p, NUM, s.createDataFrame([("sparse", 10.0, None)], "column string, low double, high double"))), RANGE_SQL),
     Query("quality_missing_spec", on_planted(lambda s, p: quality.missing_spec(profile.column_profile(p, ["value", "sparse"]).where("is_numeric"), s.createDataFrame([("sparse", None, 5.0)], "column string, lsl double, usl double"))), f"WITH {PLANTED_SQL} SELECT 'value' AS \"column\" FROM p HAVING count(value) > 0"),
     Query("quality_report", report, REPORT_SQL),
-    Query("quality_readiness", lambda s, d: tidy(ready(s, d)), f"""WITH {READY} SELECT "column", role, n_rows, n AS n_valid, n_rows-n AS n_missing, k AS n_distinct, round(lo,6)+0.0 AS min, round(hi,6)+0.0 AS max,
- round(m,6)+0.0 AS mean, round(s,6)+0.0 AS std, best_family, concat_ws(',', CASE WHEN n = 0 THEN 'no_numeric_values' END, CASE WHEN n > 0 AND k <= 1 THEN 'constant_column' END,
+    Query("quality_readiness_best_family", lambda s, d: ready(s, d).select("column", "best_family")),
+    Query("quality_readiness", lambda s, d: tidy(ready(s, d).drop("best_family")), f"""WITH {READY} SELECT "column", role, n_rows, n AS n_valid, n_rows-n AS n_missing, k AS n_distinct, round(lo,6)+0.0 AS min, round(hi,6)+0.0 AS max,
+ round(m,6)+0.0 AS mean, round(s,6)+0.0 AS std, concat_ws(',', CASE WHEN n = 0 THEN 'no_numeric_values' END, CASE WHEN n > 0 AND k <= 1 THEN 'constant_column' END,
  CASE WHEN n < n_rows THEN 'missing_values' END, CASE WHEN role = 'output' THEN 'missing_spec' END) AS issues, status FROM rd"""),
     Query("quality_readiness_status", lambda s, d: tidy(readiness.overall_status(ready(s, d))), f"WITH {READY} SELECT CASE WHEN bool_or(status='critical') THEN 'critical' WHEN bool_or(status='warning') THEN 'warning' ELSE 'info' END AS status, count(*) AS n_columns FROM rd"),
     Query("quality_severity_counts", lambda s, d: quality.severity_counts(report(s, d)), f"SELECT count(*) FILTER (severity='info') AS info, count(*) FILTER (severity='warning') AS warning, count(*) FILTER (severity='critical') AS critical FROM ({REPORT_SQL})"),
