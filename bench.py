@@ -46,7 +46,6 @@ HEADLINE = (
     "quality_report",
     "sensitivity_permutation",
     "forecast_block_permutation",
-    "forecast_fold_metrics",
     "route_report",
 )
 

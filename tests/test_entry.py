@@ -16,6 +16,8 @@ ROWS_ONLY = {
     "contribution_factors", "governance_model_comparison", "governance_prediction_interval",
     "governance_next_experiments", "governance_forest_spread",
     "forecast_dynamic_regression", "forecast_forest", "forecast_boosted", "forecast_residual_hybrid",
+    "forecast_residual_hybrid_mean", "forecast_recursive_forest", "forecast_fitted_fold_metrics", "forecast_fitted_gate",
+    "quality_readiness_best_family", "distribution_density_curve_all",
     "forecast_recursive", "forecast_importance", "forecast_block_permutation", "forecast_conditional_contrasts",
     "risk_bootstrap_rows", "deidentify_noise", "deidentify_fingerprint",
 }

@@ -162,3 +162,43 @@ def test_recursion_of_a_forest_equals_a_loop(spark):
                 total += t.value[node]
             past.append(r.base + r.rate * total)
             assert got[r.k, h] == pytest.approx(past[-1], rel=1e-9)
+
+
+def test_folds_of_fitted_models_match_a_loop(spark):
+    from plantscope.operators import validation as va
+
+    v = [5 + (i * 13 % 7) + 0.05 * i for i in range(70)]
+    df = spark.createDataFrame([(k, i, x + k * (i % 3)) for k in (0, 1) for i, x in enumerate(v)], "k int, i int, v double")
+    scan = ts.history_features(fc.numbered_scan(df, "v", ["i"], ["k"]), ["x"], [1, 2], [3])
+    place = {"initial": 40, "horizon": 10, "step": 15}
+    names = ["x_lag_1", "x_lag_2"]
+    rows = scan.rows().where("rn > 2")
+    fits = {
+        "linear": lambda t, y, f, k: sm.fit_regressions(t, y, f, k),
+        "boosted": lambda t, y, f, k: sm.fit_boosted_trees(t, y, f, k, rounds=3, depth=2, bins=4),
+    }
+    fitted = va.fitted_folds(rows, names, fits, **place, series_keys=["k"]).collect()
+    running = va.validation_folds(scan, **place, models=["dynamic"], features=names).collect()
+    got = {(r.model, r.k, r.fold, r.rn): r for r in [*fitted, *running]}
+    assert len(got) == len(fitted) + len(running) == 3 * 2 * 2 * 10 and all(r.uses_observed for r in got.values())
+    for k in (0, 1):
+        x = np.array([a + k * (i % 3) for i, a in enumerate(v)])
+        for fold in range(2):
+            end = 40 + 15 * fold
+            design = np.column_stack([np.ones(end - 2), x[1 : end - 1], x[: end - 2]])
+            y = x[2:end]
+            coef, *_ = np.linalg.lstsq(design, y, rcond=None)
+            half = 1.959963984540054 * np.sqrt(((y - design @ coef) ** 2).mean()) * np.sqrt(1 + 1 / len(y))
+            edges = [cuts(design[:, c].tolist(), 4) for c in (1, 2)]
+            inputs = [tuple(r[1:]) for r in design]
+            now, trees = np.full(len(y), y.mean()), []
+            for _ in range(3):
+                trees.append(slow_tree(inputs, y - now, np.ones(len(y)), edges, 2, 1))
+                now = now + 0.1 * np.array([slow_value(trees[-1], r) for r in inputs])
+            for at in range(end, end + 10):
+                want = coef @ [1, x[at - 1], x[at - 2]]
+                for model in ("linear", "dynamic"):
+                    assert got[model, k, fold, at + 1].predicted == pytest.approx(want, rel=1e-7)
+                    assert got[model, k, fold, at + 1].half_width == pytest.approx(half, rel=1e-7)
+                boosted = y.mean() + 0.1 * sum(slow_value(t, (x[at - 1], x[at - 2])) for t in trees)
+                assert got["boosted", k, fold, at + 1].predicted == pytest.approx(boosted, rel=1e-7)
