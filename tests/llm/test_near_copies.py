@@ -73,7 +73,7 @@ def test_links_of_every_size_of_key(spark, crowd, block, leaders):
     rows = planted(crowd + block)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     made = near_copies._keyed(docs, near_copies.often(docs), "doc_id", "text")
-    nodes = made.groupBy("fp").agg(F.first("h").alias("h"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    nodes = made.groupBy("fp").agg(F.first("h").alias("h"), F.first("n").alias("n"), F.first("marks").alias("marks"), F.first("keys").alias("keys"))
     found = near_copies.links(nodes, docs, crowd=crowd, block=block, leaders=leaders)
     classes = simhash.classes(made, found)
     assert sorted(r.doc_id for r in simhash.first_rows(docs, classes).collect()) == slow_kept(rows)
