@@ -4,14 +4,15 @@ Everything is a narrow expression on one row: no shuffle, no Python, no state be
 
 * Patterns. For each kind the text is cut at its matches; the lengths of the pieces and of the matches
   give the positions, so offsets are code points and matches are leftmost and non-overlapping.
-* Entropy. A candidate is a maximal run of one character class (``hex``, ``base64``) of at least
-  ``WINDOW`` characters that holds a digit and a letter. A window slides over it; the counts of the
-  character that enters and of the one that leaves are the only ones that change, and with them the
+* Entropy. Runs are the maximal strings of one character class (``hex``, ``base64``); a candidate is a
+  piece of a run, see below, of at least ``WINDOW`` characters that holds a digit and a letter. A window
+  slides over it; the counts of the character that enters and of the one that leaves are the only ones that change, and with them the
   sum of n * log2(n). That sum is kept in units of 2**-20, so it is an integer and never drifts.
   H = log2(W) - sum / W reaches the threshold exactly when the sum is at most a constant. The span runs
   from the first to the last window that reaches it.
-* Suppression. A candidate that holds an allow-listed string or matches an allow-listed shape (UUID) is
-  skipped, and so is one that overlaps a span of a named pattern or of an earlier class.
+* Suppression. Allow-listed strings, allow-listed shapes (UUID) and the spans of named patterns and of
+  earlier classes are cut out of a run, and the pieces between them are the candidates: a key joined to a
+  path, a word or a UUID is still found, and the allowed stretch itself stays readable.
 
 Defined results: a null text is an empty text without spans; repeated rows give repeated results; extra
 columns pass through ``scan_spans`` untouched unless they are called like its output column, which
@@ -21,6 +22,7 @@ replaces them; an empty table gives an empty table.
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -149,35 +151,68 @@ def _window_hits(codes: Column, n_symbols: int, threshold: float, window: int) -
     )
 
 
-def _overlaps(span: Column, others: Column) -> Column:
-    return F.exists(others, lambda o: (o["start"] < span["end"]) & (span["start"] < o["end"]))
+def _stretches(run: Column, regex: str) -> Column:
+    """The places in the text at which ``regex`` matches inside ``run``."""
+    inside = _positions(run["text"], F.regexp_extract_all(run["text"], F.lit(regex), F.lit(0)), regex, 0, "")
+    return F.transform(
+        inside, lambda m: F.struct((run["start"] + m["start"]).alias("start"), (run["start"] + m["end"]).alias("end"))
+    )
+
+
+def allowed_regex(words: tuple[str, ...]) -> str:
+    return "(?i)" + "|".join(re.escape(w) for w in words)
+
+
+def _pieces(run: Column, taken: Column, window: int, allowed: tuple[str, ...]) -> Column:
+    """What remains of ``run`` between taken spans and allowed stretches, in pieces of ``window`` or more."""
+    met = F.filter(taken, lambda t: (t["start"] < run["end"]) & (run["start"] < t["end"]))
+    cuts = F.concat(
+        F.transform(met, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"))),
+        _stretches(run, ALLOWED_SHAPE),
+        _stretches(run, allowed_regex(allowed)) if allowed else F.array().cast("array<struct<start:int,end:int>>"),
+        F.array(F.struct(run["end"].alias("start"), run["end"].alias("end"))),
+    )
+    begin = F.struct(F.array().cast("array<struct<start:int,end:int>>").alias("free"), run["start"].alias("at"))
+
+    def step(acc: Column, cut: Column) -> Column:
+        piece = F.struct(acc["at"].alias("start"), cut["start"].alias("end"))
+        return F.struct(
+            F.when(cut["start"] - acc["at"] >= window, F.concat(acc["free"], F.array(piece))).otherwise(acc["free"]).alias("free"),
+            F.greatest(acc["at"], cut["end"]).alias("at"),
+        )
+
+    free = F.aggregate(F.array_sort(cuts), begin, step, lambda acc: acc["free"])
+    return F.transform(
+        free,
+        lambda p: F.struct(
+            p["start"].alias("start"),
+            F.substring(run["text"], p["start"] - run["start"] + 1, p["end"] - p["start"]).alias("text"),
+        ),
+    )
 
 
 def _entropy_spans(
     runs: Column, taken: Column, cls: CharClass, rank: int, window: int, allowed: tuple[str, ...]
 ) -> Column:
-    """The candidates among ``runs`` whose entropy reaches the threshold, narrowed to their windows."""
-
-    def candidate(run: Column) -> Column:
-        lower = F.lower(run["text"])
-        keep = run["text"].rlike("[0-9]") & run["text"].rlike("[A-Za-z]") & ~run["text"].rlike(ALLOWED_SHAPE)
-        for word in allowed:
-            keep = keep & ~F.contains(lower, F.lit(word.lower()))
-        return keep & ~_overlaps(run, taken)
+    """The candidates in ``runs`` whose entropy reaches the threshold, narrowed to their windows."""
+    candidates = F.filter(
+        F.flatten(F.transform(runs, lambda run: _pieces(run, taken, window, allowed))),
+        lambda p: p["text"].rlike("[0-9]") & p["text"].rlike("[A-Za-z]"),
+    )
 
-    def narrowed(run: Column) -> Column:
-        chars = F.filter(F.split(run["text"], ""), lambda c: c != "")
+    def narrowed(piece: Column) -> Column:
+        chars = F.filter(F.split(piece["text"], ""), lambda c: c != "")
         codes = F.transform(chars, lambda c: F.instr(F.lit(cls.alphabet), c) - 1)
         hit = _window_hits(codes, len(cls.alphabet), cls.threshold, window)
         return F.struct(
-            (run["start"] + hit["first"]).alias("start"),
+            (piece["start"] + hit["first"]).alias("start"),
             F.lit(rank).alias("rank"),
-            (run["start"] + hit["last"] + window).alias("end"),
+            (piece["start"] + hit["last"] + window).alias("end"),
             F.lit(cls.kind).alias("kind"),
-            run["text"].alias("text"),
+            piece["text"].alias("text"),
         )
 
-    spans = F.filter(F.transform(F.filter(runs, candidate), narrowed), lambda s: s["start"].isNotNull())
+    spans = F.filter(F.transform(candidates, narrowed), lambda s: s["start"].isNotNull())
     return F.when(F.size(runs) > 0, spans.cast(SPAN)).otherwise(_empty())
 
 
@@ -280,11 +315,26 @@ def _matches_sql(kind: str, rank: int, regex: str) -> str:
  WINDOW w AS (PARTITION BY doc_id ORDER BY i)"""
 
 
+def _stretches_sql(runs: str, regex: str) -> str:
+    """The places at which ``regex`` matches inside each run."""
+    rx = regex.replace("'", "''")
+    return f"""SELECT doc_id, ra, rb, rs, ra + (sum(length(g)) OVER w + sum(length(s)) OVER w - length(s))::BIGINT AS a, ra + (sum(length(g)) OVER w + sum(length(s)) OVER w)::BIGINT AS b
+ FROM (SELECT doc_id, ra, rb, rs, generate_subscripts(m, 1) AS i, unnest(m) AS s, unnest(p[:len(m)]) AS g FROM
+  (SELECT doc_id, a AS ra, b AS rb, s AS rs, regexp_extract_all(s, '{rx}') AS m, string_split_regex(s, '{rx}') AS p FROM {runs}))
+ WINDOW w AS (PARTITION BY doc_id, ra ORDER BY i)"""
+
+
 def _entropy_sql(name: str, cls: CharClass, rank: int, taken: list[str]) -> str:
-    free = " AND ".join(f"NOT EXISTS (SELECT 1 FROM {t} x WHERE x.doc_id = r.doc_id AND x.a < r.b AND r.a < x.b)" for t in taken)
-    words = " AND ".join(f"NOT contains(lower(s), '{w.lower()}')" for w in ALLOWED_STRINGS)
+    met = " UNION ALL ".join(
+        f"SELECT r.doc_id, r.a AS ra, r.b AS rb, r.s AS rs, x.a, x.b FROM {name}_r r JOIN {t} x ON x.doc_id = r.doc_id AND x.a < r.b AND r.a < x.b"
+        for t in taken
+    )
+    inside = " UNION ALL ".join(_stretches_sql(f"{name}_r", rx) for rx in (ALLOWED_SHAPE, allowed_regex(ALLOWED_STRINGS)))
     return f"""{name}_r AS ({_matches_sql(cls.kind, rank, cls.regex)}),
-{name}_c AS (SELECT * FROM {name}_r r WHERE regexp_matches(s, '[0-9]') AND regexp_matches(s, '[A-Za-z]') AND NOT regexp_matches(s, '{ALLOWED_SHAPE}') AND {words} AND {free}),
+{name}_x AS ({met} UNION ALL {inside} UNION ALL SELECT doc_id, a, b, s, b, b FROM {name}_r),
+{name}_p AS (SELECT doc_id, ra, rs, a AS pb, greatest(ra, coalesce(max(b) OVER (PARTITION BY doc_id, ra ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ra)) AS pa FROM {name}_x),
+{name}_c AS (SELECT doc_id, a, s FROM (SELECT doc_id, pa AS a, substr(rs, (pa - ra + 1)::BIGINT, (pb - pa)::BIGINT) AS s FROM {name}_p WHERE pb - pa >= {WINDOW})
+  WHERE regexp_matches(s, '[0-9]') AND regexp_matches(s, '[A-Za-z]')),
 {name}_w AS (SELECT doc_id, a, s, unnest(range(length(s) - {WINDOW} + 1)) AS i FROM {name}_c),
 {name}_h AS (SELECT doc_id, a, i FROM (SELECT doc_id, a, i, c, count(*) AS n FROM
   (SELECT doc_id, a, i, unnest(string_split(substr(s, i + 1, {WINDOW}), '')) AS c FROM {name}_w) GROUP BY ALL)

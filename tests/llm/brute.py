@@ -27,18 +27,24 @@ def secrets(text, window, classes, allowed):
     for rank, cls in enumerate(classes, 3):
         new = []
         for m in re.finditer(cls.regex, text):
-            s, low = m[0], m[0].lower()
-            if not re.search("[0-9]", s) or not re.search("[A-Za-z]", s) or UUID.search(s) or any(a in low for a in allowed):
-                continue
-            if any(a < m.end() and m.start() < b for a, _, b, _ in taken):
-                continue
-            hits = []
-            for i in range(len(s) - window + 1):
-                n = Counter(s[i : i + window])
-                if sum(-c / window * math.log2(c / window) for c in n.values()) >= cls.threshold:
-                    hits.append(i)
-            if hits:
-                new.append((m.start() + hits[0], rank, m.start() + hits[-1] + window, cls.kind))
+            free = [True] * len(m[0])
+            cuts = [(a - m.start(), b - m.start()) for a, _, b, _ in taken]
+            cuts += [u.span() for u in UUID.finditer(m[0])]
+            cuts += [u.span() for u in re.finditer("|".join(map(re.escape, allowed)), m[0].lower())]
+            for a, b in cuts:
+                for i in range(max(a, 0), min(b, len(free))):
+                    free[i] = False
+            for part in re.finditer("1+", "".join("01"[x] for x in free)):
+                s, at = m[0][part.start() : part.end()], m.start() + part.start()
+                if not re.search("[0-9]", s) or not re.search("[A-Za-z]", s):
+                    continue
+                hits = []
+                for i in range(len(s) - window + 1):
+                    n = Counter(s[i : i + window])
+                    if sum(-c / window * math.log2(c / window) for c in n.values()) >= cls.threshold:
+                        hits.append(i)
+                if hits:
+                    new.append((at + hits[0], rank, at + hits[-1] + window, cls.kind))
         taken += new
     return sorted(base), sorted(taken)
 

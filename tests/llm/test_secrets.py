@@ -22,6 +22,9 @@ def texts():
     for n in (20, 21, 40, 300):
         yield "x " + "".join(rng.choices(b64, k=n)) + " y " + "".join(rng.choices("0123456789ABCDEF", k=n))
         yield "é" + "".join(rng.choices("ab1", k=n)) + "".join(rng.choices(b64, k=n)) + "example"[: n % 8]
+    key, uid = "q7Rz/Kp2Lw9+Xt4Bv8Nc1Yd6", "123e4567-e89b-12d3-a456-426614174000"
+    yield from ["/example/" + key, uid + "-" + key, key + uid + "Example" + key, key + "=EXAMPLE" + key[:9] + "dummy" + key]
+    yield from ["deadbeef" * 4 + key, key + "AKIA" + "Q7" * 10 + key, "token=" + key + " " + key, "0123456789" + uid + key]
     words = ["token", "=", ":", " ", "'", "AKIA", "secret", "api_key", "\n", "é", "deadbeef", "Zq9_", "\U0001f600", '"']
     for _ in range(150):
         yield "".join(rng.choices(words, k=60))
@@ -49,5 +52,16 @@ def test_redaction_hides_every_span(spark):
     assert got == {1: "a [secret] b [secret] c", 2: None, 3: "é clean"}
 
 
+def test_allowed_stretches_are_cut_out_of_a_run(spark):
+    key, uid = "q7Rz+Kp2Lw9+Xt4Bv8Nc1Yd6", "123e4567-e89b-12d3-a456-426614174000"
+    rows = [(1, f"see example/{key} ", "x"), (2, f"{uid}{key}", "x"), (3, uid, "x"), (4, "example/" * 5 + "a1", "x")]
+    rows += [(5, f"{uid}{key}", "x"), (5, f"{uid}{key}", "x")]
+    got = sorted((r.doc_id, r.text) for r in secrets.redact(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert all(key not in t for _, t in got) and len(got) == 6
+    texts = dict(got)
+    assert texts[1].startswith("see example") and "[secret]" in texts[1]
+    assert texts[2] == texts[5] == f"{uid}[secret]" and (texts[3], texts[4]) == (uid, rows[3][1])
+
+
 def test_empty_table(spark):
     assert secrets.digest(spark.createDataFrame([], SCHEMA)).collect() == []
