@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import codecs
+import csv
+import hashlib
+import io
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from urllib.parse import unquote
 
 import pandas as pd
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plantscope.session import ensure_checkpoint_dir
+from plantscope.sources import delimited
 
 # fixed values: delimiters tried, in order of preference; encodings tried, in order
 DELIMITERS = (",", ";", "\t", "|")
@@ -25,6 +30,7 @@ METADATA_COLUMNS = (
     "process_step", "timestamp", "subgroup_id", "metric", "unit",
 )
 NUMERIC_SHARE = 0.9
+WHOLE_BELOW = 1 << 28  # larger files are hashed in ranges
 READER_ENCODINGS = ("utf-8", "latin-1")
 FORMATS = ("csv", "parquet", "xls", "xlsx")
 
@@ -78,51 +84,62 @@ def detect_encoding(spark: SparkSession, path: str) -> DataFrame:
     return every.join(sets, "path", "left").select("path", first.alias("encoding"))
 
 
-def _as_utf8(spark: SparkSession, files: Sequence[str], encoding: str) -> str:
-    """Copies of the files in UTF-8, for encodings that the CSV reader does not know; a file is one task's work."""
-
-    @F.pandas_udf(T.StringType())
-    def decoded(contents: pd.Series) -> pd.Series:
-        return contents.map(lambda data: bytes(data).decode(encoding))
-
-    path = scratch_path(spark, "csv-utf8")
-    texts = spark.read.format("binaryFile").load(list(files)).select(decoded("content").alias("value"), F.xxhash64("path").alias("file"))
-    texts.write.partitionBy("file").text(path)  # a folder for each file, so that each keeps its header line
-    return f"{path}/*/*.txt"
+def _read_files(spark: SparkSession, files: list[str], sep: str | None, encoding: str, multi_line: bool | None) -> DataFrame:
+    sep = sep or detect_delimiter(spark, files[0])
+    reader = {
+        "header": True, "sep": sep, "inferSchema": False, "quote": '"', "escape": '"', "encoding": "iso-8859-1" if encoding == "latin-1" else encoding,
+    }
+    extra = "__extra"
+    in_reader = encoding in READER_ENCODINGS
+    if in_reader:
+        # of one record of one file, line feeds in its quotes included
+        names = spark.read.options(**reader, multiLine=True).csv(files[0]).columns
+    else:
+        top = delimited.records(delimited.lines_of(spark, files[0], encoding), sep).orderBy("block", "id").limit(1).first()
+        names = next(csv.reader(io.StringIO(top["record"]), delimiter=sep))
+    parts: dict[bool, list[str]] = {}
+    if in_reader and multi_line is not None:
+        parts[False] = files
+    else:
+        found = delimited.open_files(delimited.lines_of(spark, files, encoding), sep)
+        for r in found.collect():  # one row a file
+            parts.setdefault(r["open"] or not in_reader, []).append(unquote(r["path"]))
+    out = []
+    for by_line, some in sorted(parts.items()):
+        if by_line:
+            out.append(delimited.cells(delimited.records(delimited.lines_of(spark, some, encoding), sep), names, extra, sep))
+        else:
+            schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, extra]])
+            out.append(spark.read.options(**reader, multiLine=bool(multi_line), enforceSchema=True, columnPruning=False).schema(schema).csv(some))
+    cells = reduce(DataFrame.unionByName, out)
+    # text files hold no nulls: the reader's null is an empty cell
+    too_long = F.raise_error(F.lit("a row has more cells than the header")).cast("string")
+    # in every column, so that the check holds whichever columns are used
+    return cells.select(*[F.when(F.col(extra).isNull(), F.coalesce(F.col(c), F.lit(""))).otherwise(too_long).alias(c) for c in names])
 
 
 def read_csv(
-    spark: SparkSession, path: str | Sequence[str], sep: str | None = None, encoding: str | None = None, multi_line: bool = True
+    spark: SparkSession, path: str | Sequence[str], sep: str | None = None, encoding: str | None = None, multi_line: bool | None = None
 ) -> DataFrame:
     """Header row, every cell as text, empty cells kept as empty text.
 
-    Quoted cells may hold delimiters, doubled quotes and line feeds. ``multi_line=False`` says that none
-    holds a line feed; then large files are split. Rows shorter than the header are padded with empty
-    text; a filled cell beyond it is an error. Without ``encoding`` each file is read in its own.
+    Quoted cells may hold delimiters, doubled quotes and line feeds. Files are read in ranges whatever their
+    cells hold: one pass finds the files with line feeds in quotes, whose records are then cut by
+    ``delimited.records``. ``multi_line=False`` says that there are none and saves that pass; ``True`` leaves
+    such files to Spark's reader, a file in one task. Line ends inside a cell become line feeds. Rows shorter
+    than the header are padded with empty text; a filled cell beyond it is an error. Without ``encoding``
+    each file is read in its own.
     """
+    found: dict[str, list[str]] = {}
     if encoding is None:
-        found: dict[str, list[str]] = {}
         for r in detect_encoding(spark, path).collect():  # one row a file
             found.setdefault(r["encoding"], []).append(unquote(r["path"]))
-        parts = [read_csv(spark, files, sep, name, multi_line) for name, files in sorted(found.items())]
-        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    if encoding not in READER_ENCODINGS:
-        path, encoding = _as_utf8(spark, [path] if isinstance(path, str) else path, encoding), "utf-8"
-    if encoding == "latin-1":
-        encoding = "iso-8859-1"
-    first = path if isinstance(path, str) else path[0]
-    options = {
-        "header": True, "sep": sep or detect_delimiter(spark, first), "encoding": encoding, "inferSchema": False,
-        "quote": '"', "escape": '"', "multiLine": multi_line,
-    }
-    names = spark.read.options(**options).csv(path).columns
-    extra = "__extra"
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, extra]])
-    cells = spark.read.options(**options, enforceSchema=True, columnPruning=False).schema(schema).csv(path)
-    # text files hold no nulls: the reader's null is an empty cell
-    too_long = F.raise_error(F.lit("a row has more cells than the header")).cast("string")
-    # in every column, so that the check holds whichever columns are used
-    return cells.select(*[F.when(F.col(extra).isNull(), F.coalesce(F.col(c), F.lit(""))).otherwise(too_long).alias(c) for c in names])
+    else:
+        found[encoding] = [path] if isinstance(path, str) else list(path)
+    parts = [_read_files(spark, sorted(files), sep, name, multi_line) for name, files in sorted(found.items())]
+    if not parts:
+        raise ValueError(f"no header line in {path}")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def blank_to_null(col: Column) -> Column:
@@ -187,12 +204,51 @@ def scan_files(spark: SparkSession, folder: str) -> DataFrame:
     ).where(F.col("format").isin(*FORMATS))
 
 
-def file_checksums(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 per file, one task per file; each file must fit in a task (below 2 GB)."""
-    return (
-        spark.read.format("binaryFile").load(path)
-        .select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"))
+def file_checksums(spark: SparkSession, path: str, whole_below: int = WHOLE_BELOW) -> DataFrame:
+    """SHA-256 per file. Files of ``whole_below`` bytes and more are read in ranges and need no more memory.
+
+    The digest of a large file runs over its lines in order, in one task a file, as SHA-256 is sequential;
+    only a single line must fit in a task. Empty files have no row, as Spark's readers pass over them.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    name = F.element_at(F.split("path", "/"), -1).alias("name")
+    small = files.where(F.col("length") < whole_below).select(name, F.sha2("content", 256).alias("sha256"))
+    large = [r["path"] for r in files.where(F.col("length") >= whole_below).select("path").collect()]  # one row a file
+    if not large:
+        return small
+    raw = spark.read.option("lineSep", "\n").text(large)
+    name_of_url = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))  # a plus stays one
+    lines = raw.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"),
+        name_of_url.alias("name"), F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("line"),
     )
+    ordered = lines.repartition("path").sortWithinPartitions("path", "block", "id").select("path", "name", "size", "line")
+    digests = ordered.mapInArrow(_running_digests, "name string, sha256 string")
+    return small.unionByName(digests.select("name", "sha256"))
+
+
+def _running_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(name, sha256) of the lines (path, name, size, line) of files in order; the size tells whether the last line is ended."""
+    at, called, digest, left = None, None, None, 0
+
+    def closed() -> pa.RecordBatch:
+        if left == 1:
+            digest.update(b"\n")
+        return pa.RecordBatch.from_pydict({"name": [called], "sha256": [digest.hexdigest()]})
+
+    for batch in batches:
+        for path, name, size, line in zip(*(c.to_pylist() for c in batch.columns)):
+            if path != at:
+                if at is not None:
+                    yield closed()
+                at, called, digest, left = path, name, hashlib.sha256(), size
+            else:
+                digest.update(b"\n")
+                left -= 1
+            digest.update(line)
+            left -= len(line)
+    if at is not None:
+        yield closed()
 
 
 # -- snapshots -----------------------------------------------------------------
