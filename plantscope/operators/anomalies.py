@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -222,3 +223,77 @@ def event_points(df: DataFrame, row_keys: Sequence[str], limits: DataFrame, uppe
     over = (F.col("side") == "above") & (F.col("value") > F.col("threshold"))
     under = (F.col("side") == "below") & (F.col("value") < F.col("threshold"))
     return joined.where(over | under).select(*row_keys, "column", "side", "value", "threshold")
+
+
+def scenario_points(
+    df: DataFrame, row_keys: Sequence[str], order_by: Sequence[str], columns: Sequence[str], spec: DataFrame | None = None,
+    control: DataFrame | None = None, templates: DataFrame | None = None, by: Sequence[str] = (), min_points: int = 5,
+    rows_per_bucket: int | None = None,
+) -> DataFrame:
+    """The rows behind the events of every scenario, with the scenario's id: one row per (row key, scenario).
+
+    ``spec`` (column, usl, lsl) and ``control`` (column, ucl, lcl) are limits, ``templates`` (name, column, target,
+    tolerance) deviations. ``columns`` without control limits of their own get automatic ones, and all of them
+    are looked through for their longest rise; both per ``by``. The id is ``family:column:side`` or
+    ``engineering:name``, so that it stays the same from run to run; with ``by`` a scenario has its rows in
+    every segment. A scenario has as many rows as the operators above count events, those of a rise are the
+    points of its run. ``limit`` is the limit passed, null for a rise.
+
+    Rows without a value are in no scenario; neither is a control column whose limits are both null in any.
+    """
+    keys = list(dict.fromkeys([*by, *row_keys, *order_by]))
+    shown = [*by, *[c for c in row_keys if c not in by], "scenario", "family", "column", "side", "value", "limit"]
+    manual = _known(control, df) if control is not None else []
+    auto = [c for c in columns if c not in manual]
+    named = _known(templates, df) if templates is not None else []
+
+    def values(of: Sequence[str]) -> DataFrame:
+        return long_form(df, of, keys).where(F.col("value").isNotNull())
+
+    def beyond(rows: DataFrame, family: str, label: str) -> DataFrame:
+        over = F.when(F.col("side") == "above", F.col("value") > F.col("threshold")).otherwise(F.col("value") < F.col("threshold"))
+        ident = F.concat_ws(":", F.lit(label), "column", "side")
+        return rows.where(over).withColumns({"scenario": ident, "family": F.lit(family), "limit": F.col("threshold")}).select(*shown)
+
+    parts = []
+    for limits, family, upper, lower in ((spec, "spec", "usl", "lsl"), (control, "control", "ucl", "lcl")):
+        of = _known(limits, df) if limits is not None else []
+        if of:
+            sides = _sides(limits.select("column", upper, lower), upper, lower)
+            parts.append(beyond(join_on(values(of), sides, ["column"]), family, family))
+    if auto:
+        rows = values(auto)
+        stats = rows.groupBy(*by, "column").agg(
+            F.count(F.lit(1)).alias("_n"), F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s")
+        )
+        usable = stats.where((F.col("_n") >= MIN_CONTROL_ROWS) & (F.col("_s") > 0)).select(
+            *by, "column", (F.col("_m") + CONTROL_SIGMA * F.col("_s")).alias("ucl"), (F.col("_m") - CONTROL_SIGMA * F.col("_s")).alias("lcl")
+        )
+        parts.append(beyond(attach_stats(rows, _sides(usable, "ucl", "lcl"), [*by, "column"], bounded=not by), "control", "auto"))
+    if columns:
+        scan = OrderedScan(values(columns), [*by, "column"], order_by, rows_per_bucket)
+        runs = longest_rise(scan, "value", min_points).select(*by, "column", "run_length", "start_index")
+        placed = attach_stats(scan.row_number("_place").rows(), runs, [*by, "column"], bounded=not by)
+        first = F.col("start_index") + 1  # places count from 1
+        inside = F.col("_place").between(first, first + F.col("run_length") - 1)
+        parts.append(
+            placed.where(inside).withColumns(
+                {"scenario": F.concat_ws(":", F.lit("rise"), "column"), "family": F.lit("control"), "side": F.lit("run"), "limit": F.lit(None).cast("double")}
+            ).select(*shown)
+        )
+    if named:
+        usable = templates.where(F.col("target").isNotNull() & F.col("tolerance").isNotNull()).select("name", "column", "target", "tolerance")
+        rows = join_on(values(named), usable, ["column"])
+        away = F.col("value") - F.col("target")
+        passed = F.col("target") + F.when(away > 0, F.col("tolerance")).otherwise(-F.col("tolerance"))
+        parts.append(
+            rows.where(F.abs(away) > F.col("tolerance")).withColumns(
+                {
+                    "scenario": F.concat_ws(":", F.lit("engineering"), "name"), "family": F.lit("engineering"),
+                    "side": F.when(away > 0, "above").otherwise("below"), "limit": passed.cast("double"),
+                }
+            ).select(*shown)
+        )
+    if not parts:
+        raise ValueError("no scenario: name columns, limits or templates")
+    return reduce(DataFrame.unionByName, parts)

@@ -134,6 +134,38 @@ def points(spark, d):
     return tidy(an.event_points(read(spark, d, "events"), ["event_id"], limits(spark)))
 
 
+CONTROL = [("user_id", 140.0, 8.0)]
+
+
+def scenario_points(spark, d):
+    spec = limits(spark).where("column = 'value'")
+    control = spark.createDataFrame(CONTROL, "column string, ucl double, lcl double")
+    templates = spark.createDataFrame(TEMPLATES, "name string, column string, target double, tolerance double")
+    return tidy(an.scenario_points(read(spark, d, "events"), ["event_id"], ORDER, ["value", "user_id"], spec, control, templates, KEYS))
+
+
+SCENARIO_SQL = """WITH l AS (SELECT event_type, event_id, ts, 'value' AS "column", value AS v FROM events UNION ALL SELECT event_type, event_id, ts, 'user_id', user_id::DOUBLE FROM events),
+st AS (SELECT event_type, avg(value) AS m, stddev_pop(value) AS s FROM events WHERE value IS NOT NULL GROUP BY 1 HAVING count(*) >= 10 AND stddev_pop(value) > 0),
+t AS (SELECT 'spec' AS label, 'spec' AS family, event_type, 'value' AS "column", 'above' AS side, 120.0::DOUBLE AS lim FROM (SELECT DISTINCT event_type FROM events)
+ UNION ALL SELECT 'spec', 'spec', event_type, 'value', 'below', 2.0 FROM (SELECT DISTINCT event_type FROM events)
+ UNION ALL SELECT 'control', 'control', event_type, 'user_id', 'above', 140.0 FROM (SELECT DISTINCT event_type FROM events)
+ UNION ALL SELECT 'control', 'control', event_type, 'user_id', 'below', 8.0 FROM (SELECT DISTINCT event_type FROM events)
+ UNION ALL SELECT 'auto', 'control', event_type, 'value', 'above', m+3*s FROM st UNION ALL SELECT 'auto', 'control', event_type, 'value', 'below', m-3*s FROM st),
+limited AS (SELECT event_type, event_id, label || ':' || "column" || ':' || side AS scenario, family, "column", side, v, lim FROM l JOIN t USING (event_type, "column")
+ WHERE CASE WHEN side = 'above' THEN v > lim ELSE v < lim END),
+r AS (SELECT *, row_number() OVER w AS rn, v > lag(v) OVER w AS up FROM l WHERE v IS NOT NULL WINDOW w AS (PARTITION BY event_type, "column" ORDER BY ts, event_id)),
+g AS (SELECT *, rn - row_number() OVER (PARTITION BY event_type, "column", up ORDER BY rn) AS grp FROM r WHERE up),
+runs AS (SELECT event_type, "column", grp, count(*) AS steps, min(rn) - 1 AS a, max(rn) AS z FROM g GROUP BY 1,2,3),
+b AS (SELECT *, row_number() OVER (PARTITION BY event_type, "column" ORDER BY steps DESC, a) AS k FROM runs),
+rise AS (SELECT r.event_type, event_id, 'rise:' || r."column" AS scenario, 'control' AS family, r."column", 'run' AS side, v, NULL::DOUBLE AS lim
+ FROM r JOIN b ON r.event_type = b.event_type AND r."column" = b."column" AND rn BETWEEN a AND z WHERE k = 1 AND steps + 1 >= 5),
+dev AS (SELECT event_type, event_id, 'engineering:' || name AS scenario, 'engineering' AS family, "column", CASE WHEN v > target THEN 'above' ELSE 'below' END AS side, v,
+ CASE WHEN v > target THEN target + tolerance ELSE target - tolerance END AS lim
+ FROM l JOIN (VALUES ('value drift','value',50.0::DOUBLE,80.0::DOUBLE),('user drift','user_id',75.0,70.0)) n(name,"column",target,tolerance) USING ("column") WHERE abs(v - target) > tolerance)
+SELECT event_type, event_id, scenario, family, "column", side, round(v,6)+0.0 AS value, round(lim,6)+0.0 AS "limit"
+FROM (SELECT * FROM limited UNION ALL SELECT * FROM rise UNION ALL SELECT * FROM dev)"""
+
+
 QUERIES = [
     Query("anomaly_spec_events", spec_events, threshold_sql("spec")),
     Query("anomaly_manual_control_events", manual_control_events, threshold_sql("control")),
@@ -147,4 +179,5 @@ QUERIES = [
  'odd_event' AS third_event, round(avg(a)*avg(b)*avg(c),6)+0.0 AS p_independent FROM f GROUP BY 1"""),
     Query("anomaly_event_points", points, f"""WITH l AS (SELECT event_id, 'value' AS "column", value AS v FROM events UNION ALL SELECT event_id, 'user_id', user_id::DOUBLE FROM events), {SIDES_SQL}
  SELECT event_id, "column", side, v AS value, threshold::DOUBLE AS threshold FROM l JOIN s USING ("column") WHERE CASE WHEN side='above' THEN v > threshold ELSE v < threshold END"""),
+    Query("anomaly_scenario_points", scenario_points, SCENARIO_SQL),
 ]
