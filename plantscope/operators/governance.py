@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.ml import PipelineModel
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from plantscope.functions.special import t_quantile
-from plantscope.operators.models import FEATURES, LinearModel
+from plantscope.operators.models import HybridModel, LinearModel
+from plantscope.operators.series_models import SeriesRegression, SeriesTrees, compiled
 from plantscope.operators.stats import attach_stats, correlation, finite, quantiles
 
 NEW_FACTOR_BELOW = 5  # a short list of findings ends with the advice to try a new factor
@@ -204,6 +204,18 @@ def recommend_experiments(strengths: DataFrame, stats: DataFrame, quarters: Data
 
 # -- candidates and profiles ----------------------------------------------------------------------------
 
+AnyModel = LinearModel | Transformer | HybridModel | SeriesTrees | SeriesRegression | Callable[[DataFrame], DataFrame]
+
+
+def scored(model: AnyModel, df: DataFrame) -> DataFrame:
+    """``df`` with ``predicted`` by a linear model, a fitted pipeline, a hybrid, a model a series, or any
+    function that adds the column."""
+    if isinstance(model, LinearModel):
+        return df.withColumn("predicted", model.prediction())
+    if hasattr(model, "transform"):
+        return model.transform(df).select(*df.columns, "predicted")
+    return model.score(df) if hasattr(model, "score") else model(df)
+
 
 def next_run_candidates(df: DataFrame, inputs: Sequence[str]) -> DataFrame:
     """Each input at its low and high with the others at their mean, plus the centre point."""
@@ -220,25 +232,30 @@ def next_run_candidates(df: DataFrame, inputs: Sequence[str]) -> DataFrame:
     return s.select(F.explode(F.array(*every, setting("center_point", None, ""))).alias("_s")).select("_s.*")
 
 
-def forest_spread(model: PipelineModel, candidates: DataFrame) -> DataFrame:
-    """Disagreement of the forest's trees at each candidate, highest first.
+def forest_spread(model: PipelineModel | SeriesTrees, candidates: DataFrame) -> DataFrame:
+    """Disagreement of the forest's trees at each candidate, highest first; candidates may be any table.
 
-    The candidate table has two rows per input and a centre point, so it is scored on the driver, by
-    every tree in one pass, instead of by one plan branch per tree.
+    The trees are arrays that an expression walks, so candidates are scored where they lie, by every tree
+    in one pass. A candidate with a missing input has no spread when the forest is one of ``pyspark.ml``.
+    """
+    trees = model if isinstance(model, SeriesTrees) else compiled(model, candidates.sparkSession)
+    rows = trees.attach(candidates).withColumn("_each", trees.values())
+    mean = F.aggregate("_each", F.lit(0.0), lambda acc, v: acc + v) / F.size("_each")
+    square = F.aggregate("_each", F.lit(0.0), lambda acc, v: acc + F.pow(v - F.col("_mean"), 2)) / F.size("_each")
+    known = F.lit(True)
+    if trees is not model:
+        for c in trees.features:
+            known = known & finite(F.col(c)).isNotNull()
+    spread = F.when(known, F.sqrt(square))
+    out = rows.withColumn("_mean", mean).withColumn("spread", spread).select(*candidates.columns, "spread")
+    return out.orderBy(F.col("spread").desc_nulls_last())
+
+
+def response_grid(model: AnyModel, df: DataFrame, x: str, y: str, inputs: Sequence[str], size: int = 25, by: Sequence[str] = (), **kw) -> DataFrame:
+    """Predictions on a grid of two inputs with the others at their median, for every segment at once.
+
+    ``model`` is any model (see ``scored``); the keys of a model a series must be in ``by``.
     """
-    assembler, forest = model.stages[0], model.stages[-1]
-    rows = assembler.transform(candidates)
-    scored = []
-    for row in rows.collect():
-        each = [tree.predict(row[FEATURES]) for tree in forest.trees]
-        mean = sum(each) / len(each)
-        scored.append((*row[:-1], (sum((x - mean) ** 2 for x in each) / len(each)) ** 0.5))
-    schema = T.StructType([*candidates.schema.fields, T.StructField("spread", T.DoubleType())])
-    return candidates.sparkSession.createDataFrame(scored, schema).orderBy(F.col("spread").desc())
-
-
-def response_grid(model: LinearModel, df: DataFrame, x: str, y: str, inputs: Sequence[str], size: int = 25, by: Sequence[str] = (), **kw) -> DataFrame:
-    """Predictions on a grid of two inputs with the others at their median, for every segment at once."""
     lim = df.groupBy(*by).agg(*[f(c).cast("double").alias(f"_{n}_{c}") for c in (x, y) for n, f in (("lo", F.min), ("hi", F.max))])
     others = [c for c in inputs if c not in (x, y)]
     if others:
@@ -249,11 +266,14 @@ def response_grid(model: LinearModel, df: DataFrame, x: str, y: str, inputs: Seq
     step = lambda c, i: F.col(f"_lo_{c}") + F.col(i) * (F.col(f"_hi_{c}") - F.col(f"_lo_{c}")) / (size - 1)
     ticks = F.sequence(F.lit(0), F.lit(size - 1))
     grid = lim.withColumn("_i", F.explode(ticks)).withColumn("_j", F.explode(ticks)).withColumns({x: step(x, "_i"), y: step(y, "_j")})
-    return grid.withColumn("predicted", model.prediction()).select(*by, x, y, *others, "predicted")
+    return scored(model, grid).select(*by, x, y, *others, "predicted")
+
 
+def one_at_a_time(model: AnyModel, df: DataFrame, inputs: Sequence[str], by: Sequence[str] = (), **kw) -> DataFrame:
+    """Prediction with one input at low, middle or high and the others at their median, per segment.
 
-def one_at_a_time(model: LinearModel, df: DataFrame, inputs: Sequence[str], by: Sequence[str] = (), **kw) -> DataFrame:
-    """Prediction with one input at low, middle or high and the others at their median, per segment."""
+    ``model`` is any model (see ``scored``); the keys of a model a series must be in ``by``.
+    """
     long = df.select(*by, *[finite(F.col(c)).alias(c) for c in inputs]).unpivot(list(by), list(inputs), "column", "value")
     q = quantiles(long, [*by, "column"], "value", {"lo": 0.0, "med": 0.5, "hi": 1.0}, **kw)
     wide = q.groupBy(*by).agg(*[F.max(F.when(F.col("column") == c, F.col(n))).alias(f"_{n}_{c}") for c in inputs for n in ("lo", "med", "hi")])
@@ -266,7 +286,7 @@ def one_at_a_time(model: LinearModel, df: DataFrame, inputs: Sequence[str], by:
         )
     ]
     rows = wide.select(*by, F.explode(F.array(*points)).alias("_p")).select(*by, "_p.*")
-    return rows.withColumn("predicted", model.prediction()).select(*by, "input", "setting", "value", "predicted")
+    return scored(model, rows).select(*by, "input", "setting", "value", "predicted")
 
 
 def best_setting(profile: DataFrame, objective: str, target: float | None = None, by: Sequence[str] = ()) -> DataFrame:

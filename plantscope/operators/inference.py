@@ -7,13 +7,15 @@ from collections.abc import Sequence
 from itertools import combinations
 
 import numpy as np
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plantscope.functions.special import f_tail, t_quantile, t_two_sided
 from plantscope.operators.models import LinearModel, hash_bucket, input_ranges, regression_metrics
 from plantscope.operators.ordered import OrderedScan
-from plantscope.operators.stats import attach_stats
+from plantscope.operators.series_models import SeriesRegression, SeriesTrees, compiled
+from plantscope.operators.stats import attach_stats, finite
 
 
 # -- tables from one fitted model: one row per term, sized by the model, not the data -----------------
@@ -209,12 +211,20 @@ def leave_one_out(model: LinearModel, df: DataFrame) -> DataFrame:
 # -- interactions, sensitivity, contributions ------------------------------------------------------------
 
 
-def interaction_strength(model: LinearModel, df: DataFrame, inputs: Sequence[str], threshold: float = 0.01) -> DataFrame:
-    """Mean |joint - single effects| per pair at the means: for a polynomial the squares cancel and
-    only the product term is left, so one aggregate serves all pairs."""
+def interaction_strength(
+    model: LinearModel | PipelineModel | SeriesTrees | SeriesRegression, df: DataFrame, inputs: Sequence[str], threshold: float = 0.01
+) -> DataFrame:
+    """Mean |joint - single effects + base| of each pair of inputs, with the others at their means.
+
+    For a polynomial the squares cancel and only the product term is left. Trees and models a series are
+    expressions of their inputs, so a row's settings are scored side by side. Either way one aggregate serves
+    all pairs, a row of the result for each pair (and series); rows without a pair's inputs do not count for it.
+    """
+    pairs = list(combinations(inputs, 2))
+    if not isinstance(model, LinearModel):
+        return _strength_by_scoring(model, df, inputs, pairs).withColumn("significant", F.col("strength") >= threshold)
     means = df.agg(*[F.avg(c).alias(c) for c in inputs]).first()
     d = {c: F.col(c).cast("double") - F.lit(float(means[c])) for c in inputs}
-    pairs = list(combinations(inputs, 2))
     wide = df.agg(*[F.avg(F.abs(d[a]) * F.abs(d[b])).alias(f"_p{i}") for i, (a, b) in enumerate(pairs)])
     rows = []
     for i, (a, b) in enumerate(pairs):
@@ -224,6 +234,29 @@ def interaction_strength(model: LinearModel, df: DataFrame, inputs: Sequence[str
     return out.withColumn("significant", F.col("strength") >= threshold)
 
 
+def _strength_by_scoring(model, df: DataFrame, inputs: Sequence[str], pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    model = compiled(model, df.sparkSession) if isinstance(model, PipelineModel) else model
+    keys, place = list(model.keys), {c: i for i, c in enumerate(inputs)}
+    slim = df.select(*keys, *[finite(F.col(c)).alias(f"_x{i}") for c, i in place.items()])
+    means = slim.groupBy(*keys).agg(*[F.avg(f"_x{i}").alias(f"_m{i}") for i in place.values()])
+    rows = model.attach(attach_stats(slim, means, keys))
+
+    def at(*moved: str) -> Column:
+        return model.prediction({c: F.col(f"_x{i}" if c in moved else f"_m{i}") for c, i in place.items()})
+
+    # base and single settings are computed once, the pairs read them
+    rows = rows.withColumns({"_base": at(), **{f"_s{i}": at(c) for c, i in place.items()}})
+
+    def gap(a: str, b: str) -> Column:
+        i, j = place[a], place[b]
+        known = F.col(f"_x{i}").isNotNull() & F.col(f"_x{j}").isNotNull()
+        return F.when(known, F.abs(at(a, b) - F.col(f"_s{i}") - F.col(f"_s{j}") + F.col("_base")))
+
+    wide = rows.groupBy(*keys).agg(*[F.avg(gap(a, b)).alias(f"_p{i}") for i, (a, b) in enumerate(pairs)])
+    each = [F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"_p{i}").alias("strength")) for i, (a, b) in enumerate(pairs)]
+    return wide.select(*keys, F.explode(F.array(*each)).alias("_r")).select(*keys, "_r.*")
+
+
 def permutation_sensitivity(
     score, df: DataFrame, target: str, inputs: Sequence[str], key: Sequence[str], repeats: int = 8, seed: int = 42,
     rows_per_bucket: int | None = None,

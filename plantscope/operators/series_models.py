@@ -14,13 +14,15 @@ Bootstrap weights are Poisson draws hashed from (row keys, tree), so that a mode
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from math import exp, factorial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml import PipelineModel
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plantscope.operators.ordered import BROADCAST_SERIES, join_on
@@ -140,6 +142,48 @@ class SeriesTrees:
         return self.attach(df).withColumn(out, self.prediction()).drop("_model")
 
 
+_SPLIT = re.compile(r"If \(feature (\d+) <= ([^)]+)\)")
+
+
+def _tree_arrays(text: str, depth: int) -> tuple[list, list, list]:
+    """Heap-order arrays of one tree of a model's description, whose lines are in pre-order."""
+    feature, threshold, value = [-1] * (2**depth - 1), [None] * (2**depth - 1), [None] * (2 ** (depth + 1) - 1)
+    node, right = 0, []
+    for line in text.splitlines():
+        line = line.strip()
+        if line.startswith("If "):
+            split = _SPLIT.match(line)
+            if not split:
+                raise ValueError(f"only numeric splits can be compiled: {line}")
+            feature[node], threshold[node] = int(split[1]), float(split[2])
+            right.append(2 * node + 2)
+            node = 2 * node + 1
+        elif line.startswith("Else"):
+            node = right.pop()
+        elif line.startswith("Predict:"):
+            value[node] = float(line.removeprefix("Predict:"))
+    return feature, threshold, value
+
+
+def compiled(model: PipelineModel, spark: SparkSession) -> SeriesTrees:
+    """A fitted forest or boosted trees of ``pyspark.ml`` as trees that an expression walks.
+
+    Only the model passes through the driver, whose size its number of trees and depth bound.
+    """
+    inputs, last = model.stages[0].getInputCols(), model.stages[-1]
+    depth = max(1, max(t.depth for t in last.trees))
+    texts = re.split(r"\n\s*Tree \d+ \(weight [^)]*\):\n", last.toDebugString)[1:]
+    rows = []
+    for i, (text, weight) in enumerate(zip(texts, last.treeWeights)):
+        feature, threshold, value = _tree_arrays(text, depth)
+        rows.append((i, feature, threshold, [None if v is None else v * weight for v in value]))
+    table = spark.createDataFrame(rows, "tree int, feature array<int>, threshold array<double>, value array<double>")
+    mean = "Forest" in type(last).__name__  # boosted trees are added up
+    one = table.agg(F.sort_array(F.collect_list(F.struct("tree", "feature", "threshold", "value"))).alias("trees"))
+    models = one.withColumns({"base": F.lit(0.0), "rate": F.lit(1.0 / len(rows) if mean else 1.0)})
+    return SeriesTrees(models, tuple(inputs), (), depth)
+
+
 def _edges(rows: DataFrame, features: Sequence[str], keys: list[str], bins: int) -> DataFrame:
     """(keys, _edges: for each feature its distinct inner quantiles in order)."""
     long = rows.select(*keys, *features).unpivot(keys, list(features), "_feature", "_value")

@@ -10,6 +10,7 @@ from plantscope.operators import governance as gv
 from plantscope.operators import inference as inf
 from plantscope.operators import models as md
 from plantscope.operators import residuals as rs
+from plantscope.operators import series_models as sm
 from plantscope.operators.stats import attach_stats
 from plantscope.plans.frames import FACTORIAL_SQL, FACTORS, factorial
 from plantscope.plans.registry import Query, read, tidy
@@ -267,6 +268,32 @@ def interaction(spark, d):
     return tidy(inf.interaction_strength(md.fit_quadratic(df, Y, X3), df, X3))
 
 
+def least_squares_sql(source, terms, target, prefix):
+    """CTEs that clear the target and later terms of each term in turn; the last one holds what is left."""
+    centred = ", ".join(f"{e} - avg({e}) OVER () AS e{i}" for i, e in enumerate([*terms, target]))
+    steps, y = [f"{prefix}0 AS MATERIALIZED (SELECT {centred} FROM {source})"], len(terms)
+    for k in range(len(terms) - 1):
+        rest = range(k + 1, y + 1)
+        parts = ", ".join(f"sum(e{j}*e{k})/sum(e{k}*e{k}) AS g{j}" for j in rest)
+        left = ", ".join(f"e{j} - g{j}*e{k} AS e{j}" for j in rest)
+        steps.append(f"{prefix}{k + 1} AS MATERIALIZED (SELECT {left} FROM {prefix}{k}, (SELECT {parts} FROM {prefix}{k}))")
+    return ", ".join(steps), f"(SELECT sum(e{y - 1}*e{y})/sum(e{y - 1}*e{y - 1}) FROM {prefix}{y - 1})"
+
+
+def _interaction_sql():
+    pairs = [(a, b) for i, a in enumerate(X3) for b in X3[i + 1 :]]
+    ctes, out = [], []
+    for i, (a, b) in enumerate(pairs):
+        own = [*X3, *[f"{c}*{c}" for c in X3], *[f"{p}*{q}" for p, q in pairs if (p, q) != (a, b)], f"{a}*{b}"]
+        cte, coef = least_squares_sql("lineitem", own, "l_extendedprice/1000", f"s{i}_")
+        ctes.append(cte)
+        out.append(f"""SELECT '{a}' AS "left", '{b}' AS "right", (SELECT avg(abs({a}-ma)*abs({b}-mb)) FROM lineitem, (SELECT avg({a}) AS ma, avg({b}) AS mb FROM lineitem)) * abs({coef}) AS s""")
+    return f"""WITH {", ".join(ctes)} SELECT "left", "right", round(s,6)+0.0 AS strength, s >= 0.01 AS significant FROM ({" UNION ALL ".join(out)})"""
+
+
+INTERACTION_SQL = _interaction_sql()
+
+
 def sensitivity(spark, d):
     df = lines(spark, d)
     model = md.fit_quadratic(df, Y, X)
@@ -426,6 +453,25 @@ def spread(spark, d):
     return tidy(gv.forest_spread(model, gv.next_run_candidates(df, X)))
 
 
+def tree_grid(spark, d):
+    """The grid of a boosted model a segment."""
+    df = lines(spark, d)
+    models = sm.fit_boosted_trees(df, Y, X, ["l_returnflag"], rounds=30)
+    return tidy(gv.response_grid(models, df, "l_quantity", "l_discount", X, 11, ["l_returnflag"]), 5)
+
+
+def tree_profile(spark, d):
+    """The profile of a forest of all rows, and its best setting, per segment."""
+    df = lines(spark, d)
+    model = md.fit_forest(df, Y, X)
+    return tidy(gv.best_setting(gv.one_at_a_time(model, df, X, ["l_returnflag"]), "maximize", by=["l_returnflag"]), 5)
+
+
+def tree_interaction(spark, d):
+    df = lines(spark, d)
+    return tidy(inf.interaction_strength(sm.fit_boosted_trees(df, Y, X3, ["l_returnflag"], rounds=30), df, X3))
+
+
 def grid(spark, d):
     model, df = linear(spark, d)
     return tidy(gv.response_grid(model, df, "l_quantity", "l_discount", X, 11, ["l_returnflag"]), 5)
@@ -519,7 +565,8 @@ SELECT sum(c)::BIGINT AS n, round(min(v),5)+0.0 AS min_variance, round(max(v),5)
     Query("anova_interaction_lines", fact(inf.interaction_lines), LINES_SQL),
     Query("anova_fit_level", lambda s, d: tidy(inf.fit_quality(*linear(s, d)))),
     Query("interaction_corner_contrasts", fact(inf.corner_contrasts), CORNER_SQL),
-    Query("interaction_strength", interaction),
+    Query("interaction_strength", interaction, INTERACTION_SQL),
+    Query("interaction_strength_trees", tree_interaction),
     Query("sensitivity_permutation", sensitivity),
     Query("sensitivity_effect_size", effect_size, f"""WITH {OLS} SELECT 'l_quantity' AS input, round(abs(b1*sqrt(s11)/sqrt(syy)),6)+0.0 AS effect_size FROM o UNION ALL SELECT 'l_discount', round(abs(b2*sqrt(s22)/sqrt(syy)),6)+0.0 FROM o"""),
     Query("contribution_linear", contributions, CONTRIB_SQL),
@@ -540,6 +587,8 @@ SELECT sum(c)::BIGINT AS n, round(min(v),5)+0.0 AS min_variance, round(max(v),5)
     Query("governance_next_run_candidates", candidates, CAND_SQL),
     Query("governance_forest_spread", spread),
     Query("governance_response_grid", grid, GRID_SQL),
+    Query("governance_response_grid_trees", tree_grid),
+    Query("governance_best_setting_forest", tree_profile),
     Query("governance_one_at_a_time", profile, f"WITH {PROFILE} SELECT l_returnflag, input, setting, round(value,5)+0.0 AS value, round(predicted,5)+0.0 AS predicted FROM pr"),
     Query("governance_best_setting_maximize", best("maximize"), best_sql("-predicted")),
     Query("governance_best_setting_minimize", best("minimize"), best_sql("predicted")),

@@ -12,9 +12,10 @@ ROWS_ONLY = {
     "model_forest_holdout", "model_boosted_holdout", "model_hybrid_holdout", "model_logistic_report",
     "model_weibull_life", "model_selected_features", "validation_folds", "validation_forest_folds",
     "validation_leave_one_out", "anova_significance", "anova_coefficient_intervals", "anova_factorial_rows",
-    "anova_pareto_terms", "anova_fit_level", "interaction_strength", "sensitivity_permutation",
+    "anova_pareto_terms", "anova_fit_level", "interaction_strength_trees", "sensitivity_permutation",
     "contribution_factors", "governance_model_comparison", "governance_prediction_interval",
     "governance_next_experiments", "governance_forest_spread",
+    "governance_response_grid_trees", "governance_best_setting_forest",
     "forecast_dynamic_regression", "forecast_forest", "forecast_boosted", "forecast_residual_hybrid",
     "forecast_residual_hybrid_mean", "forecast_recursive_forest", "forecast_fitted_fold_metrics", "forecast_fitted_gate",
     "quality_readiness_best_family", "distribution_density_curve_all",

@@ -202,3 +202,88 @@ def test_folds_of_fitted_models_match_a_loop(spark):
                     assert got[model, k, fold, at + 1].half_width == pytest.approx(half, rel=1e-7)
                 boosted = y.mean() + 0.1 * sum(slow_value(t, (x[at - 1], x[at - 2])) for t in trees)
                 assert got["boosted", k, fold, at + 1].predicted == pytest.approx(boosted, rel=1e-7)
+
+
+def _walk(tree, x):
+    """The leaf of a ``pyspark.ml`` tree by its own nodes."""
+    node = tree._call_java("rootNode")
+    while node.getClass().getSimpleName() == "InternalNode":
+        split = node.split()
+        node = node.leftChild() if x[split.featureIndex()] <= split.threshold() else node.rightChild()
+    return node.prediction()
+
+
+@pytest.fixture(scope="module")
+def fitted(spark):
+    from plantscope.operators import models as md
+
+    rows = [r for r in table(60) if r[3] is not None]
+    df = frame(spark, rows)
+    return df, md.fit_forest(df, "y", FEATURES, trees=7, depth=4), md.fit_boosted(df, "y", FEATURES, rounds=6, depth=3)
+
+
+def test_compiled_ensembles_predict_alike(spark, fitted):
+    df, *models = fitted
+    for model in models:
+        own = sm.compiled(model, spark).score(df, "own")
+        both = model.transform(own).select("own", "predicted").collect()
+        assert len(both) > 100 and all(r.own == pytest.approx(r.predicted, rel=1e-12) for r in both)
+
+
+def test_forest_spread_is_the_spread_of_the_trees(spark, fitted):
+    from plantscope.operators import governance as gv
+
+    df, forest, _ = fitted
+    candidates = gv.next_run_candidates(df, FEATURES).unionByName(
+        spark.createDataFrame([("none", None, None, 1.0)], "reason string, varied string, a double, b double")
+    )
+    got = gv.forest_spread(forest, candidates).collect()
+    assert [r.reason for r in got][-1] == "none" and got[-1].spread is None and len(got) == 6
+    assert [r.spread for r in got[:-1]] == sorted((r.spread for r in got[:-1]), reverse=True)
+    for r in got[:-1]:
+        want = np.std([_walk(t, (r.a, r.b)) for t in forest.stages[-1].trees])
+        assert r.spread == pytest.approx(want, abs=1e-12)
+    # a forest a series, candidates of every series at once
+    per = sm.fit_forests(df, "y", FEATURES, ["k"], ["i"], trees=3, depth=2)
+    one = gv.forest_spread(per, df.select("k", "a", "b").limit(9)).collect()
+    assert len(one) == 9 and all(r.spread >= 0 for r in one)
+
+
+def test_grids_profiles_and_interactions_of_any_model(spark, fitted):
+    from plantscope.operators import governance as gv
+    from plantscope.operators import inference as inf
+
+    df, forest, boosted = fitted
+    predict = lambda model, x: (
+        np.mean([_walk(t, x) for t in model.stages[-1].trees]) if model is forest
+        else sum(w * _walk(t, x) for t, w in zip(model.stages[-1].trees, model.stages[-1].treeWeights))
+    )
+    for model in (forest, boosted):
+        for r in gv.response_grid(model, df, "a", "b", FEATURES, 5, ["k"]).collect():
+            assert r.predicted == pytest.approx(predict(model, (r.a, r.b)), rel=1e-9)
+    mid = {k: (np.median([r[2] for r in df.collect() if r.k == k]), np.median([r[3] for r in df.collect() if r.k == k])) for k in "pqr"}
+    profile = gv.one_at_a_time(forest, df, FEATURES, ["k"]).collect()
+    assert len(profile) == 18
+    for r in profile:
+        x = (r.value, mid[r.k][1]) if r.input == "a" else (mid[r.k][0], r.value)
+        assert r.predicted == pytest.approx(predict(forest, x), rel=1e-9)
+    # the row definition, by one model for all rows and by a model a series
+    pdf = df.toPandas()
+    m = pdf.a.mean(), pdf.b.mean()
+    each = [abs(predict(forest, (a, b)) - predict(forest, (a, m[1])) - predict(forest, (m[0], b)) + predict(forest, m)) for a, b in zip(pdf.a, pdf.b)]
+    assert inf.interaction_strength(forest, df, FEATURES).first().strength == pytest.approx(np.mean(each), rel=1e-9)
+    gap = df.unionByName(frame(spark, [("p", 99, None, 1.0, 2.0)]))
+    assert inf.interaction_strength(forest, gap, FEATURES).first().strength is not None
+    per = sm.fit_boosted_trees(df, "y", FEATURES, ["k"], rounds=4, depth=2)
+    all_of = {r.k: r.strength for r in inf.interaction_strength(per, df, FEATURES).collect()}
+    alone = df.where("k = 'q'")
+    only = inf.interaction_strength(sm.fit_boosted_trees(alone, "y", FEATURES, ["k"], rounds=4, depth=2), alone, FEATURES).first()
+    assert set(all_of) == set("pqr") and all_of["q"] == pytest.approx(only.strength, rel=1e-9)
+
+
+def test_any_function_can_be_profiled(spark, fitted):
+    from plantscope.operators import governance as gv
+
+    df, *_ = fitted
+    got = gv.response_grid(lambda t: t.withColumn("predicted", F.col("a") * F.col("b")), df, "a", "b", FEATURES, 3)
+    assert all(r.predicted == pytest.approx(r.a * r.b) for r in got.collect())
