@@ -35,6 +35,7 @@ LONGEST = 3
 LEAST = 10
 COVERED = (50, 100)  # a longer candidate with this share of the frequency stands for the shorter one
 TOP = 2000
+FANIN = 8  # groups of a language's candidates that are ranked together in the next round
 SCALE = 1_000_000
 BROADCAST_LANGS = 100_000
 SLICE = 4 << 20  # bytes of text counted together
@@ -271,9 +272,16 @@ def mined(
 
 
 def digest(docs: DataFrame, top: int = TOP) -> DataFrame:
-    """The first ``top`` phrases of each language; the limit is applied before rows of a language meet."""
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = mined(docs).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    """The first ``top`` phrases of each language, found in rounds of fewer and fewer groups a language.
+
+    However many partitions hold a language's candidates, no task of the later rounds reads more than
+    ``FANIN * top`` of them.
+    """
+    ranked = mined(docs)
+    for groups in (FANIN * FANIN, FANIN, 1):
+        group = F.pmod(F.xxhash64("phrase"), F.lit(groups))
+        order = Window.partitionBy("lang", group).orderBy(F.desc("score"), F.desc("a"), "phrase")
+        ranked = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
