@@ -5,15 +5,17 @@ the first ``n - ceil(0.8 n) + 1`` shingles of each in any order that holds for a
 these are the keys. The order puts shingles that a sample finds often last; it decides the work and not
 the result. What is wanted is the components, so not every pair is compared:
 
+* Of keys with the same members one is kept.
 * ``LEADERS`` rounds compare each key's first member with the others that are not in its component yet: a pair a
   member. Then components are joined, and keys whose members are in one component are done.
-* Of what is left, up to ``CROWD`` members of a key are paired. Larger keys are cut into blocks of ``BLOCK``; every
-  pair of blocks is a group of its own, compared by one product of matrices. Of large keys with the same members
-  one is kept. The work there grows with the square of the members that are in no common component.
+* Of what is left, up to ``CROWD`` members of a key are compared within the row, and only pairs with room for 0.8
+  leave it. Larger keys are cut into blocks of ``BLOCK``; every pair of blocks is a group of its own, compared by one
+  product of matrices. The work there grows with the square of the members that are in no common component.
 
 A pair is compared only if its sizes and the places of the shared key in both orders leave room for 0.8, and
-if the counts of shingles in ``MARKS`` classes of hashes do: two sets share no more than the sum of the lesser
-counts. A comparison reads the sets, which are made again from the texts of such pairs alone.
+if the marks do: shingles fall into about as many classes of hashes as the set has members, a mark says whether a
+class holds an odd number, and two sets differ in at least as many shingles as in marks. A comparison reads the
+sets, which are made again from the texts of such pairs alone.
 
 Texts with equal sets are one node. Shingles stand for themselves by 64 bits of xxHash, as nodes do by that
 of their sets. A text of fewer than five words is one shingle; null and blank texts have none and are one
@@ -36,7 +38,7 @@ from plantscope.llm.stars import connected
 SHINGLE = 5
 SIMILAR = (4, 5)  # 0.8 as a fraction, so that no rounding decides
 LEADERS = 2
-MARKS = 128
+MARKS = 64  # words of marks that go with the members of a key, at most
 CROWD = 128
 BLOCK = 512
 SAMPLE = 20_000  # texts looked at for the order
@@ -46,13 +48,7 @@ COLUMNS = 4096
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     """The sorted distinct shingle hashes; words as in ``simhash.fingerprint``."""
-    from xxhash import xxh64_intdigest
-
-    words = (text or "").encode().lower().split()
-    if len(words) < shingle:
-        words, shingle = [b" ".join(words)] * bool(words), 1
-    grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
-    return np.unique(np.fromiter((xxh64_intdigest(g, simhash.SEED) for g in grams), dtype="<u8"))
+    return np.unique(np.concatenate([*simhash.shingle_hashes(text, shingle), np.zeros(0, "<u8")]))
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -101,35 +97,41 @@ def prefix(shingles: np.ndarray, last: tuple[np.ndarray, np.ndarray], similar: t
     return shingles[np.lexsort((shingles, rank))[: n - -(-similar[0] * n // similar[1]) + 1]]
 
 
-def marks(shingles: np.ndarray) -> list[int] | None:
-    """How many shingles fall into each class; None if a count is too large for a byte."""
-    counts = np.bincount((shingles >> np.uint64(32)).astype(np.int64) % MARKS, minlength=MARKS)
-    return counts.tolist() if counts.max() < 128 else None
+def marks(shingles: np.ndarray) -> np.ndarray:
+    """Words of one bit a class: whether it holds an odd number of shingles. Their number is a power of two."""
+    words = 1 << max((len(shingles) - 1) // 64, 0).bit_length()
+    odd = np.bincount(((shingles >> np.uint64(32)) % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
 
 
 def _keyed(docs: DataFrame, last: tuple[np.ndarray, np.ndarray], id_col: str, text: str) -> DataFrame:
-    """(id, h: hash of the text, fp: hash of the set, n: its size, marks, keys in order) of every row."""
+    """(id, h: hash of the text, fp: hash of the set, bits: SimHash, n: size of the set, marks, keys in order) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
         for b in small_batches(batches, 2):
-            sets = [shingle_set(t) for t in b.column(2).to_pylist()]
+            sets, bits = [], []
+            for t in b.column(2).to_pylist():
+                chunks = list(simhash.shingle_hashes(t, SHINGLE))
+                bits.append(simhash.majority(chunks))
+                sets.append(np.unique(np.concatenate([*chunks, np.zeros(0, "<u8")])))
             fps = np.array([xxh64_intdigest(s.tobytes(), simhash.SEED) for s in sets], dtype="<u8").view("<i8")
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0),
                     b.column(1),
                     pa.array(fps),
+                    pa.array(bits, pa.int64()),
                     pa.array([len(s) for s in sets], pa.int32()),
-                    pa.array([marks(s) for s in sets], pa.list_(pa.int8())),
+                    _lists([marks(s) for s in sets]),
                     _lists([prefix(s, last) for s in sets]),
                 ],
-                names=["id", "h", "fp", "n", "marks", "keys"],
+                names=["id", "h", "fp", "bits", "n", "marks", "keys"],
             )
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    return texts.mapInArrow(run, "id long, h long, fp long, n int, marks array<tinyint>, keys array<long>")
+    return texts.mapInArrow(run, "id long, h long, fp long, bits long, n int, marks array<long>, keys array<long>")
 
 
 def near_blocks(sets: list[np.ndarray], similar: tuple[int, int] = SIMILAR) -> np.ndarray:
@@ -167,12 +169,37 @@ def _block_links(group: pa.Table) -> pa.Table:
     return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
-def _room(a: str, b: str) -> Column:
+def _sizes(a: Column, b: Column) -> Column:
+    return SIMILAR[1] * F.least(a["n"], b["n"]) >= SIMILAR[0] * F.greatest(a["n"], b["n"])
+
+
+def _room(a: Column, b: Column) -> Column:
     """Whether members a and b of a key, structs (fp, n, pos), can be near by their sizes and the key's places."""
-    na, nb, pa_, pb = (F.col(f"{x}.{f}") for f in ("n", "pos") for x in (a, b))
-    sizes = SIMILAR[1] * F.least(na, nb) >= SIMILAR[0] * F.greatest(na, nb)
+    na, nb, pa_, pb = a["n"], b["n"], a["pos"], b["pos"]
     shared = F.least(pa_, pb) + 1 + F.least(na - pa_ - 1, nb - pb - 1)
-    return sizes & (sum(SIMILAR) * shared >= SIMILAR[0] * (na + nb))
+    return _sizes(a, b) & (sum(SIMILAR) * shared >= SIMILAR[0] * (na + nb))
+
+
+def _few_odd(a: Column, b: Column) -> Column:
+    """Whether structs (n, marks) of like sizes can be near by their marks; sets of like sizes have like marks, or one twice as many."""
+
+    def folded(x: Column, y: Column) -> Column:
+        half = F.floor(F.size(x) / 2).cast("int")
+        halves = F.zip_with(F.slice(x, 1, half), F.slice(x, half + 1, half), lambda u, v: u.bitwiseXOR(v))
+        return F.when(F.size(x) > F.size(y), halves).otherwise(x)
+
+    met = F.zip_with(folded(a["marks"], b["marks"]), folded(b["marks"], a["marks"]), lambda u, v: F.bit_count(u.bitwiseXOR(v)))
+    odd = F.aggregate(met, F.lit(0), lambda acc, x: acc + x)
+    return F.coalesce(sum(SIMILAR) * odd <= (SIMILAR[1] - SIMILAR[0]) * (a["n"] + b["n"]), F.lit(True))
+
+
+def _short(words: Column) -> Column:
+    """Marks folded to at most ``MARKS`` words."""
+
+    def word(i: Column) -> Column:
+        return F.aggregate(F.filter(words, lambda _, j: j % MARKS == i), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(x))
+
+    return F.when(F.size(words) <= MARKS, words).otherwise(F.transform(F.sequence(F.lit(0), F.lit(MARKS - 1)), word))
 
 
 def _open_members(members: DataFrame, linked: DataFrame) -> DataFrame:
@@ -200,9 +227,8 @@ def _near_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str)
     def marked(name: str) -> DataFrame:
         return nodes.select(F.col("fp").alias(name), F.struct("n", "marks").alias(f"_{name}"))
 
-    lesser = F.aggregate(F.zip_with("_a.marks", "_b.marks", lambda x, y: F.least(x, y)), F.lit(0), lambda acc, x: acc + x)
-    room = sum(SIMILAR) * lesser >= SIMILAR[0] * (F.col("_a.n") + F.col("_b.n"))
-    pairs = pairs.join(marked("a"), "a").join(marked("b"), "b").where(F.coalesce(room, F.lit(True))).select("a", "b")
+    sides = F.col("_a"), F.col("_b")
+    pairs = pairs.join(marked("a"), "a").join(marked("b"), "b").where(_sizes(*sides) & _few_odd(*sides)).select("a", "b")
     pairs = shared_table(pairs, "near-pairs")
     sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("fp")), nodes, docs, text)
 
@@ -220,34 +246,58 @@ def _pair(a: str, b: str) -> list[Column]:
     return [F.least(f"{a}.fp", f"{b}.fp").alias("a"), F.greatest(f"{a}.fp", f"{b}.fp").alias("b")]
 
 
-def links(nodes: DataFrame, docs: DataFrame, text: str = "text", crowd: int = CROWD, block: int = BLOCK, leaders: int = LEADERS) -> DataFrame:
-    """(a, b), a < b: links that join the nodes (fp, h: hash of a text, n, marks, keys in order) as all near pairs would."""
+def _one_of_same(members: DataFrame) -> DataFrame:
+    """The members (key, fp, n, pos, root) of one key of those with the same members: any shared key says what another would."""
+    same = members.groupBy("key").agg(
+        F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.min("fp").alias("m"), F.max("fp").alias("high")
+    )
+    kept = shared_table(same.groupBy("k", "x", "m", "high").agg(F.min("key").alias("key")).select("key"), "near-groups")
+    out = shared_table(members.join(F.broadcast(kept) if kept.count() <= simhash.BROADCAST_KEYS else kept, "key"), "near-members")
+    release(members, kept)
+    return out
+
+
+def links(
+    nodes: DataFrame, docs: DataFrame, text: str = "text", crowd: int = CROWD, block: int = BLOCK, leaders: int = LEADERS, linked: DataFrame | None = None
+) -> DataFrame:
+    """(a, b), a < b: links that join the nodes (fp, h: hash of a text, n, marks, keys in order) as all near pairs would.
+
+    ``linked`` holds links that are known already.
+    """
     keyed = nodes.select("fp", "n", F.posexplode("keys").alias("pos", "key"))
     keys = shared_table(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key"), "near-keys")
     members = keyed.join(F.broadcast(keys) if keys.count() <= simhash.BROADCAST_KEYS else keys, "key")
-    members = shared_table(members.withColumn("root", F.col("fp")), "near-members")
+    members = _one_of_same(shared_table(members.withColumn("root", F.col("fp")), "near-keyed"))
     release(keys)
-    linked = None
+    if linked is not None:
+        every = members
+        members = _open_members(every, linked)
+        release(every)
     for _ in range(leaders):
+        led_from = members
         first = F.min(F.struct("fp", "n", "pos", "root")).alias("lead")
         led = members.join(members.groupBy("key").agg(first), "key").withColumn("own", F.struct("fp", "n", "pos"))
-        pairs = led.where((F.col("lead.root") != F.col("root")) & _room("lead", "own")).select(*_pair("lead", "own")).distinct()
+        pairs = led.where((F.col("lead.root") != F.col("root")) & _room(F.col("lead"), F.col("own"))).select(*_pair("lead", "own")).distinct()
         found = _near_pairs(pairs, nodes, docs, text)
         linked = found if linked is None else linked.unionByName(found)
         # a leader has been compared with all members of its key
         rest = led.where("fp <> lead.fp").select("key", "fp", "n", "pos")
-        left = _open_members(rest, linked)
-        release(members)
-        members = left
-    counts = members.groupBy("key").agg(
-        F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.min("fp").alias("m"), F.max("fp").alias("high")
-    )
-    counts = shared_table(counts, "near-counts")
-    few = members.join(counts.where(F.col("k") <= crowd).select("key"), "key").groupBy("key").agg(F.collect_list(F.struct("fp", "n", "pos", "root")).alias("all"))
-    few = few.select("all", F.explode("all").alias("one")).select("one", F.explode(F.filter("all", lambda x: (x["fp"] > F.col("one.fp")) & (x["root"] != F.col("one.root")))).alias("two"))
-    compared = _near_pairs(few.where(_room("one", "two")).select(*_pair("one", "two")).distinct(), nodes, docs, text)
-    large = counts.where(F.col("k") > crowd).groupBy("k", "x", "m", "high").agg(F.min("key").alias("key"))
-    crowded = members.join(large.select("key", "k"), "key")
+        members = _open_members(rest, linked)
+        release(led_from)
+    members = _one_of_same(members)
+    counts = shared_table(members.groupBy("key").agg(F.count(F.lit(1)).alias("k")), "near-counts")
+    marked = nodes.select("fp", _short(F.col("marks")).alias("marks"))
+    few = members.join(counts.where(F.col("k") <= crowd).select("key"), "key").join(marked, "fp")
+    few = few.groupBy("key").agg(F.collect_list(F.struct("fp", "n", "pos", "root", "marks")).alias("all"))
+
+    def near(one: Column) -> Column:
+        others = F.filter("all", lambda x: (x["fp"] > one["fp"]) & (x["root"] != one["root"]) & _room(one, x) & _few_odd(one, x))
+        return F.transform(others, lambda x: F.struct(one["fp"].alias("a"), x["fp"].alias("b")))
+
+    few = few.select(F.explode(F.flatten(F.transform("all", near))).alias("pair")).select("pair.a", "pair.b")
+    compared = _near_pairs(few.distinct(), nodes, docs, text)
+    large = counts.where(F.col("k") > crowd)
+    crowded = members.join(large, "key")
     blocks = F.ceil(F.col("k") / block)
     own = F.pmod(F.xxhash64("fp", "key"), blocks)
     placed = crowded.select("key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
@@ -264,6 +314,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     """``docs`` with one row of each group that near copies join: the one of the smallest id."""
     last = often(docs, text)
     rows = shared_table(_keyed(docs, last, id_col, text), "near-rows")
-    keys = rows.groupBy("fp").agg(F.first("h").alias("h"), F.first("n").alias("n"), F.first("marks").alias("marks"), F.first("keys").alias("keys"))
-    keys = shared_table(keys, "near-nodes")
-    return simhash.first_rows(docs, simhash.classes(rows, links(keys, docs, text)), id_col, text)
+    named = shared_table(rows.select("id", "h", "fp"), "near-ids")
+    nodes = shared_table(rows.groupBy("fp").agg(*[F.first(c).alias(c) for c in ("h", "bits", "n", "marks", "keys")]), "near-nodes")
+    release(rows)
+    return simhash.first_rows(docs, simhash.classes(named, links(nodes, docs, text)), id_col, text)

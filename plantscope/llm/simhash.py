@@ -24,7 +24,7 @@ table.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +42,8 @@ CROWD = 128
 BROADCAST_KEYS = 1_000_000
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Bits set in over half of the shingle hashes, as a signed 64-bit integer."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
+    """The hashes of all shingles in order, repeats included, ``CHUNK`` at a time."""
     from xxhash import xxh64_intdigest
 
     # bytes.lower changes A-Z alone, and bytes.split cuts at 0x20 and 0x09-0x0D alone
@@ -51,13 +51,24 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     if len(words) < shingle:
         words, shingle = [b" ".join(words)] * bool(words), 1
     n = len(words) - shingle + 1
-    ones = np.zeros(64, dtype=np.int64)
     for at in range(0, n, CHUNK):
         last = min(at + CHUNK, n)
         joined = map(b" ".join, zip(*(words[at + k : last + k] for k in range(shingle)), strict=True))
-        hashes = np.array([xxh64_intdigest(s, SEED) for s in joined], dtype="<u8")
+        yield np.array([xxh64_intdigest(s, SEED) for s in joined], dtype="<u8")
+
+
+def majority(chunks: Iterable[np.ndarray]) -> int:
+    """Bits set in over half of the hashes, as a signed 64-bit integer."""
+    n, ones = 0, np.zeros(64, dtype=np.int64)
+    for hashes in chunks:
+        n += len(hashes)
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > max(n, 0), bitorder="little").view("<i8")[0])
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Bits set in over half of the shingle hashes, as a signed 64-bit integer."""
+    return majority(shingle_hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -162,11 +173,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
 def first_rows(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the classes keep."""
-    first, h, repeat = fresh(docs, "id", "h", "repeat")
-    keep = classes.where("fp = root").select(F.col("keep.id").alias(first), F.col("keep.h").alias(h))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col(first)) & (F.xxhash64(text) == F.col(h))
-    met = docs.join(keep, same)
-    number = F.row_number().over(Window.partitionBy(first, h).orderBy(F.lit(1)))
+    # plain columns, so that one exchange of the rows serves the join and the numbers
+    first, unnamed, h, repeat = fresh(docs, "id", "unnamed", "h", "repeat")
+    own, kept = F.col(id_col).cast("long"), F.col("keep.id")
+    keep = classes.where("fp = root").select(F.coalesce(kept, F.lit(0)).alias(first), kept.isNull().alias(unnamed), F.col("keep.h").alias(h))
+    named = docs.withColumns({first: F.coalesce(own, F.lit(0)), unnamed: own.isNull(), h: F.xxhash64(text)})
+    met = named.join(keep, [first, unnamed, h])
+    number = F.row_number().over(Window.partitionBy(first, unnamed, h).orderBy(F.lit(1)))
     return met.withColumn(repeat, number).where(F.col(repeat) == 1).select(*docs.columns)
 
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +88,39 @@ def test_clashing_columns(spark):
     for kept in (near_copies.one_of_each(docs), simhash.one_of_each(docs)):
         assert kept.columns == docs.columns
         assert sorted(tuple(r) for r in kept.collect()) == [rows[0], rows[2]]
+
+
+def test_marks_rule_out_long_texts_and_no_near_pair(spark):
+    rng = np.random.default_rng(3)
+    pairs = []
+    for n in (1, 5, 63, 64, 65, 200, 1020, 1030, 4000, 9000):
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        far = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        most = n // 9  # n + most of n + 2 * most shingles at the least
+        near = np.unique(np.concatenate([a[most:], rng.integers(0, 2**63, most, dtype=np.uint64)]))
+        longer = np.unique(np.concatenate([a, rng.integers(0, 2**63, n // 4, dtype=np.uint64)]))
+        pairs += [(f"far {n}", a, far), (f"near {n}", a, near), (f"longer {n}", a, longer)]
+    side = lambda s: (len(s), near_copies.marks(s).view("<i8").tolist())
+    rows = spark.createDataFrame([(k, side(a), side(b)) for k, a, b in pairs], "k string, a struct<n:int,marks:array<long>>, b struct<n:int,marks:array<long>>")
+    short = lambda c: F.struct(F.col(f"{c}.n").alias("n"), near_copies._short(F.col(f"{c}.marks")).alias("marks"))
+    full, cut = near_copies._few_odd(F.col("a"), F.col("b")), near_copies._few_odd(short("a"), short("b"))
+    got = {r.k: (r.full, r.cut) for r in rows.select("k", full.alias("full"), cut.alias("cut")).collect()}
+    for k, a, b in pairs:
+        shared = len(np.intersect1d(a, b))
+        if 5 * shared >= 4 * (len(a) + len(b) - shared):
+            assert got[k] == (True, True), k
+    assert all(got[f"far {n}"][0] is False for n in (63, 64, 65, 200, 1020, 1030, 4000, 9000))
+    assert all(got[f"far {n}"][1] is False for n in (200, 1020, 1030, 4000))
+
+
+def test_rows_that_stay_are_exchanged_once(spark):
+    docs = spark.createDataFrame(planted(1), "doc_id long, text string")
+    classes = docs.select(F.xxhash64("text").alias("fp"), F.xxhash64("text").alias("root"), F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h")).alias("keep"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        kept = simhash.first_rows(docs, classes)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2 and kept.count() == docs.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
