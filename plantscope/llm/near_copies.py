@@ -1,6 +1,8 @@
 """Near copies by exact Jaccard similarity of five-word shingles, without a limit on what is found.
 
-Texts are linked when their sets of shingles have a similarity of 0.8 or more. Two such sets share one of
+Texts are linked when their sets of shingles have a similarity of 0.8 or more. SimHash comes first: fingerprints
+of the five-word shingles that differ in at most two bits, met under the keys of ``simhash.links``, are pairs,
+and those whose sets are similar are links. What that misses is found by prefixes of the sets: two similar sets share one of
 the first ``n - ceil(0.8 n) + 1`` shingles of each in any order that holds for all texts (prefix filter), so
 these are the keys. The order puts shingles that a sample finds often last; it decides the work and not
 the result. What is wanted is the components, so not every pair is compared:
@@ -257,6 +259,20 @@ def _one_of_same(members: DataFrame) -> DataFrame:
     return out
 
 
+def simhash_links(nodes: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """(a, b), a < b: near pairs of the nodes among those that SimHash links.
+
+    Nodes of one fingerprint are compared with the first of them, linked fingerprints by their first nodes.
+    """
+    first = shared_table(nodes.groupBy("bits").agg(F.min("fp").alias("fp")), "near-bits")
+    same = nodes.select("fp", "bits").join(first.select("bits", F.col("fp").alias("lead")), "bits").where("fp <> lead").select(F.col("lead").alias("a"), F.col("fp").alias("b"))
+    met = simhash.links(first.select(F.col("bits").alias("fp"))).toDF("bits_a", "bits_b")
+    met = met.join(first.toDF("bits_a", "a"), "bits_a").join(first.toDF("bits_b", "b"), "bits_b")
+    found = _near_pairs(same.unionByName(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), nodes, docs, text)
+    release(first)
+    return found
+
+
 def links(
     nodes: DataFrame, docs: DataFrame, text: str = "text", crowd: int = CROWD, block: int = BLOCK, leaders: int = LEADERS, linked: DataFrame | None = None
 ) -> DataFrame:
@@ -317,4 +333,5 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     named = shared_table(rows.select("id", "h", "fp"), "near-ids")
     nodes = shared_table(rows.groupBy("fp").agg(*[F.first(c).alias(c) for c in ("h", "bits", "n", "marks", "keys")]), "near-nodes")
     release(rows)
-    return simhash.first_rows(docs, simhash.classes(named, links(nodes, docs, text)), id_col, text)
+    linked = simhash_links(nodes, docs, text)
+    return simhash.first_rows(docs, simhash.classes(named, links(nodes, docs, text, linked=linked)), id_col, text)

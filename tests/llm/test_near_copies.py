@@ -90,6 +90,29 @@ def test_clashing_columns(spark):
         assert sorted(tuple(r) for r in kept.collect()) == [rows[0], rows[2]]
 
 
+def test_simhash_comes_first_and_is_checked(spark, monkeypatch):
+    """Links of op2's fingerprints over five words, with similar sets alone; the stage works with them."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
+    changed = [*base, "other"]
+    rows = [(1, " ".join(base)), (2, " ".join(changed)), (3, " ".join(base[:50])), (4, "a b c d e f " * 9), (5, "a b c d e f " * 50 + "g"), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bits = {i: simhash.fingerprint(t, 5) for i, t in rows}
+    assert ((bits[1] ^ bits[2]) & (2**64 - 1)).bit_count() <= 2
+    made = near_copies._keyed(docs, near_copies.often(docs), "doc_id", "text")
+    assert {r.id: r.bits for r in made.collect()} == bits
+    nodes = made.dropDuplicates(["fp"])
+    fps = {r.id: r.fp for r in made.collect()}
+    found = {tuple(r) for r in near_copies.simhash_links(nodes, docs).collect()}
+    assert (min(fps[1], fps[2]), max(fps[1], fps[2])) in found
+    sets = {fps[i]: slow_set(t) for i, t in rows}
+    assert all(5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) for a, b in found)
+    asked, own = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda nodes, *a: asked.append(nodes.count()) or own(nodes, *a))
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()) == slow_kept(rows)
+    assert asked == [len(set(bits.values()))]
+
+
 def test_marks_rule_out_long_texts_and_no_near_pair(spark):
     rng = np.random.default_rng(3)
     pairs = []
