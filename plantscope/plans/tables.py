@@ -232,6 +232,43 @@ rg AS (SELECT "column", role, count(*) AS n_rows, count(v) AS n, min(v) AS lo, m
 rd AS (SELECT *, CASE WHEN n = 0 OR (n_rows-n)/n_rows > 0.5 THEN 'critical' WHEN k <= 1 OR n < n_rows OR "column" = 'value' THEN 'warning' ELSE 'info' END AS status FROM rg)"""
 
 
+def _psi(x, order):
+    """Digamma (order 0) or trigamma (order 1) in SQL: ten steps up, then the series."""
+    z = f"({x}+10)"
+    if order:
+        return f"(1/{z}+1/(2*{z}^2)+1/(6*{z}^3)-1/(30*{z}^5)+1/(42*{z}^7)" + "".join(f"+1/({x}+{i})^2" for i in range(10)) + ")"
+    return f"(ln({z})-1/(2*{z})-1/(12*{z}^2)+1/(120*{z}^4)-1/(252*{z}^6)" + "".join(f"-1/({x}+{i})" for i in range(10)) + ")"
+
+
+# all families: Weibull and gamma shapes by Newton's method, one named table a step
+READY_FITS = """, vc AS MATERIALIZED (SELECT "column", v, v+CASE WHEN lo <= 0 THEN 1e-6-lo ELSE 0 END AS y, count(*) AS c FROM rl JOIN rg USING ("column", role) WHERE v IS NOT NULL GROUP BY ALL),
+ra AS (SELECT "column", n, lo, hi, m, sp, sp*sp AS va FROM rg WHERE n > 0), rs AS (SELECT * FROM ra WHERE n >= 10 AND sp > 0),
+ry AS MATERIALIZED (SELECT "column", sum(c*y)/sum(c) AS ym, sum(c*ln(y))/sum(c) AS lm, sqrt(greatest(sum(c*ln(y)^2)/sum(c)-(sum(c*ln(y))/sum(c))^2, 0)) AS ls FROM vc GROUP BY 1),
+k0 AS (SELECT "column", ym, lm-ln(ym) AS zm, pi()/sqrt(6)/ls AS k, 1.0::DOUBLE AS pm, 1.0::DOUBLE AS kk FROM ry WHERE ls > 0),
+""" + ",\n".join(
+    f"""k{i + 1} AS MATERIALIZED (SELECT "column", ym, zm, greatest(k-(b/a-1/k-zm)/(d/a-(b/a)^2+1/k^2), k/4) AS k, pm, k AS kk FROM (SELECT "column", ym, zm, k, sum(c*(y/ym)^k) AS a,
+ sum(c*(y/ym)^k*ln(y/ym)) AS b, sum(c*(y/ym)^k*ln(y/ym)^2) AS d, sum(c*(y/ym)^k)/sum(c) AS pm FROM vc JOIN k{i} USING ("column") GROUP BY ALL))""" for i in range(30)
+) + """,
+g0 AS (SELECT "column", ln(ym)-lm AS s, (3-(ln(ym)-lm)+sqrt(((ln(ym)-lm)-3)^2+24*(ln(ym)-lm)))/(12*(ln(ym)-lm)) AS a FROM ry WHERE ls > 0),
+""" + ",\n".join(f"""g{i + 1} AS MATERIALIZED (SELECT "column", s, a-(ln(a)-{_psi("a", 0)}-s)/(1/a-{_psi("a", 1)}) AS a FROM g{i})""" for i in range(6)) + """,
+tb AS (SELECT "column", v, c, n, lo-(hi-lo)/n AS l, hi+(hi-lo)/n AS h FROM vc JOIN rs USING ("column")),
+tr AS (SELECT "column", v, n, l, h, sum(c) OVER w AS n1, sum(c*ln(v-l)) OVER w AS l1, sum(c*ln(h-v)) OVER w AS r1, sum(c*ln(h-v)) OVER (PARTITION BY "column") AS ra
+ FROM tb WINDOW w AS (PARTITION BY "column" ORDER BY v ROWS UNBOUNDED PRECEDING)),
+iv AS (SELECT "column", n, m, va, m/va AS p, CASE WHEN va > m THEN m*(m/va)/(1-m/va) END AS r FROM ra JOIN (SELECT "column" FROM vc GROUP BY 1 HAVING bool_and(abs(v-round(v)) <= 1e-8+1e-5*abs(round(v)))) USING ("column") WHERE n >= 10 AND lo >= 0 AND m > 0),
+hb AS (SELECT "column", n, CASE WHEN lo = hi THEN lo-0.5 ELSE lo END AS l, least(greatest(floor(sqrt(n)), 5), 30) AS bins, (CASE WHEN lo = hi THEN 1 ELSE hi-lo END)/least(greatest(floor(sqrt(n)), 5), 30) AS w FROM ra),
+hc AS (SELECT "column", n, bins, w, least(floor((v-l)/w), bins-1) AS bin, sum(c) AS c FROM vc JOIN hb USING ("column") GROUP BY ALL),
+rf AS (SELECT "column", 'normal' AS fam, 4+n*(ln(2*pi())+2*ln(sp)+1) AS aic FROM rs
+ UNION ALL SELECT "column", 'lognormal', 6+2*n*lm+n*(ln(2*pi())+2*ln(ls)+1) FROM rs JOIN ry USING ("column") WHERE ls > 0
+ UNION ALL SELECT "column", 'uniform', 4+2*n*ln(hi-lo) FROM rs
+ UNION ALL SELECT "column", 'triangular', 6-2*max(n*ln(2/(h-l))+l1-n1*ln(v-l)+ra-r1-(n-n1)*ln(h-v)) FROM tr GROUP BY 1
+ UNION ALL SELECT "column", 'weibull', 6-2*n*(ln(k)-k*(ln(w.ym)+ln(pm)/kk)+(k-1)*lm-1) FROM rs JOIN k30 AS w USING ("column") JOIN ry USING ("column")
+ UNION ALL SELECT "column", 'gamma', 6-2*n*((a-1)*lm-a-a*ln(ym/a)-lgamma(a)) FROM rs JOIN g6 USING ("column") JOIN ry USING ("column")
+ UNION ALL SELECT "column", 'poisson', 2-2*(any_value(n)*any_value(m)*ln(any_value(m))-any_value(n)*any_value(m)-sum(c*lgamma(round(v)+1))) FROM iv JOIN vc USING ("column") GROUP BY 1
+ UNION ALL SELECT "column", 'negative_binomial', 4-2*(sum(c*(lgamma(round(v)+r)-lgamma(r)-lgamma(round(v)+1)))+any_value(n*(r*ln(p)+m*ln(1-p)))) FROM iv JOIN vc USING ("column") WHERE va > m GROUP BY 1
+ UNION ALL SELECT "column", 'empirical', 2*any_value(bins)-2*sum(c*ln(c/(n*w)+2.220446049250313e-16)) FROM hc GROUP BY 1),
+rb AS (SELECT "column", first(fam ORDER BY aic, fam) AS best_family FROM rf WHERE isfinite(aic) GROUP BY 1)"""
+
+
 def disorder(spark, d):
     return quality.time_disorder(read(spark, d, "orders"), "o_orderdate", ["o_orderkey"])
 
@@ -269,9 +306,9 @@ QUERIES = [
     Query("quality_missing_spec", on_planted(lambda s, p: quality.missing_spec(profile.column_profile(p, ["value", "sparse"]).where("is_numeric"), s.createDataFrame([("sparse", None, 5.0)], "column string, lsl double, usl double"))), f"WITH {PLANTED_SQL} SELECT 'value' AS \"column\" FROM p HAVING count(value) > 0"),
     Query("quality_report", report, REPORT_SQL),
     Query("quality_readiness_best_family", lambda s, d: ready(s, d).select("column", "best_family")),
-    Query("quality_readiness", lambda s, d: tidy(ready(s, d).drop("best_family")), f"""WITH {READY} SELECT "column", role, n_rows, n AS n_valid, n_rows-n AS n_missing, k AS n_distinct, round(lo,6)+0.0 AS min, round(hi,6)+0.0 AS max,
- round(m,6)+0.0 AS mean, round(s,6)+0.0 AS std, concat_ws(',', CASE WHEN n = 0 THEN 'no_numeric_values' END, CASE WHEN n > 0 AND k <= 1 THEN 'constant_column' END,
- CASE WHEN n < n_rows THEN 'missing_values' END, CASE WHEN role = 'output' THEN 'missing_spec' END) AS issues, status FROM rd"""),
+    Query("quality_readiness", lambda s, d: tidy(ready(s, d)), f"""WITH {READY}{READY_FITS} SELECT "column", role, n_rows, n AS n_valid, n_rows-n AS n_missing, k AS n_distinct, round(lo,6)+0.0 AS min, round(hi,6)+0.0 AS max,
+ round(m,6)+0.0 AS mean, round(s,6)+0.0 AS std, best_family, concat_ws(',', CASE WHEN n = 0 THEN 'no_numeric_values' END, CASE WHEN n > 0 AND k <= 1 THEN 'constant_column' END,
+ CASE WHEN n < n_rows THEN 'missing_values' END, CASE WHEN role = 'output' THEN 'missing_spec' END) AS issues, status FROM rd LEFT JOIN rb USING ("column")"""),
     Query("quality_readiness_status", lambda s, d: tidy(readiness.overall_status(ready(s, d))), f"WITH {READY} SELECT CASE WHEN bool_or(status='critical') THEN 'critical' WHEN bool_or(status='warning') THEN 'warning' ELSE 'info' END AS status, count(*) AS n_columns FROM rd"),
     Query("quality_severity_counts", lambda s, d: quality.severity_counts(report(s, d)), f"SELECT count(*) FILTER (severity='info') AS info, count(*) FILTER (severity='warning') AS warning, count(*) FILTER (severity='critical') AS critical FROM ({REPORT_SQL})"),
 ]
