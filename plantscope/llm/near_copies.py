@@ -5,7 +5,10 @@ of the five-word shingles that differ in at most two bits, met under the keys of
 and those whose sets are similar are links. What that misses is found by prefixes of the sets: two similar sets share one of
 the first ``n - ceil(0.8 n) + 1`` shingles of each in any order that holds for all texts (prefix filter), so
 these are the keys. The order puts shingles that a sample finds often last; it decides the work and not
-the result. What is wanted is the components, so not every pair is compared:
+the result. Of the keys after these, a text keeps a fifth of its shingles more (``further``): with ``l`` further
+keys on both sides, similar sets share ``1 + l`` of all. So a text with too many keys that no other text has is near
+none, and leaves by two aggregates before keys are read for pairs; a few shingles met by chance make no pairs. What is
+wanted is the components, so not every pair is compared:
 
 * Of keys with the same members one is kept.
 * ``LEADERS`` rounds compare each key's first member with the others that are not in its component yet: a pair a
@@ -89,14 +92,24 @@ def often(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
     return hashes[order], top[order, 1]
 
 
+def prefix_size(n: Column) -> Column:
+    """How many first shingles of a set of ``n`` near sets share one of."""
+    return n - F.floor((SIMILAR[0] * n + SIMILAR[1] - 1) / SIMILAR[1]).cast("int") + 1
+
+
+def further(n: Column) -> Column:
+    """How many keys follow the prefix of a set of ``n``; never falls as ``n`` rises."""
+    return F.floor(n / SIMILAR[1]).cast("int")
+
+
 def prefix(shingles: np.ndarray, last: tuple[np.ndarray, np.ndarray], similar: tuple[int, int] = SIMILAR) -> np.ndarray:
-    """The first shingles of the order, of which near sets share one."""
+    """The first shingles of the order, of which near sets share one, and the further ones."""
     n = len(shingles)
     rank = np.zeros(n, dtype=np.int64)
     if len(last[0]) and n:
         at = np.minimum(np.searchsorted(last[0], shingles), len(last[0]) - 1)
         rank = np.where(last[0][at] == shingles, last[1][at], 0)
-    return shingles[np.lexsort((shingles, rank))[: n - -(-similar[0] * n // similar[1]) + 1]]
+    return shingles[np.lexsort((shingles, rank))[: n - -(-similar[0] * n // similar[1]) + 1 + n // similar[1]]]
 
 
 def marks(shingles: np.ndarray) -> np.ndarray:
@@ -273,6 +286,23 @@ def simhash_links(nodes: DataFrame, docs: DataFrame, text: str = "text") -> Data
     return found
 
 
+def in_company(nodes: DataFrame) -> DataFrame:
+    """The nodes (fp, n, keys) that share as many keys with others as a near set would; any node with a near set is one.
+
+    A near set has four fifths of the shingles at least, so its further keys are known to be that many at least.
+    """
+    nodes = nodes.where("n > 0")
+    counted = nodes.select("fp", F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("fp").alias("fp"))
+    alone = counted.where("k = 1").groupBy("fp").agg(F.count(F.lit(1)).alias("alone"))
+    least = F.col("n") - prefix_size(F.col("n")) + 1
+    shared = prefix_size(F.col("n")) + further(F.col("n")) - F.coalesce("alone", F.lit(0))
+    kept = shared_table(nodes.select("fp", "n").join(alone, "fp", "left").where(shared >= 1 + further(least)).select("fp"), "near-kept")
+    wanted = F.broadcast(kept) if kept.count() <= simhash.BROADCAST_KEYS else kept
+    met = shared_table(nodes.select("fp", "n", "keys").join(wanted, "fp"), "near-company")
+    release(kept)
+    return met
+
+
 def links(
     nodes: DataFrame, docs: DataFrame, text: str = "text", crowd: int = CROWD, block: int = BLOCK, leaders: int = LEADERS, linked: DataFrame | None = None
 ) -> DataFrame:
@@ -280,11 +310,12 @@ def links(
 
     ``linked`` holds links that are known already.
     """
-    keyed = nodes.select("fp", "n", F.posexplode("keys").alias("pos", "key"))
+    met = in_company(nodes)
+    keyed = met.select("fp", "n", F.posexplode(F.slice("keys", F.lit(1), prefix_size(F.col("n")))).alias("pos", "key"))
     keys = shared_table(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key"), "near-keys")
     members = keyed.join(F.broadcast(keys) if keys.count() <= simhash.BROADCAST_KEYS else keys, "key")
     members = _one_of_same(shared_table(members.withColumn("root", F.col("fp")), "near-keyed"))
-    release(keys)
+    release(keys, met)
     if linked is not None:
         every = members
         members = _open_members(every, linked)

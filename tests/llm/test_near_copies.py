@@ -147,3 +147,54 @@ def test_rows_that_stay_are_exchanged_once(spark):
         assert plan.count("Exchange hashpartitioning") == 2 and kept.count() == docs.count()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_texts_of_their_own_leave_before_pairs(spark, monkeypatch):
+    """Texts that share a few shingles with many others make no pairs in keys; near copies among them are found."""
+    rng = random.Random(8)
+    phrases = [[f"p{k}x{i}" for i in range(7)] for k in range(40)]
+
+    def text(k):
+        words = [f"u{k}x{i}" for i in range(60)]
+        for p in rng.sample(phrases, 3):
+            words += [*p, f"u{k}end"]
+        return words
+
+    rows = [(k, " ".join(text(k))) for k in range(300)]
+    rows += [(1000 + k, f"{t} other{k}") for k, t in rows[:20]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    nothing = (np.zeros(0, "<u8"), np.zeros(0, np.int64))
+    made = near_copies._keyed(docs, nothing, "doc_id", "text").cache()
+    nodes = made.select("fp", "h", "n", "marks", "keys")
+    met = near_copies.in_company(nodes)
+    assert {r.id for r in made.join(met, "fp").collect()} == {r for k in range(20) for r in (k, 1000 + k)}
+    seen, own = [], near_copies._one_of_same
+    monkeypatch.setattr(near_copies, "_one_of_same", lambda members: seen.append(members.count()) or own(members))
+    found = near_copies.links(nodes, docs)
+    kept = simhash.first_rows(docs, simhash.classes(made, found))
+    assert sorted(r.doc_id for r in kept.collect()) == slow_kept(rows) == list(range(300))
+    with_room = 40 * max(len(k.keys) for k in made.select("keys").collect())
+    assert seen[0] <= with_room
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_every_near_set_is_in_company(spark, seed):
+    """Sets of all sizes at the very limit of 0.8, in an order that keeps what they share for the end."""
+    rng = np.random.default_rng(seed)
+    pairs = []
+    for n in (*range(1, 40), 99, 100, 101, 1000):
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        for lost in range(n + 1):
+            gained = (5 * (n - lost) - 4 * n) // 4  # as many as 0.8 allows
+            if gained >= 0 and lost in (0, 1, n // 9, n // 5):
+                b = np.unique(np.concatenate([a[lost:], rng.integers(0, 2**63, gained, dtype=np.uint64)]))
+                pairs.append((a, b, np.sort(a[lost:])))
+    assert len(pairs) > 80
+    rows = []
+    for k, (a, b, shared) in enumerate(pairs):
+        last = (shared, np.ones(len(shared), np.int64))
+        rows += [(2 * k + i, len(s), near_copies.prefix(s, last).view("<i8").tolist()) for i, s in enumerate((a, b))]
+    nodes = spark.createDataFrame(rows, "fp long, n int, keys array<long>")
+    assert {r.fp for r in near_copies.in_company(nodes).collect()} == {r[0] for r in rows}
+    sizes = nodes.select("fp", (near_copies.prefix_size(F.col("n")) + near_copies.further(F.col("n"))).alias("all"), F.size("keys").alias("got"))
+    assert all(r.all == r.got for r in sizes.collect())
