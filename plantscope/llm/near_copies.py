@@ -217,12 +217,12 @@ def _short(words: Column) -> Column:
     return F.when(F.size(words) <= MARKS, words).otherwise(F.transform(F.sequence(F.lit(0), F.lit(MARKS - 1)), word))
 
 
-def _open_members(members: DataFrame, linked: DataFrame) -> DataFrame:
-    """The members (key, fp, n, pos) of keys whose members are not all in one component, with their root."""
-    roots = connected(linked).withColumnRenamed("node", "fp")
-    named = members.drop("root").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+def _open_members(members: DataFrame, linked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members (key, fp, n, pos) of keys whose members are not all in one component, with their root; ``linked`` as stars."""
+    roots = connected(linked)
+    named = members.drop("root").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     several = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    return shared_table(named.join(several, "key"), "near-open")
+    return shared_table(named.join(several, "key"), "near-open"), roots.select(F.col("root").alias("a"), F.col("node").alias("b"))
 
 
 def _sets_of(fps: DataFrame, nodes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
@@ -245,6 +245,8 @@ def _near_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str)
     sides = F.col("_a"), F.col("_b")
     pairs = pairs.join(marked("a"), "a").join(marked("b"), "b").where(_sizes(*sides) & _few_odd(*sides)).select("a", "b")
     pairs = shared_table(pairs, "near-pairs")
+    if pairs.isEmpty():
+        return pairs
     sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("fp")), nodes, docs, text)
 
     def side(name: str) -> DataFrame:
@@ -318,9 +320,11 @@ def links(
     release(keys, met)
     if linked is not None:
         every = members
-        members = _open_members(every, linked)
+        members, linked = _open_members(every, linked)
         release(every)
     for _ in range(leaders):
+        if members.isEmpty():
+            break
         led_from = members
         first = F.min(F.struct("fp", "n", "pos", "root")).alias("lead")
         led = members.join(members.groupBy("key").agg(first), "key").withColumn("own", F.struct("fp", "n", "pos"))
@@ -329,8 +333,10 @@ def links(
         linked = found if linked is None else linked.unionByName(found)
         # a leader has been compared with all members of its key
         rest = led.where("fp <> lead.fp").select("key", "fp", "n", "pos")
-        members = _open_members(rest, linked)
+        members, linked = _open_members(rest, linked)
         release(led_from)
+    if members.isEmpty():
+        return nodes.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("false") if linked is None else linked
     members = _one_of_same(members)
     counts = shared_table(members.groupBy("key").agg(F.count(F.lit(1)).alias("k")), "near-counts")
     marked = nodes.select("fp", _short(F.col("marks")).alias("marks"))
@@ -343,7 +349,11 @@ def links(
 
     few = few.select(F.explode(F.flatten(F.transform("all", near))).alias("pair")).select("pair.a", "pair.b")
     compared = _near_pairs(few.distinct(), nodes, docs, text)
+    every = compared if linked is None else linked.unionByName(compared)
     large = counts.where(F.col("k") > crowd)
+    if large.isEmpty():
+        release(members, counts)
+        return every
     crowded = members.join(large, "key")
     blocks = F.ceil(F.col("k") / block)
     own = F.pmod(F.xxhash64("fp", "key"), blocks)
@@ -351,8 +361,7 @@ def links(
     placed = placed.select("key", "fp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     sets = _sets_of(crowded.select("fp"), nodes, docs, text)
     crossed = placed.join(sets, "fp").groupBy("key", "i", "j").applyInArrow(_block_links, "a long, b long")
-    every = compared.unionByName(crossed) if linked is None else linked.unionByName(compared).unionByName(crossed)
-    out = shared_table(every.distinct(), "near-all-links")
+    out = shared_table(every.unionByName(crossed).distinct(), "near-all-links")
     release(members, sets, counts)
     return out
 

@@ -22,20 +22,26 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select(F.col("m").alias("a"), "b")).distinct()
 
 
+def _mark(edges: DataFrame) -> tuple:
+    """The number of edges first, and what tells sets of edges apart."""
+    mark = edges.agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("x"), F.expr("sum(a % 1000003)").alias("s"))
+    return tuple(one_row(edges.sparkSession, mark))
+
+
 def connected(links: DataFrame) -> DataFrame:
     """(node, root: the smallest node reached) of every node of ``links(a, b)``.
 
     Nodes are integers; loops and repeated links do not matter. Each round is a table in the shared
-    folder; rounds end when the set of edges stays the same, after O(log**2 n) of them. Hubs are keys of
-    partial aggregates and of equality joins.
+    folder; rounds end when the set of edges stays the same, after O(log**2 n) of them, or
+    one if the links are stars already. Hubs are keys of partial aggregates and of equality joins.
     """
     low, high = F.least("a", "b"), F.greatest("a", "b")
     edges = shared_table(links.where("a <> b").select(low.alias("a"), high.alias("b")).distinct(), "stars")
-    before = None
+    now = _mark(edges)
     while True:
-        edges = shared_table(_small_star(_large_star(edges)), "stars")
-        mark = edges.agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("x"), F.expr("sum(a % 1000003)").alias("s"))
-        now = tuple(one_row(edges.sparkSession, mark))
+        before = now
+        if before[0]:
+            edges = shared_table(_small_star(_large_star(edges)), "stars")
+            now = _mark(edges)
         if now == before:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
-        before = now

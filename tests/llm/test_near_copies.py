@@ -198,3 +198,18 @@ def test_every_near_set_is_in_company(spark, seed):
     assert {r.fp for r in near_copies.in_company(nodes).collect()} == {r[0] for r in rows}
     sizes = nodes.select("fp", (near_copies.prefix_size(F.col("n")) + near_copies.further(F.col("n"))).alias("all"), F.size("keys").alias("got"))
     assert all(r.all == r.got for r in sizes.collect())
+
+
+def test_nothing_to_compare_is_not_compared(spark, monkeypatch):
+    """Each plan costs the driver memory: stars take one round, and steps without rows are left out."""
+    written, own = [], near_copies.shared_table
+    counted = lambda df, tag, by=None: written.append(tag) or own(df, tag, by)
+    for module in (near_copies, simhash, stars):
+        monkeypatch.setattr(module, "shared_table", counted)
+    star = spark.createDataFrame([(1, 5), (1, 7), (2, 9)], "a long, b long")
+    assert {tuple(r) for r in stars.connected(star).collect()} == {(5, 1), (7, 1), (9, 2)}
+    assert written == ["stars", "stars"]
+    written.clear()
+    docs = spark.createDataFrame([(k, " ".join(f"u{k}x{i}" for i in range(30))) for k in range(20)], "doc_id long, text string")
+    assert near_copies.one_of_each(docs).count() == 20
+    assert not {"near-sets", "near-named", "near-links", "near-counts"} & set(written) and written.count("stars") <= 2
