@@ -239,13 +239,19 @@ def _strength_by_scoring(model, df: DataFrame, inputs: Sequence[str], pairs: Seq
     keys, place = list(model.keys), {c: i for i, c in enumerate(inputs)}
     slim = df.select(*keys, *[finite(F.col(c)).alias(f"_x{i}") for c, i in place.items()])
     means = slim.groupBy(*keys).agg(*[F.avg(f"_x{i}").alias(f"_m{i}") for i in place.values()])
-    rows = model.attach(attach_stats(slim, means, keys))
+    walker = model.walker if isinstance(model, SeriesTrees) else None
+    attach = model.attach if walker is None else model.with_ids
 
     def at(*moved: str) -> Column:
-        return model.prediction({c: F.col(f"_x{i}" if c in moved else f"_m{i}") for c, i in place.items()})
+        terms = {c: F.col(f"_x{i}" if c in moved else f"_m{i}") for c, i in place.items()}
+        return model.prediction(terms) if walker is None else walker(*[terms.get(f, F.col(f)) for f in model.features])
 
     # base and single settings are computed once, the pairs read them
-    rows = rows.withColumns({"_base": at(), **{f"_s{i}": at(c) for c, i in place.items()}})
+    if set(inputs) >= set(model.features):
+        rows = attach_stats(slim, attach(means).withColumn("_base", at()), keys)
+    else:
+        rows = attach(attach_stats(slim, means, keys)).withColumn("_base", at())
+    rows = rows.withColumns({f"_s{i}": at(c) for c, i in place.items()})
 
     def gap(a: str, b: str) -> Column:
         i, j = place[a], place[b]
