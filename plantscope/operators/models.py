@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plantscope.operators.cell_trees import fit_on_cells, score_on_cells
 from plantscope.operators.frames import design_coverage, design_terms, factor_levels, treatment_terms
 from plantscope.operators.stats import finite, long_form
 
@@ -245,6 +246,8 @@ def _assemble(df: DataFrame, inputs: Sequence[str], target: str | None) -> tuple
 
 def _fit(estimator, df: DataFrame, inputs: Sequence[str], target: str) -> PipelineModel:
     assembler, rows = _assemble(df, inputs, target)
+    if isinstance(estimator, (RandomForestRegressor, GBTRegressor)) and (found := fit_on_cells(estimator, rows, inputs, target)):
+        return PipelineModel([assembler, found])
     cores = df.sparkSession.sparkContext.defaultParallelism
     if rows.rdd.getNumPartitions() < cores:
         # training passes over its rows many times; a small file would leave all but one core idle
@@ -297,8 +300,8 @@ class HybridModel:
     forest: PipelineModel
 
     def transform(self, df: DataFrame) -> DataFrame:
-        out = self.forest.transform(df).withColumnRenamed("predicted", "_rest")
-        return out.withColumn("predicted", self.trend.prediction() + F.col("_rest")).drop("_rest", FEATURES)
+        out = score(self.forest, df).withColumnRenamed("predicted", "_rest")
+        return out.withColumn("predicted", self.trend.prediction() + F.col("_rest")).drop("_rest")
 
 
 def fit_hybrid(
@@ -375,6 +378,8 @@ def score(model: Transformer | LinearModel | HybridModel, df: DataFrame) -> Data
     """Add ``predicted``; a linear model is a plain column expression."""
     if isinstance(model, LinearModel):
         return df.withColumn("predicted", model.prediction())
+    if isinstance(model, PipelineModel) and (looked_up := score_on_cells(model, df)) is not None:
+        return looked_up
     return model.transform(df).drop(FEATURES)
 
 
